@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import langid, media, mixing, quality, tokens
+from skirmish.llm import ann, langid, latticelm, media, mixing, quality, simhash, tokens
 from skirmish.llm.common import crc_mod, table
 from skirmish.llm.sql import ORACLE
 
@@ -19,6 +19,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", held_out)
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latticelm.score_documents(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(crc_mod("doc_id", 3) != 1))
@@ -29,6 +33,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", "copy", "shuffle_key")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_table(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_token_counts(table(spark, sf_dir, "documents"))
 
