@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import ann, langid, latticelm, media, mixing, quality, simhash, tokens
+from skirmish.llm import ann, langid, latticelm, lines, media, mixing, packing, quality, simhash, tokens
 from skirmish.llm.common import crc_mod, table
 from skirmish.llm.sql import ORACLE
 
@@ -45,6 +45,14 @@ def op7_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.media_columns(table(spark, sf_dir, "documents")))
 
