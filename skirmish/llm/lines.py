@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from skirmish.llm.common import durable
 
 MIN_WORDS = 50
-KEY = ["no_id", "id", "text_hash"]
+KEY = ["__no_id", "__id", "__text_hash"]
 #: As documents: words are runs of anything but ASCII white space.
 WORD = "[^ \\t-\\r]+"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_hash": F.xxhash64("text")})
+    return docs.withColumns(dict(zip(KEY, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")), strict=True)))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -87,18 +87,18 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with ``text`` without its later repeated runs, and ``runs``, those taken out (null if none). A column ``runs`` is replaced."""
-    kept = [c for c in docs.columns if c.lower() not in ("runs", "lines", "no_id", "id", "text_hash")]
-    joined = _keyed(docs.select(*kept)).join(repeated_runs(docs, min_words), KEY, "left").select(*kept, "runs")
-    # Both uses of "lines" below keep the split a column of its own, worked out once a row.
-    split = joined.withColumn("lines", F.when(F.col("runs").isNotNull(), F.split("text", "\n")))
-    n = F.size("lines")
-    starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
-    ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(n))
-    parts = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.slice(F.col("lines"), s["a"] + 1, s["b"] - s["a"]))
-    text = F.when(F.col("runs").isNotNull(), F.array_join(F.flatten(parts), "\n")).otherwise(F.col("text"))
-    return split.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], "runs", F.coalesce(n, F.lit(-1)).alias("lines")).drop("lines")
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, name: str = "runs") -> DataFrame:
+    """The rows of ``docs`` with ``text`` without its later repeated runs, and ``name``, those taken out (null if none). A column of that name is replaced."""
+    kept = [c for c in docs.columns if c.lower() != name]
+    runs = repeated_runs(docs, min_words).withColumnRenamed("runs", name)
+    joined = _keyed(docs.select(*kept)).join(runs, KEY, "left").select(*kept, name)
+    # Both uses of "__lines" below keep the split a column of its own, worked out once a row.
+    split = joined.withColumn("__lines", F.when(F.col(name).isNotNull(), F.split("text", "\n")))
+    starts = F.concat(F.array(F.lit(0)), F.transform(name, lambda r: r["last"] + 1))
+    ends = F.concat(F.transform(name, lambda r: r["first"]), F.array(F.size("__lines")))
+    parts = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.slice(F.col("__lines"), s["a"] + 1, s["b"] - s["a"]))
+    text = F.when(F.col(name).isNotNull(), F.array_join(F.flatten(parts), "\n")).otherwise(F.col("text"))
+    return split.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], name)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -49,27 +49,27 @@ def _thresholds(rate: F.Column) -> F.Column:
     return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda s: s["sums"])
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, budget: float = 1.0, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, budget: float = 1.0, seed: int = 17, copy: str = "copy", key: str = "shuffle_key") -> DataFrame:
     """Repeat each document a Poisson number of times, with its source's rate as the mean, and shuffle globally.
 
-    Adds ``copy`` (from 0) and ``shuffle_key``, by which the result is globally ordered. The number is found by inversion:
+    Adds the columns ``copy`` (from 0) and ``key``, by which the result is globally ordered. The number is found by inversion:
     how many cumulative probabilities lie below a uniform number that ``seed``, ``doc_id`` and the text's digest fix.
     So a run can be repeated, the counts of two documents are independent, and rows that repeat
     both id and text get the same count. Documents whose number is 0 don't appear; that is what the method does
     with a rate below 1, on average as often as the target asks.
 
     A null text has length 0; a null ``doc_id`` is written as ``null`` in the hash. An empty table gives an empty result.
-    Columns named ``copy`` or ``shuffle_key`` are replaced. Sources are joined by value, null included; Spark
+    Columns that have these two names are replaced. Sources are joined by value, null included; Spark
     splits a dominant source, and no step gathers one.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    kept = [c for c in docs.columns if c.lower() not in (copy, key)]
     rates = source_rates(docs, weights, power, budget)
-    cdf = rates.select(F.col("source").alias("rate_source"), F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit("a repetition rate is above the limit"))).otherwise(_thresholds(F.col("rate"))).alias("cdf"))
+    cdf = rates.select(F.col("source").alias("__rate_source"), F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit("a repetition rate is above the limit"))).otherwise(_thresholds(F.col("rate"))).alias("__cdf"))
     identity = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
     # The hash is taken below the join, so that it is worked out once a document and not in each comparison.
-    hashed = docs.select(*kept, F.concat_ws("|", *identity).alias("identity")).withColumn("u", _uniform(F.col("identity")))
-    drawn = hashed.join(cdf, F.col("source").eqNullSafe(F.col("rate_source")))
-    counted = drawn.withColumn("n_copies", F.size(F.filter("cdf", lambda c: c < F.col("u")))).where("n_copies > 0")
-    copies = counted.select(*kept, "identity", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", "identity", F.col("copy").cast("string")).cast("binary")))
-    return keyed.select(*kept, "copy", "shuffle_key").orderBy("shuffle_key", "copy")
+    hashed = docs.select(*kept, F.concat_ws("|", *identity).alias("__identity")).withColumn("__u", _uniform(F.col("__identity")))
+    drawn = hashed.join(cdf, F.col("source").eqNullSafe(F.col("__rate_source")))
+    counted = drawn.withColumn("__n_copies", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).where("__n_copies > 0")
+    copies = counted.select(*kept, "__identity", F.explode(F.sequence(F.lit(0), F.col("__n_copies") - 1)).alias(copy))
+    keyed = copies.withColumn(key, F.md5(F.concat_ws("|", "__identity", F.col(copy).cast("string")).cast("binary")))
+    return keyed.select(*kept, copy, key).orderBy(key, copy)

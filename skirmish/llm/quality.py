@@ -32,10 +32,10 @@ _REPEAT = np.uint64(0x5EED)
 
 @dataclass(frozen=True)
 class QualityModel:
-    """``scores``: of each bucket, its vector's share in the log-odds of class 1; ``bias``: the rest of them."""
+    """``scores``: of each bucket, its vector's share in the log-odds of class 1. ``prior``: the log-odds without any contrast to learn from."""
 
     scores: np.ndarray
-    bias: float
+    prior: float = 0.0
 
 
 def features(texts: list[bytes], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,11 +96,10 @@ def sample_features(sample: DataFrame, buckets: int) -> DataFrame:
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS, dim: int = 8, epochs: int = 12, rate: float = 2.0, seed: int = 3) -> QualityModel:
-    """SGD over (class, feature buckets, shares). Classes have equal weight in the loss; the bias then returns to the prior of equal classes."""
+    """SGD over (class, feature buckets, shares). Classes have equal weight in the loss, and there is no bias: a text of which nothing is known is at 1/2."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     layer = rng.uniform(-1, 1, (dim, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
     n = np.bincount([y for y, _, _ in rows], minlength=2)
     if not n.all():
         # One class or none: no contrast to learn from.
@@ -115,16 +114,15 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS
             if not len(ids):
                 continue
             hidden = share @ vectors[ids]
-            z = hidden @ layer + bias
+            z = hidden @ layer
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y] -= 1.0
             p *= weight[y]
             pull = layer @ p
             layer -= 0.1 * lr * np.outer(hidden, p)
-            bias -= 0.1 * lr * p
             vectors[ids] -= lr * len(ids) ** 0.5 * share[:, None] * pull
-    return QualityModel((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return QualityModel((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, buckets: int = BUCKETS) -> QualityModel:
@@ -139,25 +137,25 @@ def log_odds(model: QualityModel, texts: list[bytes]) -> np.ndarray:
     for owner, bucket in features(texts, len(model.scores)):
         sums += np.bincount(owner, weights=model.scores[bucket], minlength=len(texts))
         n += np.bincount(owner, minlength=len(texts))
-    return sums / np.maximum(n, 1) + model.bias
+    return sums / np.maximum(n, 1) + model.prior
 
 
-def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
-    """All columns of ``docs`` with ``score`` (0 to 1, higher: class 1 likelier) and ``predicted`` (score >= 0.5).
+def score(docs: DataFrame, model: QualityModel, name: str = "score", predicted: str = "predicted") -> DataFrame:
+    """All columns of ``docs`` with ``score`` (0 to 1, higher: class 1 likelier) and ``predicted`` (1 if the score is at least 0.5, else 0).
 
     Every whole text is scored in one pass without a shuffle. A null or empty text has no features, so its
-    score is the bias alone. Columns of these names are replaced.
+    score is 1/2. Columns of these names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x 4 bytes
-    kept = [c for c in docs.columns if c.lower() not in (name.lower(), "predicted")]
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(name, T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    kept = [c for c in docs.columns if c.lower() not in (name, predicted)]
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(name, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
     def make():
         model = sent.value
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             p = 1 / (1 + np.exp(-np.clip(log_odds(model, texts_of(batch)), -60, 60)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, name, "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, name, predicted])
 
         return each
 

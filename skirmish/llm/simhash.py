@@ -169,6 +169,6 @@ def keep_one(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> D
     """
     rows = with_components(durable(fingerprints(docs, words), "fingerprints"), max_bits)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
-    kept = rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.no_id").alias("_no_id"), F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_text_hash"))
-    keyed = docs.withColumns({"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_text_hash": F.xxhash64("text")})
-    return keyed.join(kept.distinct(), ["_no_id", "_id", "_text_hash"]).dropDuplicates(["_no_id", "_id", "_text_hash"]).select(*docs.columns)
+    kept = rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.no_id").alias("__no_id"), F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__text_hash"))
+    keyed = docs.withColumns({"__no_id": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text_hash": F.xxhash64("text")})
+    return keyed.join(kept.distinct(), ["__no_id", "__id", "__text_hash"]).dropDuplicates(["__no_id", "__id", "__text_hash"]).select(*docs.columns)
