@@ -5,11 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skirmish.plans import analytics as a
+from skirmish.plans import oracle
+from skirmish.plans.cohort import Tables
+
+Plan = Callable[[Tables], DataFrame]
+
+#: Queries over the derived tables.
+PLANS: dict[str, Plan] = {
+    "match_admission": lambda t: t.eligible_matches,
+    "player_matches": lambda t: t.player_matches.withColumn("started", F.unix_seconds("start_time")).drop("start_time"),
+    "hero_account_counts": lambda t: t.hero_account_counts,
+    "match_folds": lambda t: t.match_folds,
+    "compositions": lambda t: t.compositions.withColumn("hero_ids", F.array_join("hero_ids", ",")),
+    "team_snapshots": lambda t: t.team_snapshots,
+    "purchases": lambda t: t.purchases.select("match_id", "player_slot", "item_id", "buy_time", "sold_time", "imbued_ability_id", "own_net_worth_at_buy", "state_observed_at_s", "event_order", "same_second_purchase_count", "item_purchase_ordinal"),
+    "first_purchases": lambda t: t.first_purchases.select(
+        "match_id", "player_slot", "item_id", "fold", "phase", "own_team_net_worth", "own_team_observed_players", "enemy_team_net_worth", "enemy_team_observed_players", "team_net_worth_lead", "state_age_s", "prior_catalog_spend", "prior_purchase_count"
+    ),
+    "decision_opportunities": lambda t: t.decision_opportunities.select("match_id", "player_slot", "item_id", "phase", "tier", "candidate_slate_json", "realized_action", "save_action_observed"),
+    "row_counts": a.row_counts,
+    "item_adoption": a.item_adoption,
+    "item_adoption_by_fold": lambda t: a.item_aggregates(t, folds=True),
+    "rank_percentile": a.rank_percentiles,
+    "top10_rankings": a.top_rankings,
+    "rank_stability": a.rank_stability,
+    "timing_stability": a.timing_stability,
+    "confounding_correlations": a.confounding_correlations,
+    "baseline_evaluation": a.baseline_evaluation,
+    "state_cells": a.state_cells,
+    "state_references": a.state_references,
+    "state_overlap": a.state_overlap,
+    "state_coverage": a.state_coverage,
+    "matchup_whole_team": lambda t: a.matchup_cells(t, "whole_enemy_team"),
+    # The driver's tables leave no lane cell 100 observations at small scale, so these take a floor of 20.
+    "matchup_same_lane": lambda t: a.matchup_cells(t, "same_lane", support=20),
+    "same_opportunity_comparator": lambda t: a.matchups(t, lane_support=20),
+    "matchup_temporal_cells": lambda t: a.matchup_cells(t, "whole_enemy_team", ["fold"], 20),
+    "matchup_temporal_stability": lambda t: a.matchup_stability(t, 20),
+    "component_edges": a.component_edges,
+    "item_transitions": a.item_transitions,
+    "sequence_model_evaluation": a.sequence_model_evaluation,
+    "sequence_backoff": a.sequence_backoff,
+    "calibration_audit": a.calibration_audit,
+    "daily_rank": a.daily_rank,
+    "badge_counts": a.badge_counts,
+    "adoption_by_calibration": lambda t: a.adoption_by(t, F.col("calibration"), "calibration"),
+    "adoption_by_rank_family": lambda t: a.adoption_by(t, a.rank_family(), "rank_family"),
+    "cohort_stability_calibration": lambda t: a.adoption_stability(t, F.col("calibration"), "stratum"),
+    "cohort_stability_rank": lambda t: a.adoption_stability(t, a.rank_family(), "stratum"),
+    "raw_purchase_events": a.raw_purchase_events,
+    "raw_flow": a.raw_flow,
+    "account_breadth": a.account_breadth,
+    "path_label": a.path_label,
+}
+
+
+def _over_tables(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plan(Tables.of(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _over_tables(plan) for name, plan in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
