@@ -6,6 +6,8 @@ triples of :func:`covering_triples`, so the index has a posting list for each va
 for one byte would hold 1/256 of all fingerprints. Within a posting list the bytes that a pair shares are tallied, pairs below the
 minimum are dropped and the rest is verified by its differing bits.
 
+For word shingles at a Jaccard similarity such as 0.8 (:func:`similar_components`) 64 bits are too few; fingerprints of 512 bits have an index of the same kind there.
+
 A list gives the edges of a spanning forest of its links, not all its links, so a group of n near copies costs n - 1 edges
 a list. Lists longer than ``BLOCK`` are dealt into blocks, and every pair of blocks is a task's work of its own. Equal
 fingerprints are one vertex throughout. Components are found by minimum labels with pointer jumping, on tables in the shared folder.
@@ -162,12 +164,132 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return rows.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, all columns, without near duplicates: of each component the row with the smallest ``doc_id`` stays.
+# -- similarity on long fingerprints -------------------------------------------------------------------------------------------
+
+#: Long fingerprints: their 64-bit words, and how many position triples index them.
+LONG, TRIPLES = 8, 320
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def long_fingerprint(text: bytes, words: int) -> np.ndarray:
+    """``LONG`` words of majority bits over the *set* of shingles; the bits come from each shingle's one XXH64, mixed on."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(LONG, np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(tokens) - words + 1)
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n))
+    out = np.zeros(LONG, np.uint64)
+    for k in range(LONG):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(h), _STEP):
+            x = h[at : at + _STEP] + np.uint64(int(_GOLDEN) * (k + 1) & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ (x >> np.uint64(30))) * _SPREAD
+            x ^= x >> np.uint64(31)
+            votes += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def distance_limit(similarity: float) -> int:
+    """Differing bits that two sets of this Jaccard similarity stay below but for one pair in 160: the angle's share of the bits and 2.5 deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * LONG * share + 2.5 * np.sqrt(64 * LONG * share * (1 - share)))
+
+
+def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): edges that connect nodes whose fingerprints are as close as ``similarity`` makes likely. ``nodes``: distinct ``node``, with ``bits``.
+
+    Pairs of the similarity share so many positional bytes that no single position can tell, so the inverted index has lists for ``TRIPLES``
+    random triples of positions: two texts at 0.8 agree in a byte with probability 0.27, and in one of the triples at least with 0.99 or so. Each list is chained to its smallest node and to the
+    node before, in each batch already ahead of the shuffle, so a list that holds a third of all nodes comes to the shuffle as one row a batch. Candidates
+    then have their shared bytes tallied and their distance verified.
+    """
+    rng = np.random.default_rng(29)
+    triples = np.array([rng.choice(8 * LONG, 3, replace=False) for _ in range(TRIPLES)])
+    limit = distance_limit(similarity)
+
+    def chained(keys: np.ndarray, ids: np.ndarray, key: int | None = None, first: int | None = None, before: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which rows begin a list, list's first node, node before) of rows sorted by key and node; the last three say how the list at the start began."""
+        starts = np.append(True, keys[1:] != keys[:-1])
+        previous = np.append(ids[0], ids[:-1])
+        head = np.flatnonzero(starts)
+        firsts = np.repeat(ids[head], np.diff(np.append(head, len(keys))))
+        if key is not None and keys[0] == key:
+            starts[0], previous[0] = False, before
+            firsts[: head[1] if len(head) > 1 else len(keys)] = first
+        return starts, firsts, previous
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                ids = batch.column("node").to_numpy()
+                raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+                keys = (np.arange(TRIPLES) << 24) + (raw[:, triples[:, 0]] << 16) + (raw[:, triples[:, 1]] << 8) + raw[:, triples[:, 2]]
+                keys, ids = keys.ravel(), np.repeat(ids, TRIPLES)
+                order = np.lexsort((ids, keys))
+                keys, ids = keys[order], ids[order]
+                starts, firsts, previous = chained(keys, ids)
+                rest = ~starts
+                yield pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.array(ids[starts]), pa.nulls(int(starts.sum()), pa.int64())], ["key", "a", "b"])
+                if rest.any():
+                    edges = np.unique(np.concatenate([np.stack([firsts[rest], ids[rest]]), np.stack([previous[rest], ids[rest]])], axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(edges.shape[1], pa.int64()), pa.array(edges[0]), pa.array(edges[1])], ["key", "a", "b"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = first = before = None
+        for batch in batches:
+            if batch.num_rows:
+                keys, ids = batch.column("key").to_numpy(), batch.column("a").to_numpy()
+                starts, firsts, previous = chained(keys, ids, key, first, before)
+                key, first, before = keys[-1], firsts[-1], ids[-1]
+                rest = ~starts
+                edges = np.concatenate([np.stack([firsts[rest], ids[rest]]), np.stack([previous[rest], ids[rest]])], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+            shared = (x == y).sum(axis=1)
+            near = (shared >= 3) & (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
+
+    posted = nodes.select("node", "bits").mapInArrow(post, "key long, a long, b long")
+    lists = posted.where("key IS NOT NULL").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(chain, "a long, b long")
+    pairs = lists.unionByName(posted.where("key IS NULL").select("a", "b")).where("a <> b").distinct()
+    left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, root): rows whose word shingles are similar, directly or over others, have one ``root``."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            bits = [long_fingerprint(x, words).tobytes() for x in texts_of(batch)]
+            node = np.array([xxhash.xxh64_intdigest(b) for b in bits], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "node", "bits"])
+
+        return each
+
+    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = durable(map_arrow(source, make, "doc_id long, text_hash long, node long, bits binary"), "fingerprints")
+    nodes = rows.groupBy("node").agg(F.min("bits").alias("bits"))
+    labels = components(similar_pairs(durable(nodes, "nodes"), similarity))
+    return rows.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of all rows with one ``root`` in ``rows`` (doc_id, text_hash, root) that with the smallest ``doc_id`` stays.
 
     Equal ids: the smaller text hash; rows equal in id and text: one of them. Null ids come after all others.
     """
-    rows = with_components(durable(fingerprints(docs, words), "fingerprints"), max_bits)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
     kept = rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.no_id").alias("__no_id"), F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__text_hash"))
     keyed = docs.withColumns({"__no_id": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text_hash": F.xxhash64("text")})
