@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.plans import analytics as a
-from skirmish.plans import oracle
+from skirmish.plans import estimates as e
+from skirmish.plans import estimates_sql, kernels, oracle
+from skirmish.plans import policies as p
 from skirmish.plans.cohort import Tables
+from skirmish.sources.adapter import read
 
 Plan = Callable[[Tables], DataFrame]
 
@@ -60,6 +63,57 @@ PLANS: dict[str, Plan] = {
     "raw_flow": a.raw_flow,
     "account_breadth": a.account_breadth,
     "path_label": a.path_label,
+    "late_game_cohort": e.late_game_cohort,
+    "late_game_items": e.late_game_items,
+    "late_capstones": e.late_capstones,
+    "core_economy_reference": e.core_economy_reference,
+    "path_item_metrics": e.path_item_metrics,
+    "early_inventories": e.early_inventories,
+    "itemset_support_2": e.itemset_support,
+    # Inventories of the driver's tables rarely share three items.
+    "itemset_support_3": lambda t: e.itemset_support(t, 3, 5),
+    "pair_precedence": e.pair_precedence,
+    "path_coherence": e.path_coherence,
+    "path_coherence_by_fold": lambda t: e.path_coherence(t, folds=True),
+    "hazard_incidence": e.hazard_incidence,
+    "landmarks": e.landmarks,
+    "purchase_prefixes": e.purchase_prefixes,
+    "duration_profile": e.duration_profile,
+    "purchase_windows": e.purchase_windows,
+    "tier_horizons": e.tier_horizons,
+    "calibration_report": e.calibration_report,
+    "abstention_threshold": e.abstention_threshold,
+    "off_policy": e.off_policy,
+    "group_leakage": e.group_leakage,
+    "select_then_estimate": e.select_then_estimate,
+    "monitoring_decision": e.monitoring,
+    "net_worth_validity": e.net_worth_validity,
+    "affinity_scores": e.affinities,
+    # Algorithms that SQL can't express; tested against brute force or by their invariants.
+    "item_eb": p.item_eb,
+    "state_adjusted_eb": p.state_adjusted,
+    "bootstrap_intervals": p.bootstrap,
+    "ridge_holdout": p.ridge_holdout,
+    "dr_contrasts": p.dr_contrasts,
+    "final_inventories": lambda t: p.inventories(t).withColumn("items", F.array_join("items", ",")),
+    # Inventories of the driver's tables are short: smaller sets, and a floor of 3 a fold.
+    "top_cores": lambda t: p.top_cores(t, 2, 20),
+    "backbones": lambda t: p.backbones(t, fold_support=3),
+    "core_completions": lambda t: p.completions(t, p.backbones(t, fold_support=3)),
+    "greedy_paths": p.greedy_paths,
+    "core_path_stability": p.core_path_stability,
+    "build_paths": p.build_paths,
+    "tier_menus": lambda t: p.tier_menus(t, p.backbones(t, fold_support=3)),
+    "situational_policy": p.situational,
+}
+
+#: Queries over the driver's tables as they are.
+PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "asof_events": lambda spark, d: kernels.latest_event(read(spark, d, "events"), "purchase", "view").drop("ts"),
+    "clean_text": lambda spark, d: read(spark, d, "pages").select("page_id", kernels.clean_text(F.col("html")).alias("text")),
+    "threat_tags": lambda spark, d: read(spark, d, "part").select(
+        "p_partkey", F.array_join(kernels.tagged(F.col("p_name")), ",").alias("threats"), (kernels.effective_property(F.col("p_type")) & (F.lower("p_type") != "small")).alias("effective")
+    ),
 }
 
 
@@ -68,8 +122,8 @@ def _over_tables(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _over_tables(plan) for name, plan in PLANS.items()}
+    return {name: _over_tables(plan) for name, plan in PLANS.items()} | PLAIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return {name: oracle.PRELUDE + body for name, body in (oracle.STATEMENTS | estimates_sql.STATEMENTS).items()} | estimates_sql.PLAIN
