@@ -330,6 +330,27 @@ def sequence_model_evaluation(t: Tables) -> DataFrame:
     )
 
 
+def sequence_summary(t: Tables) -> DataFrame:
+    """The models over all heroes, each hero weighted by its test transitions, with the spread of top-1 accuracy between heroes."""
+    n = F.col("test_transitions")
+    metrics = ("context_coverage", "target_coverage", "top1_accuracy", "top3_accuracy", "top5_accuracy", "mean_reciprocal_rank")
+    means = [(F.sum(F.coalesce(F.col(m), F.lit(0.0)) * n) / F.sum(n)).alias(m) for m in metrics]
+    spread = [F.min("top1_accuracy").alias("least_top1"), F.median("top1_accuracy").alias("median_top1"), F.max("top1_accuracy").alias("most_top1")]
+    return sequence_model_evaluation(t).groupBy("model", "evaluation_subset").agg(F.count("*").alias("heroes"), F.sum(n).alias("test_transitions"), *means, *spread)
+
+
+def inflation_bounds(t: Tables) -> DataFrame:
+    """Spread of purchase events per owner over a tier's items."""
+    return item_aggregates(t).groupBy("tier").agg(F.count("*").alias("items"), F.min("event_inflation").alias("least"), F.median("event_inflation").alias("median"), quantile("event_inflation", 0.9).alias("q90"), F.max("event_inflation").alias("most"))
+
+
+def matchup_summary(t: Tables, support: int = 20) -> DataFrame:
+    """How far item deltas shrink once the hero's own matchup is taken out, by scope."""
+    cells = matchup_cells(t, "whole_enemy_team", support=support).unionByName(matchup_cells(t, "same_lane", support=support))
+    raw, left = F.abs("shrunk_interaction_delta"), F.abs("shrunk_item_residual_delta")
+    return cells.groupBy("scope").agg(F.count("*").alias("cells"), F.sum("observations").alias("observations"), F.median(raw).alias("median_delta"), F.median(left).alias("median_residual"), F.max(left).alias("largest_residual"))
+
+
 def sequence_backoff(t: Tables, support: int = 20) -> DataFrame:
     """Next-item support in four nested contexts, from (first item, previous item, position) down to nothing.
 

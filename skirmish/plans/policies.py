@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from skirmish.functions import models
 from skirmish.operators import itemsets, ranking
+from skirmish.operators.paths import state_counts, supported_path
 from skirmish.operators.replay import final_inventories, incremental_cost, schedule
 from skirmish.plans import analytics as a
 from skirmish.plans.cohort import APPEARANCE, Tables
@@ -390,3 +391,18 @@ def agreement_orders(precedence: Sequence[tuple[int, int, int, int]], items: Seq
             best[whole] = sorted(grown)[:keep]
     return [(-score, order) for score, order in best[frozenset(items)]]
 
+
+def supported_openings(t: Tables, length: int = 3) -> DataFrame:
+    """Each hero's most supported opening of ``length`` different items, step by step from what players had reached.
+
+    Only the first ``length`` purchases are counted, so the states of a hero are combinations of catalogue items.
+    """
+    first = t.first_purchases.groupBy("hero_id", *APPEARANCE).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("buy_time", "item_id"))), lambda x: x["item_id"]), 1, length).alias("path"))
+    counts = state_counts(first.groupBy("hero_id", "path").agg(F.count("*").alias("w")), ["hero_id"], "path", "w")
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        found = supported_path({(tuple(r.state), r.next): r.n for r in group.itertuples()}, lambda state: len(state) == length) or []
+        rows = [(group["hero_id"].iloc[0], k + 1, step, n) for k, (step, n) in enumerate(found)]
+        return pd.DataFrame(rows, columns=["hero_id", "position", "item_id", "support"])
+
+    return counts.groupBy("hero_id").applyInPandas(choose, "hero_id int, position int, item_id long, support long")

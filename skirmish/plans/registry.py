@@ -51,6 +51,9 @@ PLANS: dict[str, Plan] = {
     "component_edges": a.component_edges,
     "item_transitions": a.item_transitions,
     "sequence_model_evaluation": a.sequence_model_evaluation,
+    "sequence_summary": a.sequence_summary,
+    "inflation_bounds": a.inflation_bounds,
+    "matchup_summary": a.matchup_summary,
     "sequence_backoff": a.sequence_backoff,
     "calibration_audit": a.calibration_audit,
     "daily_rank": a.daily_rank,
@@ -105,6 +108,7 @@ PLANS: dict[str, Plan] = {
     "build_paths": p.build_paths,
     "tier_menus": lambda t: p.tier_menus(t, p.backbones(t, fold_support=3)),
     "situational_policy": p.situational,
+    "supported_openings": p.supported_openings,
 }
 
 #: Queries over the driver's tables as they are.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skirmish.functions import models, stats
-from skirmish.operators import itemsets, ranking, replay
+from skirmish.operators import itemsets, paths, ranking, replay
 from skirmish.operators.asof import asof_join, last_observed, latest_by_time
 from skirmish.plans import kernels, policies
 from skirmish.plans.analytics import same_opportunity_comparators, with_residual
@@ -236,6 +236,25 @@ def test_greedy_path_keeps_its_limits():
     assert got["cost"] <= 30_000 and len(got["held"]) <= 9 and len({0, 4, 8, 12, 16} & set(got["held"])) <= 4
 
 
+def test_supported_paths(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3], 60), (1, [2, 1, 4], 50), (1, [5], 999)], "g int, path array<bigint>, w long")
+    rows = paths.state_counts(df, ["g"], "path", "w").collect()
+    counts = {(tuple(r["state"]), r["next"]): r["n"] for r in rows}
+    assert counts[(1, 2), 3] == 60 and counts[(1, 2), 4] == 50 and counts[(), 5] == 999
+    # The best first step leads nowhere, so the next one is taken.
+    assert paths.supported_path(counts, lambda s: len(s) == 3) == [(1, 60), (2, 60), (3, 60)]
+    assert paths.supported_path(counts, lambda s: len(s) == 4) is None
+
+
+def test_widening():
+    base = {"minimum_badge": 90, "maximum_badge": 100, "since": 10, "support": 5, "mode": "ranked", "epoch": 1}
+    wider, widest = base | {"minimum_badge": 80, "support": 50}, base | {"minimum_badge": 70, "support": 500}
+    assert paths.widened([base, wider, widest], 40) == [base, wider]
+    assert paths.widened([base, wider | {"epoch": 2}], 40) == [base]
+    with pytest.raises(ValueError, match="widen"):
+        paths.widened([wider, base], 100)
+
+
 # -- estimators --------------------------------------------------------------------------------------------------------------
 
 
