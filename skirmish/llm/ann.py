@@ -97,8 +97,8 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    return table.column("vector").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
 
 
 def search(indexed: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
@@ -110,17 +110,18 @@ def search(indexed: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
     """
     n, n_queries = indexed.agg(F.count("*"), F.count_if(is_query)).first()
     query_blocks, blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
-    asked = indexed.where(is_query).select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
+    # Queries have columns of their own names: a cogroup of two sides with columns in common would mix them up.
+    asked = indexed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("wanted"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
     offered = indexed.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]]
         if left.num_rows and right.num_rows:
-            queries, x, ids = _matrix(left), np.ascontiguousarray(_matrix(right)), right.column("vec_id").to_numpy()
+            queries, x, ids = _matrix(left, "wanted"), np.ascontiguousarray(_matrix(right, "vector")), right.column("vec_id").to_numpy()
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint64).reshape(len(ids), -1)
             lengths, fidelity = right.column("length").to_numpy(), right.column("fidelity").to_numpy()
             turn = rotation(x.shape[1])
-            for own, vector in zip(left.column("vec_id").to_pylist(), queries, strict=True):
+            for own, vector in zip(left.column("query_id").to_pylist(), queries, strict=True):
                 estimate, bound = Query(vector, turn).estimates(codes, lengths, fidelity)
                 other = ids != own
                 estimate[~other] = -np.inf
