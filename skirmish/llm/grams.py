@@ -76,7 +76,7 @@ def grams(codes: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.
         if n > 2:
             blocked = blocked[:m] | inner[n - 2 : n - 2 + m]
         if n in orders:
-            bad = blocked[:m] | (inner[:m] & inner[n - 1 :]) if n > 1 else inner[:m]
+            bad = blocked[:m] if n > 2 else inner[:m] & inner[n - 1 :]
             at = np.flatnonzero(~bad)
             yield n, at, mix(h[at] + np.uint64(n))
 
