@@ -31,5 +31,36 @@ WITH sizes AS (
 )
 SELECT doc_id, source, lang, n_chars, copy::INTEGER AS copy, md5(identity || '|' || copy::VARCHAR) AS shuffle_key
 FROM (SELECT *, unnest(range(n_copies)) AS copy FROM counted)
+""",
+    "op9_line_dedup": r"""
+WITH pieces AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), raw AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM pieces
+), e AS (
+  SELECT doc_id, pos, line, w, row_number() OVER d AS i, sum(w) OVER d AS s
+  FROM (SELECT *, len(regexp_extract_all(line, '[^ \t-\r]+')) AS w FROM raw) WHERE w > 0
+  WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), windows AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49 AND b.s - a.s + a.w >= 50 GROUP BY a.doc_id, a.i
+  UNION
+  SELECT b.doc_id, max(a.i), b.i FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.i BETWEEN b.i - 49 AND b.i AND b.s - a.s + a.w >= 50 GROUP BY b.doc_id, b.i
+), contents AS (
+  SELECT v.doc_id, v.i, v.j, min(pos) AS first, max(pos) AS last, string_agg(line, chr(10) ORDER BY pos) AS content
+  FROM windows v JOIN e ON e.doc_id = v.doc_id AND e.i BETWEEN v.i AND v.j GROUP BY v.doc_id, v.i, v.j
+), later AS (
+  SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS n FROM contents) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM later
+), islands AS (
+  SELECT doc_id, min(pos) AS a, max(pos) AS b FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone) GROUP BY doc_id, g
+), removed AS (
+  SELECT doc_id, sum(b - a + 1)::BIGINT AS n_removed, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM islands GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM raw ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.removed, '') AS removed,
+  md5(CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END) AS text_md5
+FROM documents d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """,
 }
