@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
 # -- similarity on long fingerprints -------------------------------------------------------------------------------------------
 
 #: Long fingerprints: their 64-bit words, and how many position triples index them.
-LONG, TRIPLES = 8, 320
+LONG, TRIPLES, MATCHES = 8, 520, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -205,63 +205,61 @@ def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): edges that connect nodes whose fingerprints are as close as ``similarity`` makes likely. ``nodes``: distinct ``node``, with ``bits``.
 
     Pairs of the similarity share so many positional bytes that no single position can tell, so the inverted index has lists for ``TRIPLES``
-    random triples of positions: two texts at 0.8 agree in a byte with probability 0.27, and in one of the triples at least with 0.99 or so. Each list is chained to its smallest node and to the
-    node before, in each batch already ahead of the shuffle, so a list that holds a third of all nodes comes to the shuffle as one row a batch. Candidates
-    then have their shared bytes tallied and their distance verified.
+    random triples of positions: two texts at 0.8 agree in a byte with probability 0.27, so they share ten of the lists on average, and ``MATCHES`` of them with a
+    probability of 0.99 or so; two texts at 0.6 share one, and others none. Each list is tied to its smallest node, in
+    each batch already ahead of the shuffle, so a list that holds a third of all nodes comes to the shuffle as one row a batch, and a group of n copies has no more than n edges a list. A pair's lists
+    are tallied, pairs below ``MATCHES`` are dropped, and the rest has its distance verified.
     """
     rng = np.random.default_rng(29)
     triples = np.array([rng.choice(8 * LONG, 3, replace=False) for _ in range(TRIPLES)])
     limit = distance_limit(similarity)
 
-    def chained(keys: np.ndarray, ids: np.ndarray, key: int | None = None, first: int | None = None, before: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which rows begin a list, list's first node, node before) of rows sorted by key and node; the last three say how the list at the start began."""
+    def tied(keys: np.ndarray, ids: np.ndarray, key: int | None = None, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(which rows begin a list, the list's first node) of rows sorted by key and node; ``key`` and ``first`` say how the list at the start began."""
         starts = np.append(True, keys[1:] != keys[:-1])
-        previous = np.append(ids[0], ids[:-1])
         head = np.flatnonzero(starts)
         firsts = np.repeat(ids[head], np.diff(np.append(head, len(keys))))
         if key is not None and keys[0] == key:
-            starts[0], previous[0] = False, before
+            starts[0] = False
             firsts[: head[1] if len(head) > 1 else len(keys)] = first
-        return starts, firsts, previous
+        return starts, firsts
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
                 ids = batch.column("node").to_numpy()
                 raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
                 keys = (np.arange(TRIPLES) << 24) + (raw[:, triples[:, 0]] << 16) + (raw[:, triples[:, 1]] << 8) + raw[:, triples[:, 2]]
                 keys, ids = keys.ravel(), np.repeat(ids, TRIPLES)
                 order = np.lexsort((ids, keys))
                 keys, ids = keys[order], ids[order]
-                starts, firsts, previous = chained(keys, ids)
-                rest = ~starts
-                yield pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.array(ids[starts]), pa.nulls(int(starts.sum()), pa.int64())], ["key", "a", "b"])
-                if rest.any():
-                    edges = np.unique(np.concatenate([np.stack([firsts[rest], ids[rest]]), np.stack([previous[rest], ids[rest]])], axis=1), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(edges.shape[1], pa.int64()), pa.array(edges[0]), pa.array(edges[1])], ["key", "a", "b"])
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = first = before = None
+                starts, firsts = tied(keys, ids)
+                none = pa.nulls(int(starts.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.array(ids[starts]), none, none], ["key", "a", "b", "n"])
+                if not starts.all():
+                    edges, n = np.unique(np.stack([firsts[~starts], ids[~starts]]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(edges[0]), pa.array(edges[1]), pa.array(n)], ["key", "a", "b", "n"])
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = first = None
         for batch in batches:
             if batch.num_rows:
                 keys, ids = batch.column("key").to_numpy(), batch.column("a").to_numpy()
-                starts, firsts, previous = chained(keys, ids, key, first, before)
-                key, first, before = keys[-1], firsts[-1], ids[-1]
-                rest = ~starts
-                edges = np.concatenate([np.stack([firsts[rest], ids[rest]]), np.stack([previous[rest], ids[rest]])], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+                starts, firsts = tied(keys, ids, key, first)
+                key, first = keys[-1], firsts[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(firsts[~starts]), pa.array(ids[~starts]), pa.array(np.ones(int((~starts).sum()), np.int64))], ["a", "b", "n"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-            shared = (x == y).sum(axis=1)
-            near = (shared >= 3) & (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit)
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
 
-    posted = nodes.select("node", "bits").mapInArrow(post, "key long, a long, b long")
-    lists = posted.where("key IS NOT NULL").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(chain, "a long, b long")
-    pairs = lists.unionByName(posted.where("key IS NULL").select("a", "b")).where("a <> b").distinct()
+    posted = nodes.select("node", "bits").mapInArrow(post, "key long, a long, b long, n long")
+    lists = posted.where("key IS NOT NULL").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(tie, "a long, b long, n long")
+    tallied = lists.unionByName(posted.where("key IS NULL").select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = tallied.where(F.col("n") >= MATCHES).select("a", "b")
     left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
