@@ -14,7 +14,9 @@ training count less a discount ``d = n1 / (n1 + 2 n2)`` over all training tokens
 which sums to 1. There is such a model for each class of documents, with counts and piece probabilities of its own, and a
 document's probability is marginal over the classes too: sum over z of P(z) times the product of its tokens' P_z, where a
 part ``LEAK`` of P_z is the average over the classes, for documents that mix them. Classes are the ``MAX_CLASSES`` most frequent values of ``lang`` in
-training and one for all else; scoring doesn't read ``lang``.
+training and one for all else, if there is any; scoring doesn't read ``lang``. Words repeat within a document more than by chance: each document has
+word probabilities of its own, drawn around P_z from a Dirichlet distribution of weight ``BURST`` and integrated out, which leaves
+the product over tokens of (BURST P_z(word) + earlier occurrences) / (BURST + earlier words).
 
 Counts cover the whole corpus and are never broadcast: texts are packed into blocks of about ``BLOCK`` bytes with a
 dictionary each, dictionaries are joined with the counts, and a block meets its own values again.
@@ -22,7 +24,7 @@ dictionary each, dictionaries are joined with the counts, and a block meets its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -35,16 +37,26 @@ from pyspark.sql import functions as F
 from skirmish.llm.common import BATCH_BYTES, durable, texts_of
 
 VOCABULARY = "piece_bpe_32k.model"
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 MAX_CLASSES = 7
 LEAK = 0.02
+BURST = 4000.0
 ROUNDS = 2
 MAX_PIECE = 24
-_CHUNK = 1 << 19
+WORDS = 60_000
+_CHUNK = 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(0xD6E8FEB86659FD93)
 
 
+class Places(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Lattice:
     """Pieces as bytes (a space first where a piece begins a word), and their log probabilities."""
 
@@ -56,6 +68,8 @@ class Lattice:
         self.keys, self.ids = keys[order], order.astype(np.int64)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have the same hash")
+        number = {p: k for k, p in enumerate(pieces)}
+        self.bytes = np.array([number[bytes([b])] for b in range(256)])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
 
@@ -96,11 +110,11 @@ class Lattice:
         h = (h ^ (h >> np.uint64(29))) * _S
         return h ^ (h >> np.uint64(32))
 
-    def _arcs(self, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, places in the flattened starts, piece numbers) of all pieces found in equally long words."""
+    def _arcs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, end, piece number) of all pieces found in equally long words."""
         n, size = words.shape
         h = np.zeros((n, size), np.uint64)
-        out = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for length in range(1, min(self.longest, size) + 1):
             starts = size - length + 1
             h = self._step(h[:, :starts], words[:, length - 1 :])
@@ -108,35 +122,40 @@ class Lattice:
             at = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
             place = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
             hit = self.keys[place] == key[at]
-            out.append((length, at[hit], self.ids[place[hit]]))
-        return out
+            row, start = np.divmod(at[hit], starts)
+            found.append((row, start, start + length, self.ids[place[hit]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def forward(self, words: np.ndarray, log_ps: list[np.ndarray], expected: np.ndarray | None = None) -> np.ndarray:
-        """Log marginal probabilities of rows of bytes, a line for each of ``log_ps``; adds the pieces' expected counts (for the last of them) to ``expected``."""
+        """Log marginal probabilities of rows of bytes, a line for each of ``log_ps``; adds the pieces' expected counts (for the last of them) to ``expected``.
+
+        The recursions go over the arcs that end (or begin) at a place. A sum of exponentials is taken relative to the arc of a single byte, which always
+        exists, and no arc of at most ``MAX_PIECE`` bytes differs from it beyond the range of doubles.
+        """
         n, size = words.shape
-        arcs = self._arcs(words)
+        row, start, end, piece = self._arcs(words)
+        kind = np.uint16 if size < 1 << 16 else np.int64
+        by_end = np.argsort(end.astype(kind), kind="stable")
+        cuts = np.searchsorted(end[by_end], np.arange(1, size + 2))
         out = np.empty((len(log_ps), n))
         for z, log_p in enumerate(log_ps):
-            weights = []
-            for length, at, piece in arcs:
-                w = np.full(n * (size - length + 1), -np.inf)
-                w[at] = log_p[piece]
-                weights.append(w.reshape(n, -1))
-            with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
-                a = np.full((size + 1, n), -np.inf)
-                a[0] = 0.0
-                for end in range(1, size + 1):
-                    a[end] = _log_sum([a[end - k] + weights[k - 1][:, end - k] for k in range(1, min(len(arcs), end) + 1)])
+            a = np.zeros((size + 1, n))
+            single = log_p[self.bytes[words]]
+            for k in range(1, size + 1):
+                at = by_end[cuts[k - 1] : cuts[k]]
+                base = a[k - 1] + single[:, k - 1]
+                a[k] = base + np.log(np.bincount(row[at], np.exp(a[start[at], row[at]] + log_p[piece[at]] - base[row[at]]), n))
             out[z] = a[size]
         if expected is not None:
-            b = np.full((size + 1, n), -np.inf)
-            b[size] = 0.0
-            for start in range(size - 1, -1, -1):
-                b[start] = _log_sum([b[start + k] + weights[k - 1][:, start] for k in range(1, min(len(arcs), size - start) + 1)])
-            for length, at, piece in arcs:
-                row, start = np.divmod(at, size - length + 1)
-                share = np.exp(a[start, row] + log_p[piece] + b[start + length, row] - a[size, row])
-                expected += np.bincount(piece, weights=share, minlength=len(expected))
+            by_start = np.argsort(start.astype(kind), kind="stable")
+            cuts = np.searchsorted(start[by_start], np.arange(size + 1))
+            b = np.zeros((size + 1, n))
+            for k in range(size - 1, -1, -1):
+                at = by_start[cuts[k] : cuts[k + 1]]
+                base = b[k + 1] + single[:, k]
+                b[k] = base + np.log(np.bincount(row[at], np.exp(b[end[at], row[at]] + log_p[piece[at]] - base[row[at]]), n))
+            share = np.exp(a[start, row] + log_p[piece] + b[end, row] - a[size, row])
+            expected += np.bincount(piece, share, len(expected))
         return out
 
     def log_probabilities(self, words: list[bytes], log_ps: list[np.ndarray] | None = None, expected: np.ndarray | None = None) -> np.ndarray:
@@ -156,17 +175,6 @@ class Lattice:
         return out
 
 
-def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
-    """Log of the sum of exponentials; every part may be minus infinity but not all of them where it matters."""
-    if len(parts) == 1:
-        return parts[0]
-    stacked = np.stack(parts)
-    top = stacked.max(axis=0)
-    safe = np.where(np.isfinite(top), top, 0.0)
-    with np.errstate(divide="ignore"):
-        return safe + np.log(np.exp(stacked - safe).sum(axis=0))
-
-
 def refitted(expected: np.ndarray) -> np.ndarray:
     counts = expected + 0.05  # keeps every piece possible
     return np.log(counts / counts.sum())
@@ -175,7 +183,7 @@ def refitted(expected: np.ndarray) -> np.ndarray:
 BLOCK_SCHEMA = "block long, doc_id long, held_out boolean, n_tokens long, places binary, counts binary, part long, words array<string>, train_counts array<array<long>>"
 
 
-def blocks(docs: DataFrame, held_out: F.Column, classes: list[str]) -> DataFrame:
+def blocks(docs: DataFrame, held_out: F.Column, classes: list[str], n_classes: int) -> DataFrame:
     """Texts packed into blocks: a row for each text (the words' places in the block's dictionary and how often), and rows with the dictionary
     and the words' training counts in each class. Words are lower-cased (A-Z) and separated by ASCII white space."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -188,8 +196,8 @@ def blocks(docs: DataFrame, held_out: F.Column, classes: list[str]) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         number = TaskContext.get().partitionId() << 32
-        place: dict[bytes, int] = {}
-        totals = np.zeros((0, len(classes) + 1), np.int64)
+        place = Places()
+        totals = np.zeros((0, n_classes), np.int64)
         size = 0
 
         def dictionary() -> Iterator[pa.RecordBatch]:
@@ -201,7 +209,7 @@ def blocks(docs: DataFrame, held_out: F.Column, classes: list[str]) -> DataFrame
             rows = []
             for doc, held, kind, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("class").to_pylist(), texts_of(batch), strict=True):
                 tokens = text.lower().split()
-                found, n = np.unique(np.fromiter((place.setdefault(t, len(place)) for t in tokens), np.int32, len(tokens)), return_counts=True)
+                found, n = np.unique(np.fromiter(map(place.__getitem__, tokens), np.int32, len(tokens)), return_counts=True)
                 if len(place) > len(totals):
                     totals = np.concatenate((totals, np.zeros((len(place) + 1024 - len(totals) // 2, totals.shape[1]), np.int64)))
                 if not held:
@@ -211,7 +219,8 @@ def blocks(docs: DataFrame, held_out: F.Column, classes: list[str]) -> DataFrame
                 if size >= BLOCK:
                     yield record(rows)
                     yield from dictionary()
-                    rows, place, totals, size, number = [], {}, totals[:0], 0, number + 1
+                    pa.default_memory_pool().release_unused()
+                    rows, place, totals, size, number = [], Places(), totals[:0], 0, number + 1
             if rows:
                 yield record(rows)
         yield from dictionary()
@@ -233,37 +242,50 @@ def frequent_classes(docs: DataFrame) -> list[str]:
     return [r["lang"] for r in rows]
 
 
-def _map_words(words: DataFrame, lattice: Lattice, log_ps: list[np.ndarray], fitting: bool) -> DataFrame:
-    """The words with their log probabilities by class, or, if fitting, each class's expected counts of pieces over its training words."""
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows: words of one length are worked out together, and the more there are the less a numpy call weighs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _map_words(words: DataFrame, lattice: Lattice, log_ps: list[np.ndarray], value: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Each class's expected counts of pieces over its training words; or, with ``value``, the words with their count and what that
+    function makes of (words x classes) counts and log probabilities. All in one pass, so a task has one Python worker."""
     sent = words.sparkSession.sparkContext.broadcast((lattice.pieces, log_ps))  # bounded by vocabulary and classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, log_ps = sent.value
         mine = Lattice(pieces, log_ps[0])
         expected = [np.zeros(len(pieces)) for _ in log_ps]
-        for batch in batches:
+        for batch in _gathered(batches, WORDS):
             listed = batch.column("word").cast(pa.binary()).to_pylist()
-            counts = batch.column("c").flatten().to_numpy().reshape(len(listed), -1)
-            if fitting:
+            counts = batch.column("c").combine_chunks().flatten().to_numpy().reshape(len(listed), -1)
+            if value is None:
                 for z, log_p in enumerate(log_ps):
                     mine.log_probabilities([listed[k] for k in np.flatnonzero(counts[:, z])], [log_p], expected[z])
             else:
-                found = mine.log_probabilities(listed, log_ps).T
-                values = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(found).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), values], ["word", "c", "log_lattice"])
-        if fitting:
+                found = value(counts, mine.log_probabilities(listed, log_ps).T).astype(np.float32)
+                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
+                yield from pa.table([batch.column("word"), pa.array(counts.sum(axis=1)), lists], ["word", "n", "lm"]).to_batches()
+        if value is None:
             for z, n in enumerate(expected):
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), z)), pa.array(at), pa.array(n[at])], ["class", "piece", "n"])
 
-    return words.mapInArrow(run, "class long, piece long, n double" if fitting else "word string, c array<long>, log_lattice array<double>")
+    return words.mapInArrow(run, "class long, piece long, n double" if value is None else "word string, n long, lm array<float>")
 
 
 def fit_lattices(words: DataFrame, lattice: Lattice, n_classes: int, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Expectation maximisation over a class's distinct training words, each with weight 1: the lattice serves rare and unseen words."""
     log_ps = [lattice.log_p] * n_classes
     for _ in range(rounds):
-        found = _map_words(words, lattice, log_ps, True).groupBy("class", "piece").agg(F.sum("n").alias("n")).toPandas()
+        found = _map_words(words, lattice, log_ps).groupBy("class", "piece").agg(F.sum("n").alias("n")).toPandas()
         expected = np.zeros((n_classes, len(lattice.pieces)))
         expected[found["class"], found["piece"]] = found["n"]
         log_ps = [refitted(x) for x in expected]
@@ -282,10 +304,10 @@ def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCAB
     """
     learned = docs.where(~F.coalesce(held_out, F.lit(False)))
     classes = frequent_classes(learned)
-    k = len(classes) + 1
     ends_by_class = {r["class"]: r["count"] for r in learned.groupBy(_class(classes).alias("class")).count().collect()}
+    k = max(1, len(classes) + (len(classes) in ends_by_class))
     ends = np.array([ends_by_class.get(z, 0) for z in range(k)], float)
-    packed = durable(blocks(docs, held_out, classes), "blocks")
+    packed = durable(blocks(docs, held_out, classes, k), "blocks")
     texts = packed.where("words IS NULL").drop("part", "words", "train_counts")
     entries = packed.where("words IS NOT NULL").select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("train_counts").alias("t"))))
     sums = entries.groupBy("word").agg(*[F.sum(F.col("t")[z]).alias(f"c{z}") for z in range(k)])
@@ -308,15 +330,11 @@ def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCAB
         end = np.where(own > 0, ends / np.maximum(own, 1), 0.5)
     spread = (1 - LEAK) * np.eye(k) + LEAK * prior
 
-    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = batch.column("c").flatten().to_numpy().reshape(-1, k)
-            p = np.exp(batch.column("log_lattice").flatten().to_numpy().reshape(-1, k)) * free + np.maximum(counts - d, 0) / np.maximum(own, 1)
-            lm = np.log10(np.maximum(p @ spread.T, 1e-300)).astype(np.float32)
-            values = pa.ListArray.from_arrays(np.arange(0, lm.size + 1, k, dtype=np.int32), pa.array(lm.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(counts.sum(axis=1)), values], ["word", "n", "lm"])
+    def mixed(counts: np.ndarray, log_lattice: np.ndarray) -> np.ndarray:
+        p = np.exp(log_lattice) * free + np.maximum(counts - d, 0) / np.maximum(own, 1)
+        return np.log10(np.maximum(p @ spread.T, 1e-300))
 
-    scored = _map_words(words, lattice, log_ps, False).mapInArrow(valued, "word string, n long, lm array<float>")
+    scored = _map_words(words, lattice, log_ps, mixed)
     values = dictionary_rows(packed).join(scored, "word").select(F.col("block").alias("of_block"), "place", "n", "lm")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -331,7 +349,11 @@ def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCAB
             start = np.log10(prior) + np.log10(end)
         for row, (where, counts) in enumerate(zip(left.column("places").to_pylist(), left.column("counts").to_pylist(), strict=True)):
             at, times = np.frombuffer(where, np.int32), np.frombuffer(counts, np.int32)
-            by_class = start + times @ lm[at]
+            p = BURST * 10.0 ** lm[at]
+            again = np.flatnonzero(times > 1)
+            which = np.repeat(again, times[again] - 1)
+            earlier = np.arange(len(which)) - np.repeat(np.cumsum(times[again] - 1) - (times[again] - 1), times[again] - 1) + 1
+            by_class = start + np.log10(p).sum(axis=0) + np.log10(p[which] + earlier[:, None]).sum(axis=0) - np.log10(BURST + np.arange(times.sum())).sum()
             top = by_class.max()
             out[row] = times @ known[at], times @ base[at], top + np.log10((10 ** (by_class - top)).sum())
         end_base = np.log10((ends.sum() + 0.5) / (n + 0.5 * (v + 1)))
