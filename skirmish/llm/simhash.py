@@ -172,17 +172,21 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def long_fingerprint(text: bytes, words: int) -> np.ndarray:
-    """``LONG`` words of majority bits over the *set* of shingles; the bits come from each shingle's one XXH64, mixed on."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The set of a text's shingles, as sorted distinct XXH64; empty for a text without words."""
     tokens = text.lower().split()
     if not tokens:
-        return np.zeros(LONG, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - words + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n))
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n))
+
+
+def long_fingerprint(h: np.ndarray) -> np.ndarray:
+    """``LONG`` words of majority bits over a set of :func:`shingles`; the bits come from each shingle's one XXH64, mixed on."""
     out = np.zeros(LONG, np.uint64)
     for k in range(LONG):
         votes = np.zeros(64, np.int64)
@@ -196,33 +200,15 @@ def long_fingerprint(text: bytes, words: int) -> np.ndarray:
 
 
 def distance_limit(similarity: float) -> int:
-    """Differing bits that two sets of this Jaccard similarity stay below but for one pair in 160: the angle's share of the bits and 2.5 deviations."""
+    """Differing bits that two large sets of this Jaccard similarity hardly ever exceed: the angle's share of the bits and 4 deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * LONG * share + 2.5 * np.sqrt(64 * LONG * share * (1 - share)))
-
+    return int(64 * LONG * share + 4 * np.sqrt(64 * LONG * share * (1 - share)))
 
-def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): edges that connect nodes whose fingerprints are as close as ``similarity`` makes likely. ``nodes``: distinct ``node``, with ``bits``.
 
-    Pairs of the similarity share so many positional bytes that no single position can tell, so the inverted index has lists for ``TRIPLES``
-    random triples of positions: two texts at 0.8 agree in a byte with probability 0.27, so they share ten of the lists on average, and ``MATCHES`` of them with a
-    probability of 0.99 or so; two texts at 0.6 share one, and others none. Each list is tied to its smallest node, in
-    each batch already ahead of the shuffle, so a list that holds a third of all nodes comes to the shuffle as one row a batch, and a group of n copies has no more than n edges a list. A pair's lists
-    are tallied, pairs below ``MATCHES`` are dropped, and the rest has its distance verified.
-    """
+def shared_lists(nodes: DataFrame) -> DataFrame:
+    """(key, node): the inverted index of ``nodes`` (``node``, ``bits``) on ``TRIPLES`` random position triples, without lists of one node."""
     rng = np.random.default_rng(29)
     triples = np.array([rng.choice(8 * LONG, 3, replace=False) for _ in range(TRIPLES)])
-    limit = distance_limit(similarity)
-
-    def tied(keys: np.ndarray, ids: np.ndarray, key: int | None = None, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(which rows begin a list, the list's first node) of rows sorted by key and node; ``key`` and ``first`` say how the list at the start began."""
-        starts = np.append(True, keys[1:] != keys[:-1])
-        head = np.flatnonzero(starts)
-        firsts = np.repeat(ids[head], np.diff(np.append(head, len(keys))))
-        if key is not None and keys[0] == key:
-            starts[0] = False
-            firsts[: head[1] if len(head) > 1 else len(keys)] = first
-        return starts, firsts
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -231,58 +217,152 @@ def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
                 ids = batch.column("node").to_numpy()
                 raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
                 keys = (np.arange(TRIPLES) << 24) + (raw[:, triples[:, 0]] << 16) + (raw[:, triples[:, 1]] << 8) + raw[:, triples[:, 2]]
-                keys, ids = keys.ravel(), np.repeat(ids, TRIPLES)
-                order = np.lexsort((ids, keys))
-                keys, ids = keys[order], ids[order]
-                starts, firsts = tied(keys, ids)
-                none = pa.nulls(int(starts.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.array(ids[starts]), none, none], ["key", "a", "b", "n"])
-                if not starts.all():
-                    edges, n = np.unique(np.stack([firsts[~starts], ids[~starts]]), axis=1, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(edges[0]), pa.array(edges[1]), pa.array(n)], ["key", "a", "b", "n"])
-
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = first = None
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, TRIPLES))], ["key", "node"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, which waits for the next, and if it had one before
         for batch in batches:
             if batch.num_rows:
-                keys, ids = batch.column("key").to_numpy(), batch.column("a").to_numpy()
-                starts, firsts = tied(keys, ids, key, first)
-                key, first = keys[-1], firsts[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(firsts[~starts]), pa.array(ids[~starts]), pa.array(np.ones(int((~starts).sum()), np.int64))], ["a", "b", "n"])
+                keys, ids = (np.concatenate((held, batch.column(c).to_numpy())) for held, c in ((keys, "key"), (ids, "node")))
+                same = keys[1:] == keys[:-1]
+                member = np.append(shared, same) | np.append(same, False)
+                at = np.flatnonzero(member[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(ids[at])], ["key", "node"])
+                keys, ids, shared = keys[-1:], ids[-1:], bool(member[-1])
+        if shared:
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "node"])
+
+    posted = nodes.select("node", "bits").mapInArrow(post, "key long, node long")
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(several, "key long, node long")
+
+
+def apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, n): of all pairs of nodes within a list that have different labels, how many lists they share (in parts to be summed).
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``labels``: (node, label); a node without one is its own. The nodes of a list's most frequent label meet all others of the list,
+    and these meet one another, in blocks of at most about ``BLOCK`` nodes.
+    """
+    named = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
+    side = F.when(F.col("label") == F.col("main"), 0).otherwise(1)
+    many = F.ceil(F.when(F.col("label") == F.col("main"), F.col("n_main")).otherwise(F.col("n") - F.col("n_main")) / BLOCK)
+    dealt = named.join(mains, "key").withColumns({"side": side, "block": F.pmod(F.xxhash64("node"), many)})
+    parts = dealt.groupBy("key", "side", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"))
+    other = parts.where("side = 1").select("key", F.col("block").alias("other"), F.col("nodes").alias("more"), F.col("labels").alias("more_labels"))
+    met = parts.join(other, "key").where("side = 0 OR block <= other").select("nodes", "labels", "more", "more_labels", (F.expr("side = 1 AND block = other")).alias("own"))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            columns = [(batch.column(c).flatten().to_numpy(), batch.column(c).offsets.to_numpy() - batch.column(c).offsets[0].as_py()) for c in ("nodes", "labels", "more", "more_labels")]
+            held, size = [], 0
+            for row, own in enumerate(batch.column("own").to_pylist()):
+                x, x_label, y, y_label = (v[at[row] : at[row + 1]] for v, at in columns)
+                differ = x_label[:, None] != y_label[None, :]
+                i, j = np.nonzero(np.triu(differ) if own else differ)
+                held.append(np.stack([np.minimum(x[i], y[j]), np.maximum(x[i], y[j])]))
+                size += len(i)
+                if size > 1 << 20 or row == batch.num_rows - 1:
+                    pairs = np.concatenate(held, axis=1)
+                    pairs = pairs[:, np.lexsort(pairs)]
+                    first = np.flatnonzero(np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))[: pairs.shape[1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0, first]), pa.array(pairs[1, first]), pa.array(np.diff(np.append(first, pairs.shape[1])))], ["a", "b", "n"])
+                    held, size = [], 0
+
+        return each
+
+    return map_arrow(met, make, "a long, b long, n long")
+
+
+def close_pairs(counted: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``counted`` (a, b, n) that share ``MATCHES`` lists and whose fingerprints are within :func:`distance_limit`."""
+    limit = distance_limit(similarity)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
+            passed = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(passed)) for c in ("a", "b")], ["a", "b"])
 
-    posted = nodes.select("node", "bits").mapInArrow(post, "key long, a long, b long, n long")
-    lists = posted.where("key IS NOT NULL").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(tie, "a long, b long, n long")
-    tallied = lists.unionByName(posted.where("key IS NULL").select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = tallied.where(F.col("n") >= MATCHES).select("a", "b")
+    pairs = counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MATCHES).select("a", "b")
     left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(near, "a long, b long")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least this Jaccard similarity, from the texts themselves."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.drop("bits"), "node")
+    texts = _keyed(docs.select("doc_id", "text")).join(wanted, _KEY).groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = durable(texts, "candidates")
+
+    def make():
+        last: list = [None, None]
+
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            passed = []
+            for a, x, y in zip(batch.column("a").to_pylist(), texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
+                if last[0] != a:
+                    last[:] = a, shingles(x, words)
+                other = shingles(y, words)
+                both = len(np.intersect1d(last[1], other, assume_unique=True))
+                passed.append(both >= similarity * (len(last[1]) + len(other) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(passed, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+        return each
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), make, "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text_hash, root): rows whose word shingles are similar, directly or over others, have one ``root``."""
+    """(doc_id, text_hash, root): rows whose word shingles have this Jaccard similarity, directly or over others, have one ``root``.
+
+    A node is a distinct set of shingles with its long fingerprint. Pairs of the similarity share so many positional bytes that no single position
+    can tell, so the inverted index has lists for ``TRIPLES`` random triples of positions: two texts at 0.8 agree in a byte with probability 0.27, so they
+    share ten of the lists on average, and ``MATCHES`` of them with a probability of 0.99 or so (less for texts of a few shingles, whose bits vary more);
+    two texts at 0.6 share one, and others none. A pair that shares ``MATCHES`` lists and isn't too far by its bits
+    is decided by the exact similarity of its shingles.
+
+    First each list is tied to its smallest node, which joins groups of copies at n - 1 pairs a list. Then *all* pairs within a list
+    that aren't in one component yet are tallied over the lists, so a first node that is rejected hides no pair.
+    """
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            bits = [long_fingerprint(x, words).tobytes() for x in texts_of(batch)]
-            node = np.array([xxhash.xxh64_intdigest(b) for b in bits], np.uint64).view(np.int64)
+            sets = [shingles(x, words) for x in texts_of(batch)]
+            bits = [long_fingerprint(h).tobytes() for h in sets]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "node", "bits"])
 
         return each
 
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     rows = durable(map_arrow(source, make, "doc_id long, text_hash long, node long, bits binary"), "fingerprints")
-    nodes = rows.groupBy("node").agg(F.min("bits").alias("bits"))
-    labels = components(similar_pairs(durable(nodes, "nodes"), similarity))
+    first = F.min(F.struct(*_key(F.col("text_hash"))))
+    nodes = durable(rows.groupBy("node").agg(F.min("bits").alias("bits"), first.alias("first")).select("node", "bits", "first.*"), "nodes")
+    lists = durable(shared_lists(nodes), "lists")
+    heads = lists.groupBy("key").agg(F.min("node").alias("a"))
+    tied = lists.join(heads, "key").where("node > a").select("a", F.col("node").alias("b"), F.lit(1).alias("n"))
+    links = durable(alike(durable(close_pairs(tied, nodes, similarity), "close"), nodes, docs, words, similarity), "links")
+    rest = durable(close_pairs(apart(lists, components(links)), nodes, similarity), "close")
+    more = durable(alike(rest, nodes, docs, words, similarity), "links")
+    labels = components(links.unionByName(more))
     return rows.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root"))
 
 
+_KEY = ["__no_id", "__id", "__text_hash"]
+
+
+def _key(text_hash: F.Column) -> list[F.Column]:
+    return [F.col("doc_id").isNull().alias("__no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), text_hash.alias("__text_hash")]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("*", *_key(F.xxhash64("text")))
+
+
 def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: of all rows with one ``root`` in ``rows`` (doc_id, text_hash, root) that with the smallest ``doc_id`` stays.
 

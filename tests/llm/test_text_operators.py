@@ -287,6 +287,25 @@ def test_similar_texts_are_found_and_others_left_alone(spark):
     assert sum(roots[k] == roots[k + 2] for k in pairs) == 0  # similarity below 0.3
 
 
+def test_a_rejected_first_node_hides_no_similar_pair(spark):
+    """Many texts share most of a passage (similarity 0.72), pairs of them are at 0.84: brute force over exact shingle sets."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(252)]
+    data = []
+    for k in range(150):
+        own = [f"o{k}.{j}" for j in range(23)]
+        for copy in (2 * k, 2 * k + 1):
+            data.append((copy, " ".join(passage + own + [f"e{copy}.{j}" for j in range(25)]), "en", "a", 0))
+    rng.shuffle(data)
+    data = [(int(d), str(t), "en", "a", 0) for d, t, *_ in data]
+    sets = {d: {tuple(w[at : at + 5]) for at in range(len(w) - 4)} for d, t, *_ in data for w in [t.split()]}
+    similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert similar == {(2 * k, 2 * k + 1) for k in range(150)}
+    roots = {r["doc_id"]: r["root"] for r in rows(simhash.similar_components(frame(spark, data)))}
+    joined = {(a, b) for a in roots for b in roots if a < b and roots[a] == roots[b]}
+    assert joined <= similar and len(joined) >= 0.97 * len(similar)
+
+
 # -- 7: token counts ---------------------------------------------------------------------------------------------------------
 
 
