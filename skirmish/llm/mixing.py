@@ -7,8 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A repetition rate above this is refused: exp(-rate) must stay a normal double.
-MAX_RATE = 600.0
+#: A rate above ``ONE_DRAW`` is drawn as a sum of independent parts of at most ``PART`` each: exp(-rate) must stay a normal double.
+ONE_DRAW, PART = 600.0, 500.0
+#: A rate above this is refused, as a document's copies are listed in one array. The default rate is at most the square root of all characters, so it
+#: stays below this up to 2 ** 48 of them, however small a source is.
+MAX_RATE = 2.0**24
 
 
 def _uniform(*parts: F.Column) -> F.Column:
@@ -55,7 +58,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     Adds the columns ``copy`` (from 0) and ``key``, by which the result is globally ordered. The number is found by inversion:
     how many cumulative probabilities lie below a uniform number that ``seed``, ``doc_id`` and the text's digest fix.
     So a run can be repeated, the counts of two documents are independent, and rows that repeat
-    both id and text get the same count. Documents whose number is 0 don't appear; that is what the method does
+    both id and text get the same count. Of a rate above ``ONE_DRAW``, as a source of a few characters beside large ones has, equal parts are drawn
+    by a uniform number each and summed, which is Poisson again. Documents whose number is 0 don't appear; that is what the method does
     with a rate below 1, on average as often as the target asks.
 
     A null text has length 0; a null ``doc_id`` is written as ``null`` in the hash. An empty table gives an empty result.
@@ -64,12 +68,20 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     """
     kept = [c for c in docs.columns if c.lower() not in (copy, key)]
     rates = source_rates(docs, weights, power, budget)
-    cdf = rates.select(F.col("source").alias("__rate_source"), F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit("a repetition rate is above the limit"))).otherwise(_thresholds(F.col("rate"))).alias("__cdf"))
+    rate = F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit("a repetition rate is above the limit")).cast("double")).otherwise(F.col("rate"))
+    parts = F.when(rate > ONE_DRAW, F.ceil(rate / PART)).otherwise(1).cast("int")
+    cdf = rates.select(F.col("source").alias("__rate_source"), rate.alias("rate"), parts.alias("__parts")).select("__rate_source", "__parts", _thresholds(F.col("rate") / F.col("__parts")).alias("__cdf"))
     identity = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
     # The hash is taken below the join, so that it is worked out once a document and not in each comparison.
     hashed = docs.select(*kept, F.concat_ws("|", *identity).alias("__identity")).withColumn("__u", _uniform(F.col("__identity")))
     drawn = hashed.join(cdf, F.col("source").eqNullSafe(F.col("__rate_source")))
-    counted = drawn.withColumn("__n_copies", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).where("__n_copies > 0")
+
+    def below(u: F.Column) -> F.Column:
+        return F.size(F.filter("__cdf", lambda c: c < u))
+
+    further = F.transform(F.sequence(F.lit(1), F.col("__parts") - 1), lambda k: _uniform(F.col("__identity"), F.lit("part"), k.cast("string")))
+    rest = F.when(F.col("__parts") > 1, F.aggregate(further, F.lit(0), lambda n, u: n + below(u))).otherwise(0)
+    counted = drawn.withColumn("__n_copies", below(F.col("__u")) + rest).where("__n_copies > 0")
     copies = counted.select(*kept, "__identity", F.explode(F.sequence(F.lit(0), F.col("__n_copies") - 1)).alias(copy))
     keyed = copies.withColumn(key, F.md5(F.concat_ws("|", "__identity", F.col(copy).cast("string")).cast("binary")))
     return keyed.select(*kept, copy, key).orderBy(key, copy)

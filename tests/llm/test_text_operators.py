@@ -185,6 +185,17 @@ def test_mixing_of_odd_rows(odd_extra, empty):
         mixing.mix_sources(odd_extra, budget=1e6).collect()
 
 
+def test_a_tiny_source_beside_large_ones_is_drawn_exactly(spark):
+    data = [(k, "y" * 200_000, "en", f"big{k % 20}", 0) for k in range(100)]
+    data += [(1000 + k, "z" if k == 0 else None, "en", None, 0) for k in range(400)]
+    df = frame(spark, data)
+    rate = {r["source"]: r["rate"] for r in mixing.source_rates(df).collect()}[None]
+    assert rate > 900
+    counts = Counter(r["doc_id"] for r in mixing.mix_sources(df).where("source IS NULL").select("doc_id").collect())
+    n = np.array([counts[1000 + k] for k in range(400)])
+    assert abs(n.mean() - rate) < 5 * math.sqrt(rate / 400) and 0.7 * rate < n.var() < 1.35 * rate
+
+
 # -- 6: SimHash -------------------------------------------------------------------------------------------------------------
 
 
