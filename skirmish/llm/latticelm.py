@@ -86,7 +86,7 @@ class Lattice:
         for k in range(found.get_piece_size()):
             piece = found.id_to_piece(k).replace("▁", " ").encode()
             plain = not (found.is_control(k) or found.is_unknown(k) or found.is_byte(k))
-            if plain and b" " not in piece[1:] and piece == piece.lower() and len(piece) <= MAX_PIECE:
+            if plain and b" " not in piece[1:] and piece == piece.lower():
                 score = found.get_score(k)
                 scores[piece] = -np.log(20.0 - score) if merges else score
         for b in range(256):
@@ -126,15 +126,23 @@ class Lattice:
             found.append((row, start, start + length, self.ids[place[hit]]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    @staticmethod
+    def _sums(row: np.ndarray, terms: np.ndarray, base: np.ndarray, long: bool) -> np.ndarray:
+        """Logarithms of the sums of exp(terms) by row; ``base``: the row's term of a single byte, changed here."""
+        if long:
+            np.maximum.at(base, row, terms)
+        return base + np.log(np.bincount(row, np.exp(terms - base[row]), len(base)))
+
     def forward(self, words: np.ndarray, log_ps: list[np.ndarray], expected: np.ndarray | None = None) -> np.ndarray:
         """Log marginal probabilities of rows of bytes, a line for each of ``log_ps``; adds the pieces' expected counts (for the last of them) to ``expected``.
 
         The recursions go over the arcs that end (or begin) at a place. A sum of exponentials is taken relative to the arc of a single byte, which always
-        exists, and no arc of at most ``MAX_PIECE`` bytes differs from it beyond the range of doubles.
+        exists, and no arc of at most ``MAX_PIECE`` bytes differs from it beyond the range of doubles; with longer arcs, to the largest one.
         """
         n, size = words.shape
         row, start, end, piece = self._arcs(words)
         kind = np.uint16 if size < 1 << 16 else np.int64
+        long = bool((end - start).max() > MAX_PIECE)
         by_end = np.argsort(end.astype(kind), kind="stable")
         cuts = np.searchsorted(end[by_end], np.arange(1, size + 2))
         out = np.empty((len(log_ps), n))
@@ -143,8 +151,7 @@ class Lattice:
             single = log_p[self.bytes[words]]
             for k in range(1, size + 1):
                 at = by_end[cuts[k - 1] : cuts[k]]
-                base = a[k - 1] + single[:, k - 1]
-                a[k] = base + np.log(np.bincount(row[at], np.exp(a[start[at], row[at]] + log_p[piece[at]] - base[row[at]]), n))
+                a[k] = self._sums(row[at], a[start[at], row[at]] + log_p[piece[at]], a[k - 1] + single[:, k - 1], long)
             out[z] = a[size]
         if expected is not None:
             by_start = np.argsort(start.astype(kind), kind="stable")
@@ -152,8 +159,7 @@ class Lattice:
             b = np.zeros((size + 1, n))
             for k in range(size - 1, -1, -1):
                 at = by_start[cuts[k] : cuts[k + 1]]
-                base = b[k + 1] + single[:, k]
-                b[k] = base + np.log(np.bincount(row[at], np.exp(b[end[at], row[at]] + log_p[piece[at]] - base[row[at]]), n))
+                b[k] = self._sums(row[at], b[end[at], row[at]] + log_p[piece[at]], b[k + 1] + single[:, k], long)
             share = np.exp(a[start, row] + log_p[piece] + b[end, row] - a[size, row])
             expected += np.bincount(piece, share, len(expected))
         return out
@@ -270,7 +276,7 @@ def _map_words(words: DataFrame, lattice: Lattice, log_ps: list[np.ndarray], val
                 for z, log_p in enumerate(log_ps):
                     mine.log_probabilities([listed[k] for k in np.flatnonzero(counts[:, z])], [log_p], expected[z])
             else:
-                found = value(counts, mine.log_probabilities(listed, log_ps).T).astype(np.float32)
+                found = value(counts, mine.log_probabilities(listed, log_ps).T)
                 lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
                 yield from pa.table([batch.column("word"), pa.array(counts.sum(axis=1)), lists], ["word", "n", "lm"]).to_batches()
         if value is None:
@@ -278,7 +284,7 @@ def _map_words(words: DataFrame, lattice: Lattice, log_ps: list[np.ndarray], val
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), z)), pa.array(at), pa.array(n[at])], ["class", "piece", "n"])
 
-    return words.mapInArrow(run, "class long, piece long, n double" if value is None else "word string, n long, lm array<float>")
+    return words.mapInArrow(run, "class long, piece long, n double" if value is None else "word string, n long, lm array<double>")
 
 
 def fit_lattices(words: DataFrame, lattice: Lattice, n_classes: int, rounds: int = ROUNDS) -> list[np.ndarray]:
@@ -331,8 +337,9 @@ def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCAB
     spread = (1 - LEAK) * np.eye(k) + LEAK * prior
 
     def mixed(counts: np.ndarray, log_lattice: np.ndarray) -> np.ndarray:
-        p = np.exp(log_lattice) * free + np.maximum(counts - d, 0) / np.maximum(own, 1)
-        return np.log10(np.maximum(p @ spread.T, 1e-300))
+        with np.errstate(divide="ignore"):
+            p = np.logaddexp(log_lattice + np.log(free), np.log(np.maximum(counts - d, 0) / np.maximum(own, 1)))
+            return np.logaddexp.reduce(p[:, None, :] + np.log(spread), axis=2) / np.log(10)
 
     scored = _map_words(words, lattice, log_ps, mixed)
     values = dictionary_rows(packed).join(scored, "word").select(F.col("block").alias("of_block"), "place", "n", "lm")
@@ -353,9 +360,9 @@ def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCAB
             again = np.flatnonzero(times > 1)
             which = np.repeat(again, times[again] - 1)
             earlier = np.arange(len(which)) - np.repeat(np.cumsum(times[again] - 1) - (times[again] - 1), times[again] - 1) + 1
-            by_class = start + np.log10(p).sum(axis=0) + np.log10(p[which] + earlier[:, None]).sum(axis=0) - np.log10(BURST + np.arange(times.sum())).sum()
+            by_class = start + (np.log10(BURST) + lm[at]).sum(axis=0) + np.log10(p[which] + earlier[:, None]).sum(axis=0) - np.log10(BURST + np.arange(times.sum())).sum()
             top = by_class.max()
-            out[row] = times @ known[at], times @ base[at], top + np.log10((10 ** (by_class - top)).sum())
+            out[row] = times @ known[at], times @ base[at], top + np.log10((10 ** (by_class - top)).sum()) if np.isfinite(top) else top
         end_base = np.log10((ends.sum() + 0.5) / (n + 0.5 * (v + 1)))
         return pa.table(
             [left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(out[:, 0].astype(np.int64) + int(ends.sum() > 0)), pa.array(np.full(len(out), n, np.int64)), pa.array(out[:, 1] + end_base), pa.array(out[:, 2])],

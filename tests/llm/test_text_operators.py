@@ -130,6 +130,15 @@ def test_language_model_of_odd_rows(odd, empty):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and np.isfinite(r["score"]) for r in alone)
 
 
+def test_long_unseen_words_keep_their_lattice_probability(spark):
+    lattice = latticelm.Lattice.load()
+    assert lattice.longest > 24  # pieces of any length
+    data = [(k, "some words to learn from", "en", "a", 0) for k in range(20)] + [(100 + n, "q7" * n, "en", "a", 0) for n in (100, 200, 400)]
+    got = {r["doc_id"]: r["score"] for r in latticelm.score_documents(frame(spark, data), F.col("doc_id") >= 100).collect()}
+    one, two, four = got[200], got[300], got[500]
+    assert one < -310 and two - one < -100 and abs((four - two) / (two - one) - 2) < 0.1
+
+
 # -- 3: quality ------------------------------------------------------------------------------------------------------------
 
 
