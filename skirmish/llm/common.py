@@ -60,6 +60,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def decoded(text: bytes) -> str:
+    """The text of a string column's bytes. Spark's strings may hold bytes that aren't UTF-8: each such place reads as U+FFFD."""
+    return text.decode("utf-8", "replace")
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the column's decimal text, modulo n; null for a null value."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)).cast("int")

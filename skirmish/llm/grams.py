@@ -1,12 +1,13 @@
-"""Vectorised hashes of byte n-grams and words over whole batches of texts.
+"""Vectorised hashes of character n-grams and words over whole batches of texts.
 
-Texts are joined with spaces into one byte array, every separator byte becomes a space, and a gram is a window of
-``n`` bytes within a word and the spaces beside it. Very long texts are cut at separators into pieces of about ``PIECE`` bytes, so that
-a task's memory doesn't grow with a text; a word longer than a piece is cut too.
+Texts are joined with spaces into one array of code points, every separator becomes a space, and a gram is a window of
+``n`` characters within a word and the spaces beside it. A batch is worked on in parts of about ``PIECE`` characters. Very long texts are
+cut at separators only, so every word and gram is that of the whole text and a task's memory grows with the longest word, not with the text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ SPACE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
+#: Characters that separate words: white space and controls; or every ASCII character that isn't a letter.
+WHITE = "".join(map(chr, range(33)))
+NO_LETTER = "".join(c for c in map(chr, range(128)) if not c.isalpha())
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
@@ -25,32 +30,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def separators(keep: str) -> np.ndarray:
-    """A table of 256: a byte, or a space where it separates words. ``keep``: 'letters' or 'all' that isn't white space."""
-    table = np.arange(256, dtype=np.uint8)
-    for b in range(128):
-        if not chr(b).isalpha() if keep == "letters" else b <= 32:
-            table[b] = SPACE
-    return table
+class Separators:
+    """Replaces separators by spaces; strings and arrays of code points alike."""
+
+    def __init__(self, characters: str) -> None:
+        self.table = np.arange(128, dtype=np.uint32)
+        self.table[[ord(c) for c in characters]] = SPACE
+        self.pattern = re.compile("[" + re.escape(characters) + "]")
+
+    def codes(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return np.where(codes < 128, self.table[np.minimum(codes, 127)], codes)
+
+    def next(self, text: str, at: int) -> int:
+        """The place of the first separator from ``at`` on, or the text's end."""
+        found = self.pattern.search(text, at)
+        return found.start() if found else len(text)
+
 
+def pieces(texts: list[str], separators: Separators) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points with a space before, between and after parts; the place of the space before each part; each part's text number).
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """(bytes with a space before, between and after parts; each part's start; each part's text number), in pieces of bounded size."""
-    parts: list[bytes] = []
+    Parts of one text follow one another; only long texts have several.
+    """
+    parts: list[str] = []
     owners: list[int] = []
     size = 0
 
-    def joined() -> tuple[bytes, np.ndarray, np.ndarray]:
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts[:-1]], dtype=np.int64))).astype(np.int64)
-        return b" " + b" ".join(parts) + b" ", starts, np.array(owners)
+        return separators.codes(" " + " ".join(parts) + " "), starts, np.array(owners)
 
     for k, text in enumerate(texts):
         at = 0
         while at < len(text):
-            end = min(len(text), at + PIECE)
-            if end < len(text):
-                cut = text.rfind(b" ", at + 1, end)
-                end = cut if cut > 0 else end
+            end = separators.next(text, at + PIECE) if len(text) - at > PIECE else len(text)
             parts.append(text[at:end])
             owners.append(k)
             size += end - at

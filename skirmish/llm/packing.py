@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import BATCH_BYTES, durable, texts_of
+from skirmish.llm.common import BATCH_BYTES, decoded, durable, texts_of
 from skirmish.llm.tokens import VOCABULARY, Encoder
 
 CAPACITY, END = 1024, 2
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                ids = np.append(encoder.ids(text.decode()), end).astype("<u4")
+                ids = np.append(encoder.ids(decoded(text)), end).astype("<u4")
                 first = (len(ids) - 1) % capacity + 1
                 at = k = 0
                 for k, stop in enumerate(range(first, len(ids) + 1, capacity)):

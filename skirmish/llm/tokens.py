@@ -13,7 +13,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import map_arrow, texts_of
+from skirmish.llm.common import decoded, map_arrow, texts_of
 
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
@@ -97,7 +97,8 @@ def section_token_counts(docs: DataFrame, sections: Sections = line_spans, vocab
             parts: list[list[np.ndarray]] = []
             rows: list[int] = []
             for text in texts_of(batch):
-                ids = encoder.ids(text.decode())
+                valid = decoded(text)
+                ids, text = encoder.ids(valid), valid.encode()
                 ends = np.cumsum(encoder.n_bytes[ids])
                 section_starts, section_ends = sections(text)
                 owner, touched, crossed = attribute(np.append(0, ends[:-1])[: len(ids)], ends, section_starts, section_ends)
