@@ -3,20 +3,24 @@
 The pieces come from an existing public vocabulary with its scores; they are never learned. A word's probability is the sum over *all* its
 segmentations into pieces of the products of the pieces' probabilities, by forward recursion in log space. Since no piece crosses a
 word's start (pieces begin a word or continue one), the marginal probability of a document is the product over its words and the end, and the
-recursion runs once for each distinct word of the corpus. The pieces' probabilities start from the vocabulary's scores and are refitted by
-expectation maximisation over the distinct training words (forward and backward recursion, expected counts).
+recursion runs once for each distinct word of the corpus. The vocabulary's scores are the prior: they weigh the segmentations at first, and stay in as
+``WEIGHT`` observed pieces when expected counts over the distinct training words (forward and backward recursion) are added to them, ``ROUNDS`` times.
 
 The lattice also holds, for each word seen in training, one arc over the whole word. The arc's probability is the word's
 training count less a discount ``d = n1 / (n1 + 2 n2)`` over all training tokens; what the discounts set free is the lattice's weight:
 
     P(word) = max(c - d, 0) / N + d V / N * P_lattice(word),    P(end) = c_end / N
 
-which sums to 1. There is such a model for each class of documents, with counts and piece probabilities of its own, and a
-document's probability is marginal over the classes too: sum over z of P(z) times the product of its tokens' P_z, where a
-part ``LEAK`` of P_z is the average over the classes, for documents that mix them. Classes are the ``MAX_CLASSES`` most frequent values of ``lang`` in
+Pieces that begin a word and pieces that continue one have the total probability 1, so the lattice's sum over all words is 1 at most (pieces with white space
+inside lose some), and words and end sum to 1 at most. There is such a model for each class of documents, with counts and piece probabilities of its own, and a
+document's probability is marginal over the classes too: sum over z of P(z) times the product of its tokens' Q_z, where
+Q_z = (1 - LEAK) P_z + LEAK times the average over the classes, words and end alike. Classes are the ``MAX_CLASSES`` most frequent values of ``lang`` in
 training and one for all else, if there is any; scoring doesn't read ``lang``. Words repeat within a document more than by chance: each document has
-word probabilities of its own, drawn around P_z from a Dirichlet distribution of weight ``BURST`` and integrated out, which leaves
-the product over tokens of (BURST P_z(word) + earlier occurrences) / (BURST + earlier words).
+token probabilities of its own, drawn around Q_z from a Dirichlet distribution of weight ``BURST`` and integrated out. After m words the next token is a word
+with probability (BURST Q_z(word) + its earlier occurrences) / (BURST + m) and the end with BURST Q_z(end) / (BURST + m), which sum to 1 at most as well.
+
+Measured on held-out rows at sf0.1 and sf0.01 in log10 a token (the base score, without any probability for spelling unknown words: -4.19, -4.13): this
+model -3.90, -4.10; without classes and with one round -4.39, -4.74; with the vocabulary's scores alone and no rounds -4.44, -5.30.
 
 Counts cover the whole corpus and are never broadcast: texts are packed into blocks of about ``BLOCK`` bytes with a
 dictionary each, dictionaries are joined with the counts, and a block meets its own values again.
@@ -34,13 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import BATCH_BYTES, durable, texts_of
+from skirmish.llm.common import BATCH_BYTES, decoded, durable, texts_of
 
 VOCABULARY = "piece_bpe_32k.model"
 BLOCK = 16 << 20
 MAX_CLASSES = 7
 LEAK = 0.02
 BURST = 4000.0
+WEIGHT = 2000.0
 ROUNDS = 2
 MAX_PIECE = 24
 WORDS = 60_000
@@ -181,8 +186,9 @@ class Lattice:
         return out
 
 
-def refitted(expected: np.ndarray) -> np.ndarray:
-    counts = expected + 0.05  # keeps every piece possible
+def refitted(expected: np.ndarray, log_p: np.ndarray, weight: float = WEIGHT) -> np.ndarray:
+    """Posterior mean of the pieces' probabilities: the vocabulary's, worth ``weight`` observed pieces, and expected counts."""
+    counts = expected + weight * np.exp(log_p)
     return np.log(counts / counts.sum())
 
 
@@ -214,7 +220,7 @@ def blocks(docs: DataFrame, held_out: F.Column, classes: list[str], n_classes: i
         for batch in batches:
             rows = []
             for doc, held, kind, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("class").to_pylist(), texts_of(batch), strict=True):
-                tokens = text.lower().split()
+                tokens = decoded(text).encode().lower().split()
                 found, n = np.unique(np.fromiter(map(place.__getitem__, tokens), np.int32, len(tokens)), return_counts=True)
                 if len(place) > len(totals):
                     totals = np.concatenate((totals, np.zeros((len(place) + 1024 - len(totals) // 2, totals.shape[1]), np.int64)))
@@ -288,21 +294,36 @@ def _map_words(words: DataFrame, lattice: Lattice, log_ps: list[np.ndarray], val
 
 
 def fit_lattices(words: DataFrame, lattice: Lattice, n_classes: int, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Expectation maximisation over a class's distinct training words, each with weight 1: the lattice serves rare and unseen words."""
+    """Each class's piece probabilities from its distinct training words, each with weight 1 as the lattice serves rare and unseen words, and the vocabulary's scores as the prior."""
     log_ps = [lattice.log_p] * n_classes
     for _ in range(rounds):
         found = _map_words(words, lattice, log_ps).groupBy("class", "piece").agg(F.sum("n").alias("n")).toPandas()
         expected = np.zeros((n_classes, len(lattice.pieces)))
         expected[found["class"], found["piece"]] = found["n"]
-        log_ps = [refitted(x) for x in expected]
+        log_ps = [refitted(x, lattice.log_p, WEIGHT) for x in expected]
     return log_ps
 
 
+def document_log10(log_q: np.ndarray, times: np.ndarray, log_end: np.ndarray, log_prior: np.ndarray) -> float:
+    """log10 probability of a document under the Dirichlet predictive, marginal over the classes.
+
+    ``log_q``: (distinct words x classes) log10 of Q_z; ``times``: how often each occurs; ``log_end``, ``log_prior``: of the end and of the classes.
+    """
+    p = BURST * 10.0**log_q
+    again = np.flatnonzero(times > 1)
+    which = np.repeat(again, times[again] - 1)
+    earlier = np.arange(len(which)) - np.repeat(np.cumsum(times[again] - 1) - (times[again] - 1), times[again] - 1) + 1
+    firsts = (np.log10(BURST) + log_q).sum(axis=0) + np.log10(BURST) + log_end
+    by_class = log_prior + firsts + np.log10(p[which] + earlier[:, None]).sum(axis=0) - np.log10(BURST + np.arange(times.sum() + 1)).sum()
+    top = by_class.max()
+    return float(top + np.log10((10 ** (by_class - top)).sum()) if np.isfinite(top) else top)
+
+
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCABULARY) -> DataFrame:
-    """log10 probabilities of every whole text; learns from the rows that aren't held out. Needs ``doc_id``, ``text`` and ``lang``.
+def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
+    """log10 probabilities of every whole text; learns from the rows that aren't held out. Needs ``doc_id``, ``text`` and ``lang``; other columns aren't read, so none can clash.
 
     Tokens are the words and one end. ``base_score``: words alone, with half a count added. ``score``: the model of the
     module. ``n_known``: tokens seen in training. A null or empty text is the end alone. A null ``held_out`` counts as
@@ -319,7 +340,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCAB
     sums = entries.groupBy("word").agg(*[F.sum(F.col("t")[z]).alias(f"c{z}") for z in range(k)])
     words = durable(sums.select("word", F.array(*[f"c{z}" for z in range(k)]).alias("c")), "words")
     lattice = Lattice.load(vocabulary)
-    log_ps = fit_lattices(words, lattice, k)
+    log_ps = fit_lattices(words, lattice, k, rounds)
     count = F.aggregate("c", F.lit(0).cast("long"), lambda x, y: x + y)
     got = words.agg(
         F.count_if(count > 0).alias("v"),
@@ -353,16 +374,10 @@ def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCAB
         known, base = count > 0, np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         out = np.zeros((left.num_rows, 3))
         with np.errstate(divide="ignore"):
-            start = np.log10(prior) + np.log10(end)
+            log_prior, log_end = np.log10(prior), np.log10(spread @ end)
         for row, (where, counts) in enumerate(zip(left.column("places").to_pylist(), left.column("counts").to_pylist(), strict=True)):
             at, times = np.frombuffer(where, np.int32), np.frombuffer(counts, np.int32)
-            p = BURST * 10.0 ** lm[at]
-            again = np.flatnonzero(times > 1)
-            which = np.repeat(again, times[again] - 1)
-            earlier = np.arange(len(which)) - np.repeat(np.cumsum(times[again] - 1) - (times[again] - 1), times[again] - 1) + 1
-            by_class = start + (np.log10(BURST) + lm[at]).sum(axis=0) + np.log10(p[which] + earlier[:, None]).sum(axis=0) - np.log10(BURST + np.arange(times.sum())).sum()
-            top = by_class.max()
-            out[row] = times @ known[at], times @ base[at], top + np.log10((10 ** (by_class - top)).sum()) if np.isfinite(top) else top
+            out[row] = times @ known[at], times @ base[at], document_log10(lm[at], times, log_end, log_prior)
         end_base = np.log10((ends.sum() + 0.5) / (n + 0.5 * (v + 1)))
         return pa.table(
             [left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(out[:, 0].astype(np.int64) + int(ends.sum() > 0)), pa.array(np.full(len(out), n, np.int64)), pa.array(out[:, 1] + end_base), pa.array(out[:, 2])],

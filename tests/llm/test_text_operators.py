@@ -36,11 +36,11 @@ def test_filter_has_no_false_negatives_and_few_false_positives(docs):
     model = langid.fit(docs, min_share=1e-4)
     learned = langid.gram_counts(docs).where("gram_order = 3").groupBy("lang").agg(F.max_by("gram", "n").alias("g")).collect()
     for r in learned:
-        bits = model.look_up(3, np.array([r["g"]], np.int64).view(np.uint64))[0]
-        assert int(bits) >> model.languages.index(r["lang"]) & 1
+        masks = model.look_up(3, np.array([r["g"]], np.int64).view(np.uint64))
+        assert langid.bit(masks, model.languages.index(r["lang"]))[0] == 1
     noise = model.look_up(3, np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64))
     for i in range(len(model.languages)):
-        assert abs(np.mean((noise >> np.uint64(i)) & np.uint64(1)) - model.false_rate[3][i]) < 0.02
+        assert abs(np.mean(langid.bit(noise, i)) - model.false_rate[3][i]) < 0.02
 
 
 def test_language_of_odd_rows(odd, empty, docs):
@@ -53,26 +53,68 @@ def test_language_of_odd_rows(odd, empty, docs):
     assert {r["lang_pred"] for r in rows(langid.predict(odd, nothing))} == {"und"}
 
 
+def test_any_names_and_numbers_of_languages(spark):
+    names = ["gram", "a`b", "lang", *[f"l{k}" for k in range(67)]]
+    data = [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}z" for x in "abcdefgh" for _ in range(5)), name, "a", 0) for k, name in enumerate(names)]
+    docs = frame(spark, data)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert got == {r[0]: r[2] for r in data}
+
+
+def test_letters_decide_what_has_a_language(spark, docs):
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(frame(spark, [(k, t, None, "a", 0) for k, t in enumerate(("½", "²", "①2", "_", "é", "日"))]), model).collect()}
+    assert {k for k, v in got.items() if v == "und"} == {0, 1, 2, 3}
+
+
+def test_bytes_that_are_not_utf8(spark):
+    docs = frame(spark, [(k, "some words here", "en", "a", 0) for k in range(5)]).withColumn("text", F.expr("CAST(unhex('61FF6220' || hex(text)) AS STRING)"))
+    assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()} == {"en"}
+    assert latticelm.score_documents(docs, F.col("doc_id") == 1).where("n_tokens = 5").count() == 5
+    assert tokens.section_token_counts(docs).count() == 5 and packing.pack_documents(docs).count() == 5
+    assert quality.score(docs, quality.train([])).count() == 5
+
+
 def test_grams_by_brute_force():
-    text = b"ab  cde f"
-    for joined, starts, owners in grams.pieces([text, b"", b"gh"]):
-        codes = np.frombuffer(joined, np.uint8)
-        assert list(owners) == [0, 2] and joined == b" ab  cde f gh "
-        want = {n: [joined[i : i + n] for i in range(len(joined) - n + 1) if b" " not in joined[i + 1 : i + n - 1] and joined[i : i + n].strip() and (n > 1 or joined[i : i + 1] != b" ")] for n in (1, 2, 3)}
+    text = "ab  cde f"
+    separators = grams.Separators(grams.WHITE)
+    for codes, _, owners in grams.pieces([text, "", "gh\tßi"], separators):
+        joined = "".join(map(chr, codes))
+        assert list(owners) == [0, 2] and joined == " ab  cde f gh ßi "
+        want = {n: [joined[i : i + n] for i in range(len(joined) - n + 1) if " " not in joined[i + 1 : i + n - 1] and joined[i : i + n].strip() and (n > 1 or joined[i] != " ")] for n in (1, 2, 3)}
         for n, at, h in grams.grams(codes, (1, 2, 3)):
             seen = [joined[i : i + n] for i in at]
             assert seen == want[n]
             assert len(set(h.tolist())) == len(set(seen))
         at, h = grams.words(codes)
-        assert [joined[i:].split()[0] for i in at] == [b"ab", b"cde", b"f", b"gh"] and len(set(h.tolist())) == 4
+        assert [joined[i:].split()[0] for i in at] == ["ab", "cde", "f", "gh", "ßi"] and len(set(h.tolist())) == 5
 
 
 def test_long_texts_give_the_same_grams_in_pieces(monkeypatch):
-    text = (b"abc defgh " * 2000).strip()
-    whole = Counter(h for joined, _, _ in grams.pieces([text]) for _, _, hs in grams.grams(np.frombuffer(joined, np.uint8), (2, 4)) for h in hs.tolist())
+    separators = grams.Separators(grams.WHITE)
+    text = ("abc defgh\n" * 2000 + "x" * 700).strip()
+
+    def counted():
+        return Counter(h for codes, _, _ in grams.pieces([text], separators) for _, _, hs in grams.grams(codes, (2, 4)) for h in hs.tolist())
+
+    whole = counted()
     monkeypatch.setattr(grams, "PIECE", 300)
-    parts = Counter(h for joined, _, _ in grams.pieces([text]) for _, _, hs in grams.grams(np.frombuffer(joined, np.uint8), (2, 4)) for h in hs.tolist())
-    assert whole == parts
+    assert counted() == whole
+
+
+def test_two_megabytes_of_lines_have_the_features_of_their_words():
+    words = [f"w{k % 977}" for k in range(420_000)]
+    text = "\n".join(words)
+    assert len(text) > 2_000_000
+    got = Counter()
+    for owner, bucket in quality.features([text], 1 << 30):
+        assert not owner.any()
+        got.update(bucket.tolist())
+    one = {w: quality._bucket(grams.words(grams.Separators(grams.WHITE).codes(f" {w} "))[1], 1 << 30)[0] for w in set(words)}
+    assert all(got[one[w]] >= n for w, n in Counter(words).items())
+    pairs = 420_000 - 1
+    within = sum(len(w) + 1 + len(w) + len(w) - 1 for w in words)  # windows of 2, 3 and 4 in a word and the spaces beside it
+    assert sum(got.values()) == len(words) + pairs + within
 
 
 # -- 2: language model ------------------------------------------------------------------------------------------------------
@@ -104,7 +146,50 @@ def test_expected_counts_sum_to_bytes_and_raise_likelihood():
     expected = np.zeros(len(lattice.pieces))
     before = lattice.log_probabilities(words, None, expected)[0].sum()
     assert math.isclose(sum(n * len(p) for n, p in zip(expected, lattice.pieces, strict=True)), sum(len(w) + 1 for w in words), rel_tol=1e-9)
-    assert latticelm.Lattice(lattice.pieces, latticelm.refitted(expected)).log_probabilities(words)[0].sum() > before
+    assert latticelm.Lattice(lattice.pieces, latticelm.refitted(expected, lattice.log_p)).log_probabilities(words)[0].sum() > before
+
+
+def test_words_and_end_have_a_mass_of_one_after_any_prefix():
+    rng = np.random.default_rng(8)
+    q = np.vstack([0.7 * rng.dirichlet(np.ones(3), 2).T, [0.3, 0.3]])  # three words and the end, two classes
+    prior = np.array([0.3, 0.7])
+
+    def p(counts):
+        at = np.flatnonzero(counts)
+        return 10 ** latticelm.document_log10(np.log10(q[at]), np.array(counts)[at], np.log10(q[3]), np.log10(prior))
+
+    total, longest = 0.0, 60
+    for a in range(longest):
+        for b in range(longest - a):
+            for c in range(longest - a - b):
+                total += math.factorial(a + b + c) / (math.factorial(a) * math.factorial(b) * math.factorial(c)) * p([a, b, c])
+    assert 0.999 < total <= 1 + 1e-9
+
+
+def test_lattice_has_a_mass_of_at_most_one():
+    lattice = latticelm.Lattice.load()
+    begin, go_on = (sum(math.exp(x) for p, x in zip(lattice.pieces, lattice.log_p, strict=True) if (p[:1] == b" ") == first) for first in (True, False))
+    assert begin / (1 - go_on) <= 1 + 1e-9  # begin, and any number of further pieces
+
+
+def test_scores_by_brute_force(spark):
+    train = ["a bc a", "bc the then", "the a a", "then nothing"]
+    test = ["a a thing", "", "the other bc bc bc", "nothing then a"]
+    data = [(k, t, None, "a", 0) for k, t in enumerate(train)] + [(100 + k, t, None, "a", 0) for k, t in enumerate(test)]
+    got = {r["doc_id"]: r["score"] for r in latticelm.score_documents(frame(spark, data), F.col("doc_id") >= 100, rounds=0).collect()}
+    lattice = latticelm.Lattice.load()
+    counts = Counter(w for t in train for w in t.split())
+    n = sum(counts.values()) + len(train)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    d = min(max(once / (once + 2 * twice), 0.05), 0.95)
+    for k, t in enumerate(test):
+        seen, p, words = Counter(), 1.0, t.split()
+        for m, w in enumerate(words):
+            q = max(counts[w] - d, 0) / n + d * len(counts) / n * brute_lattice(lattice, w.encode())
+            p *= (latticelm.BURST * q + seen[w]) / (latticelm.BURST + m)
+            seen[w] += 1
+        p *= latticelm.BURST * len(train) / n / (latticelm.BURST + len(words))
+        assert math.isclose(got[100 + k], math.log10(p), rel_tol=1e-9)
 
 
 def test_base_scores_by_brute_force_and_better_model(spark, sf_dir):
@@ -161,6 +246,12 @@ def test_quality_of_odd_rows(odd_extra, empty, spark, docs):
     assert all(r["predicted"] == 1 for r in rows(quality.score(odd_extra.drop("Predicted"), one_class)))
 
 
+def test_a_labelled_id_on_many_rows_counts_once(spark):
+    docs = frame(spark, [(1, f"good words {k}", "en", "a", 0) for k in range(500)] + [(2, "bad bad bad", "en", "a", 0)])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.sample_features(quality.training_sample(docs, labels, "quality", 10), 1 << 10).count() == 2
+
+
 # -- 4: mixing --------------------------------------------------------------------------------------------------------------
 
 
