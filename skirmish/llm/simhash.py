@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import durable, map_arrow, texts_of
+from skirmish.llm.common import durable, join_spread, map_arrow, texts_of
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
 BLOCK = 1024
@@ -85,10 +85,16 @@ def postings(fps: DataFrame) -> DataFrame:
 
 
 def linked(fps: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Which pairs of an array share enough positional bytes and differ in few enough bits."""
-    x = fps[:, None] ^ fps[None, :]
-    shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
-    return (shared >= 8 - max_bits) & (np.bitwise_count(x) <= max_bits)
+    """Which pairs of an array are links: the positional bytes that a pair shares are tallied, pairs below the minimum drop out, and the rest is verified."""
+    split = fps.view(np.uint8).reshape(-1, 8)
+    shared = np.zeros((len(fps), len(fps)), np.uint8)
+    for p in range(8):
+        shared += split[:, None, p] == split[None, :, p]
+    i, j = np.nonzero(np.triu(shared >= 8 - max_bits, 1))
+    near = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
+    links = np.eye(len(fps), dtype=bool)
+    links[i[near], j[near]] = links[j[near], i[near]] = True
+    return links
 
 
 def forest(fps: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -108,17 +114,18 @@ def forest(fps: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
 
 
 def edges(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): distinct edges that connect what the links connect. ``fps``: distinct fingerprints, column ``fp``."""
+    """(a, b): distinct edges that connect what the links connect. ``fps``: distinct fingerprints, column ``fp``, in a written table."""
     if max_bits > 4:
         raise ValueError("the index guarantees links of at most 4 bits")
-    listed = postings(fps)
+    listed = durable(postings(fps), "postings")
     large = listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    dealt = listed.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
-    lists = dealt.groupBy("key", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block")).agg(F.collect_list("fp").alias("fps"))
+    dealt = join_spread(listed, large, ["key"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
+    lists = dealt.groupBy("key", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list("fp").alias("fps"))
     whole = lists.where((F.col("blocks") == 1) & (F.size("fps") > 1)).select("fps")
-    parts = lists.where("blocks > 1").select("key", "block", "fps")
-    right = parts.select("key", F.col("block").alias("other"), F.col("fps").alias("more"))
-    pairs = parts.join(right, "key").where("block < other").select(F.concat("fps", "more").alias("fps"))
+    # A block goes to each pair of blocks that it is part of, and the pairs are dealt over all tasks, also those of one list.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    parts = lists.where("blocks > 1").select("key", "block", "fps", other)
+    pairs = parts.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.flatten(F.collect_list("fps")).alias("fps")).select("fps")
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -137,31 +144,29 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), name)
     while True:
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
-        lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "least").alias("label"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("over"))
-        moved = lower.join(above, "label").select("node", F.least("label", "over").alias("label"), (F.least("label", "over") < F.col("was")).alias("moved"))
-        moved = durable(moved, name)
+        # A component's smallest node is the end of many edges and the label of many nodes.
+        seen = join_spread(both, labels.withColumnRenamed("node", "b"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
+        above = join_spread(labels, labels.select(F.col("node").alias("label"), F.col("label").alias("over")), ["label"]).select("node", "over")
+        least = F.least("label", "least", "over")
+        moved = durable(labels.join(seen, "node").join(above, "node").select("node", least.alias("label"), (least < F.col("label")).alias("moved")), name)
         labels = moved.select("node", "label")
         if moved.where("moved").isEmpty():
             return labels
 
 
-def with_components(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Add ``root`` to rows that have ``fp``: the same for all rows that links connect."""
-    labels = components(edges(rows.select("fp").distinct(), max_bits))
-    return rows.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("root", F.coalesce("label", "fp")).drop("label")
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (needs ``doc_id`` and ``text``).
 
-    ``component_id`` is the smallest ``doc_id`` that links reach from the row; null if all ids there are null.
+    ``component_id`` is the smallest ``doc_id`` that links reach from the row; null if all ids there are null. Other columns aren't read, so none can clash.
     Repeated rows and texts without words have equal fingerprints and so are linked.
     """
-    rows = with_components(durable(fingerprints(docs, words), "fingerprints"), max_bits)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = durable(fingerprints(docs, words), "fingerprints")
+    fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    labels = components(edges(fps, max_bits))
+    rooted = durable(fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    ids = durable(join_spread(rooted, least, ["root"]).select("fp", "component_id"), "components")
+    return join_spread(rows, ids, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # -- similarity on long fingerprints -------------------------------------------------------------------------------------------
@@ -245,12 +250,22 @@ def apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     named = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
+    blocks = {"n0": F.ceil(F.col("n_main") / BLOCK).cast("int"), "n1": F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")}
     side = F.when(F.col("label") == F.col("main"), 0).otherwise(1)
-    many = F.ceil(F.when(F.col("label") == F.col("main"), F.col("n_main")).otherwise(F.col("n") - F.col("n_main")) / BLOCK)
-    dealt = named.join(mains, "key").withColumns({"side": side, "block": F.pmod(F.xxhash64("node"), many)})
-    parts = dealt.groupBy("key", "side", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"))
-    other = parts.where("side = 1").select("key", F.col("block").alias("other"), F.col("nodes").alias("more"), F.col("labels").alias("more_labels"))
-    met = parts.join(other, "key").where("side = 0 OR block <= other").select("nodes", "labels", "more", "more_labels", (F.expr("side = 1 AND block = other")).alias("own"))
+    sided = named.join(mains.withColumns(blocks), "key").withColumn("side", side)
+    dealt = sided.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
+    parts = dealt.groupBy("key", "n0", "n1", "side", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"))
+    # A block goes to each pair of blocks that it is part of: of both sides (across), and of the others among themselves. The pairs are dealt over all tasks.
+    block, more0, more1 = F.col("block"), F.sequence(F.lit(0), F.col("n0") - 1), F.sequence(F.lit(0), F.col("n1") - 1)
+    across0 = F.transform(more1, lambda y: F.struct(F.lit(True).alias("across"), block.alias("x"), y.alias("y")))
+    across1 = F.transform(more0, lambda x: F.struct(F.lit(True).alias("across"), x.alias("x"), block.alias("y")))
+    within = F.transform(more1, lambda o: F.struct(F.lit(False).alias("across"), F.least(block, o).alias("x"), F.greatest(block, o).alias("y")))
+    alone = F.array().cast("array<struct<across:boolean,x:int,y:int>>")
+    within = F.when((F.col("n1") > 1) | (F.size("nodes") > 1), within).otherwise(alone)
+    going = parts.select("key", "side", "block", "nodes", "labels", F.inline(F.when(F.col("side") == 0, across0).otherwise(F.concat(across1, within))))
+    first, second = (F.when(F.col("across"), F.col("side") == k).otherwise(F.col("block") == F.col(c)) for k, c in ((0, "x"), (1, "y")))
+    halves = {name: F.max(F.when(which, F.col(c))).alias(name) for which, c, name in ((first, "nodes", "nodes"), (first, "labels", "labels"), (second, "nodes", "more"), (second, "labels", "more_labels"))}
+    met = going.groupBy("key", "across", "x", "y").agg(*halves.values()).select(*halves, (~F.col("across") & (F.col("x") == F.col("y"))).alias("own"))
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -349,7 +364,7 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     rest = durable(close_pairs(apart(lists, components(links)), nodes, similarity), "close")
     more = durable(alike(rest, nodes, docs, words, similarity), "links")
     labels = components(links.unionByName(more))
-    return rows.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root"))
+    return join_spread(rows.select("doc_id", "text_hash", "node"), labels, ["node"], "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root"))
 
 
 _KEY = ["__no_id", "__id", "__text_hash"]
