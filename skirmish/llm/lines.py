@@ -4,11 +4,12 @@ A run is a sequence of lines (lines without words don't count in it) that occurs
 last), text hash and line number. Runs of at least ``min_words`` words are found without exception; the later occurrence goes.
 
 * Windows: from every line on, the fewest lines that have ``min_words`` words; and up to every line, the same backwards.
-* Winnowing: a window's fingerprint is its smallest line hash. Equal windows have equal fingerprints, so a repeated run of
-  ``min_words`` words shares one for certain. Fingerprints selected at only one position in the whole table drop out with their windows.
-* Positions: the windows left are joined with the first place of their content. A later place is a match.
-* Extension: forward windows carry a match on line by line as long as it holds, backward windows take it to its last lines, so the
-  overlapping windows of a match merge into the whole run; its first and last line are those of the longest match.
+* Winnowing: the line with a window's smallest hash (the first of equal ones) is its fingerprint. Equal windows have it at the same place, so a repeated
+  run of ``min_words`` words shares one for certain. Fingerprints at only one position in the whole table drop out with their windows.
+* Joined positions: a position matches the first one in the table with the same fingerprint from which the match extends as far as its window goes.
+* Extension: the lines before and after the fingerprint are compared by their hashes, up to both ends of the window, and all lines once more by
+  second hashes, so a match rests on 128 bits of each line. The windows that overlap in a longer match extend it line by line, forward windows to
+  its last full one and backward windows to its last line, and merge into the whole run.
 
 Rows equal in ``doc_id`` and text are one document and get the same result. A repetition within a document counts
 too, and overlapping occurrences do: of ``n`` equal lines in a row the first stays. A document without a repeated run is unchanged; null
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import durable
+from skirmish.llm.common import durable, join_spread
 
 MIN_WORDS = 50
 KEY = ["__no_id", "__id", "__text_hash"]
@@ -33,8 +34,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(key, e): for each document its lines that have words, as structs of position, hash and number of words."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    """(key, e): for each document its lines that have words, as structs of position, two hashes and number of words."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     return _keyed(docs.select("doc_id", "text")).where("text IS NOT NULL").select(*KEY, F.filter(lines, lambda s: s["w"] > 0).alias("e")).where(F.size("e") > 0)
 
 
@@ -50,7 +51,8 @@ def _taken(part: Column, min_words: int) -> Column:
 
 
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, first, last, content, least): every window's line positions, the hash of its content and its smallest line hash.
+    """(key, first, last, at, least, before, after, again): every window's line positions, its fingerprint's position and hash, the hashes of the lines
+    before and after it, and the second hash of all lines.
 
     A line with words has at least one, so a window never has more than ``min_words`` lines.
     """
@@ -58,8 +60,15 @@ def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     places = F.sequence(F.lit(0), F.size(e) - 1)
 
     def window(first: Column, n: Column) -> Column:
-        hashes = F.transform(F.slice(e, first + 1, n), lambda x: x["h"])
-        return F.struct(F.get(e, first)["pos"].alias("first"), F.get(e, first + n - 1)["pos"].alias("last"), F.xxhash64(hashes).alias("content"), F.array_min(hashes).alias("least"))
+        part = F.slice(e, first + 1, n)
+        hashes = F.transform(part, lambda x: x["h"])
+        ends = F.struct(F.get(e, first)["pos"].alias("first"), F.get(e, first + n - 1)["pos"].alias("last"), hashes.alias("h"), F.array_min(hashes).alias("least"), F.xxhash64(F.transform(part, lambda x: x["g"])).alias("again"))
+        return F.struct(ends.alias("w"), F.array_position(hashes, ends["least"]).cast("int").alias("p"), first.alias("i"))
+
+    def matched(s: Column) -> Column:
+        w, p = s["w"], s["p"]
+        before, after = F.slice(w["h"], F.lit(1), p - 1), F.slice(w["h"], p + 1, F.size(w["h"]))
+        return F.struct(w["first"].alias("first"), w["last"].alias("last"), F.get(e, s["i"] + p - 1)["pos"].alias("at"), w["least"].alias("least"), F.xxhash64(before).alias("before"), F.xxhash64(after).alias("after"), w["again"].alias("again"))
 
     forward = F.transform(places, lambda i: F.struct(i.alias("i"), _taken(F.slice(e, i + 1, reach), min_words).alias("t")))
     forward = F.transform(F.filter(forward, lambda s: s["t"]["words"] >= min_words), lambda s: window(s["i"], s["t"]["n"]))
@@ -67,18 +76,20 @@ def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Those that are minimal from their first line on as well are forward windows already: without its last line such a window falls short.
     backward = F.filter(backward, lambda s: (s["t"]["words"] >= min_words) & (s["t"]["words"] - F.get(e, s["i"])["w"] >= min_words))
     backward = F.transform(backward, lambda s: window(s["i"] - s["t"]["n"] + 1, s["t"]["n"]))
-    both = lines.select(*KEY, F.inline(F.concat(forward, backward)))
-    return both
+    return lines.select(*KEY, F.inline(F.transform(F.concat(forward, backward), matched)))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, runs): for each document that has any, the later repeated runs as sorted, separate structs (first, last) of line numbers from 0."""
     found = durable(windows(durable(line_table(docs), "lines"), min_words), "windows")
-    place = F.struct(*KEY, "first")
-    shared = found.groupBy("least").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("least")
-    anchored = found.join(shared, "least", "left_semi")
-    earliest = anchored.groupBy("content").agg(F.min(place).alias("earliest"))
-    later = anchored.join(earliest, "content").where(place > F.col("earliest")).select(*KEY, "first", "last")
+    position, place = F.struct(*KEY, "at"), F.struct(*KEY, "first")
+    prints = found.groupBy("least").agg(F.min(position).alias("a"), F.max(position).alias("b"), F.count("*").alias("n")).where("a < b")
+    shared = durable(prints.select("least", "n"), "fingerprints")
+    anchored = durable(join_spread(found, shared, ["least"], "left_semi", n="n"), "anchored")
+    content = ["least", "before", "after", "again"]
+    firsts = anchored.groupBy(*content).agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    matches = join_spread(anchored, durable(firsts, "matches"), content, n="n")
+    later = matches.where(place > F.col("earliest")).select(*KEY, "first", "last")
     order = Window.partitionBy(*KEY).orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begun = later.select(*KEY, "first", "last", F.when(F.col("first") <= reached + 1, 0).otherwise(1).alias("new"))

@@ -615,6 +615,37 @@ def test_dct_hash_of_small_changes_and_other_images():
     assert (bits(smooth) ^ bits(near)).bit_count() <= 4 < (bits(smooth) ^ bits(rng.integers(0, 256, (80, 64), dtype=np.uint8))).bit_count()
 
 
+def plain_unfilter(kinds, raw):
+    """By the format's definition, a sample at a time."""
+    out = [[0] * raw.shape[1] for _ in kinds]
+    for i, kind in enumerate(kinds):
+        for j in range(raw.shape[1]):
+            a, b, c = out[i][j - 1] if j else 0, out[i - 1][j] if i else 0, out[i - 1][j - 1] if i and j else 0
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            out[i][j] = (int(raw[i, j]) + (0, a, b, (a + b) // 2, near)[kind]) % 256
+    return np.array(out, np.uint8).reshape(raw.shape)
+
+
+@pytest.mark.parametrize("kinds", [(0, 1, 2), (2,), (0, 1, 2, 3, 4), (3,), (4,)])
+def test_unfiltering_by_its_definition(kinds):
+    rng = np.random.default_rng(6)
+    for rows_, width in ((1, 1), (1, 9), (13, 7), (40, 64)):
+        raw, chosen = rng.integers(0, 256, (rows_, width), dtype=np.uint8), rng.choice(kinds, rows_).astype(np.uint8)
+        assert (media.unfilter(chosen, raw) == plain_unfilter(chosen, raw)).all()
+
+
+def test_text_payloads_are_written_with_filters_that_reading_undoes(docs):
+    samples = np.frombuffer((docs.first()["text"].encode() + b" " * 64)[:6400], np.uint8)
+    samples = samples[: len(samples) // 64 * 64].reshape(-1, 64)
+    assert media.chosen_filters(samples).any()
+    assert (media.read_png(media.write_png(samples)) == samples).all()
+    # The cosine transform by its definition.
+    square = np.random.default_rng(3).integers(0, 256, (32, 32)).astype(np.uint8)
+    x = np.arange(32)
+    direct = np.array([[sum(square[y, z] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * z + 1) * v / 64) for y in x for z in x) for v in range(8)] for u in range(8)]).ravel()
+    assert media.dct_hash(square) == np.packbits(direct > np.median(direct[1:])).tobytes()
+
+
 def test_media_columns_of_odd_rows(odd, empty):
     got = rows(media.digest(media.media_columns(odd)))
     for r, (_, text, *_) in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"])), sorted(ODD, key=lambda o: (o[0] is None, o[0] or 0, len((o[1] or "").encode()))), strict=True):
