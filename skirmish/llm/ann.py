@@ -1,13 +1,13 @@
 """Nearest neighbours by inner product (operator 5) over randomly rotated one-bit codes.
 
-A vector is scaled to length 1, turned by a random orthogonal matrix, and kept as the signs of its components (packed bits) with two
-correction scalars: its length, and how well the signs stand for it (their inner product with the turned vector). A query keeps
-``PLANES`` bits a component. Its inner product with a code comes from bit counts of ANDs of packed words, is divided by the code's second scalar
-and has an error bound of ``EPSILON`` deviations. The ``FIRST * k`` largest estimates are worked out with the original vectors, in
-double precision; so is then every candidate whose upper bound reaches the k-th largest of those.
-
-Nothing is fitted: the rotation depends on the dimension and a seed, so every row is indexed alike. Queries and candidates are dealt into blocks of
-bounded size by hashed id, every query block meets every candidate block in a task of its own, and each meeting returns the k best of each query.
+A vector is scaled to length 1, turned into ``BITS`` dimensions by a random matrix with orthonormal columns, and kept as the signs of its components (packed
+bits) with two correction scalars: its length, and how well the signs stand for it (their inner product with the turned vector). The inner product of a turned
+query with the signs, divided by the second scalar, estimates the query's with the vector, with an error bound of ``EPSILON`` deviations.
+
+Nothing is fitted: the matrix depends on the dimension and a seed, so every row is indexed alike. Codes and scalars travel, vectors don't: queries and codes are
+dealt into blocks of bounded size by hash, and every query block meets every code block in a task of its own, twice. First each meeting returns a query's
+``FIRST * k`` largest estimates; the best of all meetings are worked out with the original vectors in double precision, and the k-th largest of these is
+the query's reach. Then each meeting returns the vectors whose upper bound gets there, and these are worked out too. Vectors join by id, only for these.
 """
 
 from __future__ import annotations
@@ -21,62 +21,48 @@ from pyspark.sql import functions as F
 
 from skirmish.llm.common import durable, map_arrow
 
-PLANES = 6
-EPSILON = 2.4
+BITS = 512
+EPSILON = 3.0
 FIRST = 4
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+#: Largest blocks of queries and codes; blocks of codes are smaller, down to ``SMALL_BLOCK``, as long as there is no task for each core.
+QUERY_BLOCK, CODE_BLOCK, SMALL_BLOCK = 4096, 65_536, 4096
+#: Codes that are unpacked at a time in a task.
+SLICE = 4096
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
+    """(bits x dim) with orthonormal columns; bits is ``BITS``, or for longer vectors the next multiple of 64."""
+    bits = max(BITS, -(-dim // 64) * 64)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, dim)))
     return q * np.sign(np.diag(r))
 
 
-def _words(bits: np.ndarray) -> np.ndarray:
-    """Rows of bits as rows of 64-bit words."""
-    padded = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), np.uint8)
-    padded[:, : bits.shape[1]] = bits
-    return np.packbits(padded, axis=1).view(np.uint64)
-
-
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed signs, lengths, fidelities) of the rows."""
     lengths = np.sqrt((vectors * vectors).sum(axis=1))
     turned = (vectors / lengths[:, None]) @ turn.T
-    return _words(turned > 0), lengths, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
-
+    return np.packbits(turned > 0, axis=1), lengths, np.abs(turned).sum(axis=1) / np.sqrt(len(turn))
 
-class Query:
-    """A rotated query, quantised to ``PLANES`` bits a component."""
 
-    def __init__(self, vector: np.ndarray, turn: np.ndarray) -> None:
-        self.length = float(np.sqrt((vector * vector).sum()))
-        turned = turn @ (vector / self.length)
-        self.low, self.step = turned.min(), max((turned.max() - turned.min()) / (2**PLANES - 1), 1e-300)
-        levels = np.rint((turned - self.low) / self.step).astype(np.uint8)
-        self.planes = [_words(((levels >> k) & 1)[None, :])[0] for k in range(PLANES)]
-        self.total = float((levels * self.step + self.low).sum())
-        self.dim = len(vector)
+def estimates(queries: np.ndarray, turn: np.ndarray, codes: np.ndarray, lengths: np.ndarray, fidelity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes x queries): inner products of the queries with coded vectors, and the bounds of their errors."""
+    signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
+    norms = np.sqrt((queries * queries).sum(axis=1))
+    turned = ((queries @ turn.T) / np.sqrt(len(turn))).astype(np.float32)
+    scale = (lengths / fidelity)[:, None]
+    spread = EPSILON * np.sqrt(np.maximum(1 - fidelity**2, 0) / max(1, len(turn) - 1))[:, None]
+    return (signs @ turned.T) * scale, scale * spread * norms[None, :]
 
-    def estimates(self, codes: np.ndarray, lengths: np.ndarray, fidelity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Inner products with coded vectors, and the bounds of their errors."""
-        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-        weighed = sum(np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << k for k, plane in enumerate(self.planes))
-        signed = (2 * (self.step * weighed + self.low * ones) - self.total) / np.sqrt(self.dim)
-        scale = self.length * lengths / fidelity
-        spread = EPSILON * np.sqrt(np.maximum(1 - fidelity**2, 0) / max(1, self.dim - 1)) + self.step / 2 * np.sqrt(self.dim)
-        return scale * signed, scale * spread
 
-
-VECTOR_SCHEMA = "vec_id long, code binary, length double, fidelity double, vector array<double>"
+VECTOR_SCHEMA = "vec_id long, row long, code binary, length double, fidelity double, vector array<double>"
 
 
 def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Codes and scalars of every vector. Those that are null, zero, or hold nulls or non-finite components take no part, nor do
-    rows without an id, or vectors of another length than the most frequent one (ties: the smaller)."""
+    """Codes and scalars of every vector; ``row`` tells different vectors of one id apart. Rows equal in id and vector count once. Vectors that are null, zero,
+    or hold nulls or non-finite components take no part, nor do rows without an id, or vectors of another length than the most frequent one (ties: the smaller)."""
     values = F.col(embedding).cast("array<double>")
     usable = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(values, lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("vector")).where(usable)
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("vector")).where(usable).withColumn("row", F.xxhash64("vector")).dropDuplicates(["vec_id", "row"])
     sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = sizes[0]["dim"] if sizes else 1
 
@@ -86,7 +72,7 @@ def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             x = batch.column("vector").flatten().to_numpy().reshape(-1, dim)
             codes, lengths, fidelity = encode(x, turn)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lengths), pa.array(fidelity), batch.column("vector")], ["vec_id", "code", "length", "fidelity", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("row"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lengths), pa.array(fidelity), batch.column("vector")], ["vec_id", "row", "code", "length", "fidelity", "vector"])
 
         return each
 
@@ -101,43 +87,91 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
 
 
-def search(indexed: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score, n_reranked): of each indexed query the ``k`` nearest others, nearest first, ties to the smaller id.
+def _meetings(indexed: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int) -> DataFrame:
+    """(query_id, query_row, vec_id, row, estimate): what each meeting of a block of queries with one of codes returns.
 
-    ``is_query``: which of the indexed rows are queries. Rows with the query's own id aren't its candidates; rows that repeat
-    another id are candidates each. Fewer than ``k`` candidates: all of them. ``score`` is the inner product of the original vectors in double
-    precision; ``n_reranked`` counts those worked out in the block that found the row.
+    ``queries`` (query_id, query_row, wanted, reach): with a null reach a meeting returns the ``FIRST * k`` largest estimates, else all whose upper bound reaches it.
     """
-    n, n_queries = indexed.agg(F.count("*"), F.count_if(is_query)).first()
-    query_blocks, blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
+    cores = indexed.sparkSession.sparkContext.defaultParallelism
+    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    blocks = max(1, -(-n // CODE_BLOCK), min(cores, -(-n // SMALL_BLOCK)))
     # Queries have columns of their own names: a cogroup of two sides with columns in common would mix them up.
-    asked = indexed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("wanted"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
-    offered = indexed.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("query_id", "query_row"), F.lit(query_blocks))).withColumn("qcb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    codes = indexed.select("vec_id", "row", "code", "length", "fidelity", F.pmod(F.xxhash64("vec_id", "row", F.lit(1)), F.lit(blocks)).cast("int").alias("cb"))
+    offered = codes.withColumn("cqb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0)]]
         if left.num_rows and right.num_rows:
-            queries, x, ids = _matrix(left, "wanted"), np.ascontiguousarray(_matrix(right, "vector")), right.column("vec_id").to_numpy()
-            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint64).reshape(len(ids), -1)
+            wanted = _matrix(left, "wanted")
+            own, own_row, reach = left.column("query_id").to_numpy(), left.column("query_row").to_numpy(), left.column("reach").to_numpy()
+            ids, rows = right.column("vec_id").to_numpy(), right.column("row").to_numpy()
+            packed = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             lengths, fidelity = right.column("length").to_numpy(), right.column("fidelity").to_numpy()
-            turn = rotation(x.shape[1])
-            for own, vector in zip(left.column("query_id").to_pylist(), queries, strict=True):
-                estimate, bound = Query(vector, turn).estimates(codes, lengths, fidelity)
-                other = ids != own
-                estimate[~other] = -np.inf
-                reach = -np.inf
-                if len(ids) > FIRST * k:
-                    first = np.argpartition(-estimate, FIRST * k)[: FIRST * k]
-                    reach = np.sort((x[first] * vector).sum(axis=1)[other[first]])[-k]
-                at = np.flatnonzero(other & (estimate + bound >= reach))
-                scores = (x[at] * vector).sum(axis=1)  # one row at a time, so equal vectors have equal scores
-                top = best(ids[at], scores, k)
-                out.append([np.full(len(top), own), ids[at][top], scores[top], np.full(len(top), len(at))])
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score", "n_reranked"])
-
-    met = asked.groupBy("qb", "cb").cogroup(offered.groupBy("qb", "cb")).applyInArrow(meet, "query_id long, vec_id long, score double, n_reranked long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_reranked")
+            turn, first = rotation(wanted.shape[1]), np.isnan(reach)
+            for q in range(0, len(own), 256):
+                asked = slice(q, q + 256)
+                held: list[list[np.ndarray]] = []
+                for c in range(0, len(ids), SLICE):
+                    some = slice(c, c + SLICE)
+                    estimate, bound = estimates(wanted[asked], turn, packed[some], lengths[some], fidelity[some])
+                    estimate[ids[some][:, None] == own[None, asked]] = -np.inf
+                    good = estimate + bound >= np.where(first[asked], -np.inf, reach[asked])[None, :]
+                    if first[asked].any() and len(estimate) > FIRST * k:
+                        least = np.partition(estimate, len(estimate) - FIRST * k, axis=0)[len(estimate) - FIRST * k]
+                        good &= ~first[asked][None, :] | (estimate >= least[None, :])
+                    at, which = np.nonzero(good & np.isfinite(estimate))
+                    held.append([which + q, at + c, estimate[at, which].astype(float)])
+                which, at, estimate = (np.concatenate(x) for x in zip(*held, strict=True))
+                place = np.lexsort((ids[at], -estimate, which))
+                which, at, estimate = which[place], at[place], estimate[place]
+                rank = np.arange(len(which)) - np.searchsorted(which, which)
+                keep = ~first[which] | (rank < FIRST * k)
+                which, at, estimate = which[keep], at[keep], estimate[keep]
+                out.append([own[which], own_row[which], ids[at], rows[at], estimate])
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "query_row", "vec_id", "row", "estimate"])
+
+    met = asked.groupBy("qb", "qcb").cogroup(offered.groupBy("cqb", "cb"))
+    return met.applyInArrow(meet, "query_id long, query_row long, vec_id long, row long, estimate double")
+
+
+def _exact(pairs: DataFrame, indexed: DataFrame, queries: DataFrame) -> DataFrame:
+    """``pairs`` with ``score``: the inner product of the original vectors, added up in double precision from the first component to the last."""
+    vectors = indexed.select("vec_id", "row", "vector")
+    both = pairs.join(vectors, ["vec_id", "row"]).join(queries.select("query_id", "query_row", "wanted"), ["query_id", "query_row"])
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            x, y = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("vector", "wanted"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAIR), pa.array((x * y).sum(axis=1))], [*PAIR, "score"])
+
+        return each
+
+    return map_arrow(both.select(*PAIR, "vector", "wanted"), make, "query_id long, query_row long, vec_id long, row long, score double")
+
+
+PAIR = ["query_id", "query_row", "vec_id", "row"]
+
+
+def search(indexed: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score, n_reranked): of each indexed query the ``k`` nearest others, nearest first, ties to the smaller id.
+
+    ``indexed``: a written table of :func:`index`. ``is_query``: which of its rows are queries. Rows with the query's own id aren't its candidates; different vectors
+    of another id are candidates each. Different vectors of a query's id are queries each, and each has its own ``k`` rows. Fewer than ``k``
+    candidates: all of them. ``n_reranked``: how many candidates were worked out with their vectors.
+    """
+    n, n_queries = indexed.agg(F.count("*"), F.count_if(is_query)).first()
+    queries = indexed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), F.col("vector").alias("wanted"))
+    by_query = Window.partitionBy("query_id", "query_row")
+    largest = _meetings(indexed, queries.withColumn("reach", F.lit(None).cast("double")), n, n_queries, k)
+    place = F.row_number().over(by_query.orderBy(F.desc("estimate"), "vec_id", "row"))
+    first = durable(_exact(largest.withColumn("place", place).where(F.col("place") <= FIRST * k).select(*PAIR), indexed, queries), "first")
+    kth = first.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("score")))).where(F.col("place") == k).select("query_id", "query_row", F.col("score").alias("reach"))
+    # A query without k candidates has all of them already.
+    reaching = _meetings(indexed, queries.join(kth, ["query_id", "query_row"]), n, n_queries, k).select(*PAIR).join(first, PAIR, "left_anti")
+    scored = first.unionByName(_exact(reaching, indexed, queries))
+    ranked = scored.withColumns({"rank": F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id", "row")), "n_reranked": F.count("*").over(by_query)})
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_reranked")
 
 
 def search_table(vectors: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:

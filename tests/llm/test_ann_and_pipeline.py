@@ -1,10 +1,12 @@
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skirmish.llm import ann
+from skirmish.llm import common
 from skirmish.llm.common import durable
 from tests.llm.conftest import ODD, frame
 
@@ -33,13 +35,32 @@ def test_recall_against_brute_force(spark):
 
 def test_estimates_keep_their_bounds():
     rng = np.random.default_rng(4)
-    x, turn = rng.standard_normal((4000, 64)), ann.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    codes, lengths, fidelity = ann.encode(x, turn)
-    q = rng.standard_normal(64)
-    estimate, bound = ann.Query(q, turn).estimates(codes, lengths, fidelity)
-    assert np.mean(abs(estimate - x @ q) <= bound) > 0.97
-    assert np.corrcoef(estimate, x @ q)[0, 1] > 0.75
+    x, q = rng.standard_normal((4000, 64)), rng.standard_normal((8, 64))
+    turn = ann.rotation(64)
+    assert turn.shape == (ann.BITS, 64) and np.allclose(turn.T @ turn, np.eye(64))
+    estimate, bound = ann.estimates(q, turn, *ann.encode(x, turn))
+    assert np.mean(abs(estimate - x @ q.T) <= bound) > 0.99
+    assert np.corrcoef(estimate.ravel(), (x @ q.T).ravel())[0, 1] > 0.95
+    assert len(ann.rotation(600)) == 640
+
+
+def test_recall_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CODE_BLOCK", 20_000)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    n, dim = 100_000, 24
+    x = np.random.default_rng(9).standard_normal((n, dim))
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64()))}))
+    got = {}
+    for r in ann.search_table(table, F.col("vec_id") % 2500 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(x, np.arange(n), list(got), 20)
+    assert len(got) == 40 and np.mean([len(got[q] & set(want[q])) / 20 for q in got]) >= 0.95
+
+
+def test_repeated_rows_and_ids(spark):
+    data = [(0, [1.0, 0.0])] * 3 + [(0, [0.0, 1.0])] + [(k, [k / 10, 0.5]) for k in range(1, 9)] * 2
+    got = ann.search_table(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3).collect()
+    assert sorted((r["score"], r["vec_id"]) for r in got) == sorted([(0.8, 8), (0.7, 7), (0.6, 6), (0.5, 1), (0.5, 2), (0.5, 3)])
 
 
 def test_odd_vectors(spark):
@@ -54,11 +75,32 @@ def test_blocks_give_the_same_result(spark, sf_dir, monkeypatch):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     whole = ann.search_table(table, F.col("vec_id") % 20 == 0, 5).select("query_id", "rank", "vec_id").collect()
     monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
-    monkeypatch.setattr(ann, "CANDIDATE_BLOCK", 120)
+    monkeypatch.setattr(ann, "CODE_BLOCK", 120)
     parts = ann.search_table(table, F.col("vec_id") % 20 == 0, 5).select("query_id", "rank", "vec_id").collect()
     assert len(set(whole) & set(parts)) >= 0.98 * len(whole)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("counted", [False, True])
+def test_spread_joins_equal_plain_ones(spark, monkeypatch, how, counted):
+    monkeypatch.setattr(common, "ONE_TASK", 8)
+    left = durable(spark.createDataFrame([(k % 7 if k % 2 else 3, k) for k in range(400)] + [(None, 1000)] * 90 + [(99, 7)] * 80, "x long, y long"), "left")
+    right = durable(left.where("x < 6 AND x <> 1").groupBy("x").agg(F.count("*").alias("n"), F.max("y").alias("z")), "right")
+    got = common.join_spread(left, right, ["x"], how, n="n" if counted else None)
+    want = left.join(right, ["x"], how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_shared_folder_and_release(spark):
+    mark = common.written()
+    first = durable(spark.range(5), "one")
+    second = durable(spark.range(7), "two")
+    common.release(spark, mark, keep=1)
+    assert common.written() == mark + 1 and second.count() == 7
+    with pytest.raises(Exception):
+        first.collect()
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------------------------
 
 
