@@ -171,8 +171,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
 
 # -- similarity on long fingerprints -------------------------------------------------------------------------------------------
 
-#: Long fingerprints: their 64-bit words, and how many position triples index them.
-LONG, TRIPLES, MATCHES = 8, 520, 3
+#: Long fingerprints: their 64-bit words; how many lists index a text, and the half bytes that make a list's key; the equal bytes that a pair needs.
+LONG, LISTS, HALVES, SHARED = 8, 520, 7, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -211,18 +211,21 @@ def distance_limit(similarity: float) -> int:
 
 
 def shared_lists(nodes: DataFrame) -> DataFrame:
-    """(key, node): the inverted index of ``nodes`` (``node``, ``bits``) on ``TRIPLES`` random position triples, without lists of one node."""
+    """(key, node): the inverted index of ``nodes`` (``node``, ``bits``) on ``LISTS`` random sets of ``HALVES`` half-byte positions, without lists of one node."""
     rng = np.random.default_rng(29)
-    triples = np.array([rng.choice(8 * LONG, 3, replace=False) for _ in range(TRIPLES)])
+    places = np.array([rng.choice(16 * LONG, HALVES, replace=False) for _ in range(LISTS)])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 ids = batch.column("node").to_numpy()
-                raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-                keys = (np.arange(TRIPLES) << 24) + (raw[:, triples[:, 0]] << 16) + (raw[:, triples[:, 1]] << 8) + raw[:, triples[:, 2]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, TRIPLES))], ["key", "node"])
+                raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
+                halves = np.concatenate([raw >> 4, raw & 15], axis=1)
+                keys = np.repeat(np.arange(LISTS)[None, :], len(ids), axis=0)
+                for p in range(HALVES):
+                    keys = (keys << 4) | halves[:, places[:, p]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, LISTS))], ["key", "node"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, which waits for the next, and if it had one before
@@ -242,7 +245,7 @@ def shared_lists(nodes: DataFrame) -> DataFrame:
 
 
 def apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, n): of all pairs of nodes within a list that have different labels, how many lists they share (in parts to be summed).
+    """(a, b): all pairs of nodes within a list that have different labels.
 
     ``labels``: (node, label); a node without one is its own. The nodes of a list's most frequent label meet all others of the list,
     and these meet one another, in blocks of at most about ``BLOCK`` nodes.
@@ -281,28 +284,28 @@ def apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
                     pairs = np.concatenate(held, axis=1)
                     pairs = pairs[:, np.lexsort(pairs)]
                     first = np.flatnonzero(np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))[: pairs.shape[1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0, first]), pa.array(pairs[1, first]), pa.array(np.diff(np.append(first, pairs.shape[1])))], ["a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0, first]), pa.array(pairs[1, first])], ["a", "b"])
                     held, size = [], 0
 
         return each
 
-    return map_arrow(met, make, "a long, b long, n long")
+    return map_arrow(met, make, "a long, b long")
 
 
-def close_pairs(counted: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of ``counted`` (a, b, n) that share ``MATCHES`` lists and whose fingerprints are within :func:`distance_limit`."""
+def close_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): distinct pairs of ``pairs`` whose fingerprints share at least ``SHARED`` positional bytes and are within :func:`distance_limit`."""
     limit = distance_limit(similarity)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-            passed = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit
+            tallied = (x == y).sum(axis=1) >= SHARED
+            passed = tallied & (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(passed)) for c in ("a", "b")], ["a", "b"])
 
-    pairs = counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MATCHES).select("a", "b")
     left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(near, "a long, b long")
+    return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").mapInArrow(near, "a long, b long")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -334,14 +337,13 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, simil
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, root): rows whose word shingles have this Jaccard similarity, directly or over others, have one ``root``.
 
-    A node is a distinct set of shingles with its long fingerprint. Pairs of the similarity share so many positional bytes that no single position
-    can tell, so the inverted index has lists for ``TRIPLES`` random triples of positions: two texts at 0.8 agree in a byte with probability 0.27, so they
-    share ten of the lists on average, and ``MATCHES`` of them with a probability of 0.99 or so (less for texts of a few shingles, whose bits vary more);
-    two texts at 0.6 share one, and others none. A pair that shares ``MATCHES`` lists and isn't too far by its bits
-    is decided by the exact similarity of its shingles.
+    A node is a distinct set of shingles with its long fingerprint. The inverted index has ``LISTS`` lists a text, each for the values at ``HALVES`` random
+    half-byte positions. Two texts at a similarity of 0.8 agree in all of a list's positions with probability 0.01, so they share 5 lists on average and
+    none with a probability of 0.006 (more for texts of a few shingles, whose bits vary more); two texts at 0.6 share 0.4 lists, two unrelated ones 2e-6.
+    The positional bytes that a pair shares are tallied, pairs below the minimum or too far by their bits drop out, and the exact similarity of the shingles decides.
 
     First each list is tied to its smallest node, which joins groups of copies at n - 1 pairs a list. Then *all* pairs within a list
-    that aren't in one component yet are tallied over the lists, so a first node that is rejected hides no pair.
+    that aren't in one component yet are compared, so a first node that is rejected hides no pair.
     """
 
     def make():
@@ -359,8 +361,14 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     nodes = durable(rows.groupBy("node").agg(F.min("bits").alias("bits"), first.alias("first")).select("node", "bits", "first.*"), "nodes")
     lists = durable(shared_lists(nodes), "lists")
     heads = lists.groupBy("key").agg(F.min("node").alias("a"))
-    tied = lists.join(heads, "key").where("node > a").select("a", F.col("node").alias("b"), F.lit(1).alias("n"))
-    links = durable(alike(durable(close_pairs(tied, nodes, similarity), "close"), nodes, docs, words, similarity), "links")
+    tied = lists.join(heads, "key").where("node > a").select("a", F.col("node").alias("b"))
+    close = durable(close_pairs(tied, nodes, similarity), "close")
+    # One pair a node at first: most others of its pairs are then within one component already.
+    links = durable(alike(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, docs, words, similarity), "links")
+    labels = durable(components(links), "labels")
+    named = join_spread(close, labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), ["a"], "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("label_b")), "b", "left")
+    rest = durable(named.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "close")
+    links = durable(links.unionByName(alike(rest, nodes, docs, words, similarity)), "links")
     rest = durable(close_pairs(apart(lists, components(links)), nodes, similarity), "close")
     more = durable(alike(rest, nodes, docs, words, similarity), "links")
     labels = components(links.unionByName(more))
