@@ -145,6 +145,13 @@ class Scaler:
         self.centre, spread = full.mean(axis=0), full.std(axis=0)
         self.spread = np.where(spread > 0, spread, 1.0)
 
+    @classmethod
+    def of(cls, fill: np.ndarray, flagged: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> Scaler:
+        """A scaler as learned elsewhere."""
+        self = cls.__new__(cls)
+        self.fill, self.flagged, self.centre, self.spread = np.asarray(fill), np.asarray(flagged, int), np.asarray(centre), np.asarray(spread)
+        return self
+
     def _filled(self, x: np.ndarray) -> np.ndarray:
         missing = np.isnan(x)
         return np.column_stack([np.where(missing, self.fill, x), missing[:, self.flagged].astype(float)])
@@ -221,7 +228,8 @@ def dr_contrast(x: np.ndarray, treated: np.ndarray, y: np.ndarray, match: np.nda
         return m1 - m0 + t * np.minimum(1 / p, limit) * (y - m1) - (1 - t) * np.minimum(1 / (1 - p), limit) * (y - m0)
 
     influence = score(math.inf)
-    means = np.array([influence[match == k].mean() for k in np.unique(match)])
+    cluster = np.unique(match, return_inverse=True)[1]
+    means = np.bincount(cluster, influence) / np.bincount(cluster)
     half = 1.96 * means.std(ddof=1) / math.sqrt(len(means)) if len(means) > 1 else 0.0
     weight = 1 / np.where(t == 1, p, 1 - p)
     by_fold = [float(influence[fold == name].mean()) for name in FOLDS]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group. Spark filters by rank before its shuffle, so a group's size doesn't matter."""
+    """The first ``k`` rows of each group. Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1 000 by default) Spark filters by rank before its shuffle, so a group's size doesn't matter."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 

@@ -96,24 +96,45 @@ def incremental_cost(item: int, held: Sequence[int], components: Components, cos
 
 
 def schedule(targets: Sequence[int], components: Components, cost: Mapping[int, int], active: Iterable[int] = (), slots: int = 9, actives: int = 4) -> list[int] | None:
-    """An order of purchases, components first, that ends with ``targets`` held and never exceeds the slots; cheaper steps first. None if there is none."""
-    active, level = set(active), depths(components)
-    wanted: list[int] = []
+    """An order of purchases, components before what is made of them, that ends with exactly ``targets`` held and never exceeds the slots. None if there is none.
 
-    def need(item: int) -> None:
-        for c in components.get(item, ()):
-            if c not in targets:
-                need(c)
-        wanted.append(item)
+    Every purchase happens once, so a set is out of the question if it needs two copies of an item: one to hold, or to put into another product, besides
+    the one that a product uses up. Orders are searched depth first. What is held depends only on what was bought so far, so a set of purchases
+    from which the search failed once isn't tried again. Simpler and cheaper targets come first where the limits allow it.
+    """
+    active, level = set(active), depths(components)
+    rank: dict[int, int] = {}
+    uses: dict[int, int] = dict.fromkeys(targets, 1)
+    if len(uses) < len(targets):
+        return None
 
-    for t in sorted(targets, key=lambda i: (level.get(i, 0), cost[i], i)):
-        need(t)
-    held: list[int] = []
-    for item in wanted:
+    def need(item: int) -> bool:
         for c in components.get(item, ()):
-            if c in held and c not in targets:
-                held.remove(c)
-        held.append(item)
-        if len(held) > slots or len(active & set(held)) > actives:
+            uses[c] = uses.get(c, 0) + 1
+            if uses[c] > 1 or not need(c):
+                return False
+        rank[item] = len(rank)
+        return True
+
+    if not all(need(t) for t in sorted(targets, key=lambda i: (level.get(i, 0), cost[i], i))):
+        return None
+    order = sorted(rank, key=rank.__getitem__)
+    failed: set[frozenset[int]] = set()
+
+    def go_on(bought: frozenset[int], held: frozenset[int], path: list[int]) -> list[int] | None:
+        if len(path) == len(order):
+            return path
+        if bought in failed:
             return None
-    return wanted
+        for item in order:
+            parts = components.get(item, ())
+            if item not in bought and all(c in held for c in parts):
+                now = held.difference(parts) | {item}
+                if len(now) <= slots and len(active & now) <= actives:
+                    found = go_on(bought | {item}, now, [*path, item])
+                    if found:
+                        return found
+        failed.add(bought)
+        return None
+
+    return go_on(frozenset(), frozenset(), [])

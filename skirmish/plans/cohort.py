@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 from typing import ClassVar
@@ -69,6 +70,7 @@ class Tables:
     def __init__(self, source: DataFrame, item_assets: DataFrame, cohort: Cohort | None = None) -> None:
         self.source, self.cohort = source, cohort or Cohort()
         self._assets = item_assets
+        self._made: dict[str, DataFrame] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
@@ -81,6 +83,12 @@ class Tables:
     def _kept(df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, kept under ``name`` for other analyses of the session."""
+        if name not in self._made:
+            self._made[name] = self._kept(make())
+        return self._made[name]
+
     @cached_property
     def item_assets(self) -> DataFrame:
         return self._kept(self._assets)

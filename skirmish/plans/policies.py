@@ -1,13 +1,13 @@
 """Model-based analyses: shrinkage, adjusted models, contrasts, item bundles and build paths.
 
 Each needs an algorithm that SQL can't express. Spark prepares, groups and bounds the rows; a numpy kernel of :mod:`skirmish.functions.models` handles one small group
-at a time. Groups of catalogue items are bounded by the catalogue. Groups of matches are bounded by ``ROWS``: of larger ones the rows with the smallest
-hashes are taken, whole matches together (counts and supports that are reported come from all rows).
+at a time. Groups of catalogue items are bounded by the catalogue. Groups of matches are bounded by ``ROWS``: of larger ones a share of the matches is taken
+by hash. So ``ridge_holdout`` fits on a sample and tests on all rows; ``dr_contrasts`` and ``build_paths`` estimate, count and report on the sample alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +29,10 @@ GROUP = ["hero_id", "tier"]
 
 
 def bounded(df: DataFrame, by: Sequence[str], rows: int = ROWS) -> DataFrame:
-    return ranking.top_k(df, by, [F.xxhash64("match_id"), F.col("match_id"), F.col("player_slot")], rows, "__n").drop("__n")
+    """About ``rows`` rows of each group at most, whole matches together: those whose match has a hash below the group's share. A filter, without a sort of a group."""
+    share = df.groupBy(*by).agg((rows / F.count("*")).alias("__share"))
+    place = F.shiftrightunsigned(F.xxhash64("match_id"), 11) / F.lit(2.0**53)
+    return df.join(F.broadcast(share), list(by)).where(place < F.col("__share")).drop("__share")  # a row a hero or a hero and tier
 
 
 def catalogue(t: Tables) -> tuple[dict[int, tuple[int, ...]], dict[int, int], set[int]]:
@@ -107,26 +110,44 @@ def _decisions(t: Tables) -> DataFrame:
 def ridge_holdout(t: Tables) -> DataFrame:
     """Brier score and log loss on test decisions of a ridge logistic model of state alone and one with items, by hero and tier.
 
-    Only groups of at least 200 decisions, both outcomes, two items, 100 training and 20 test rows are modelled.
+    Only groups of at least 200 decisions, both outcomes, two items, 100 training and 20 test rows are modelled. The models are fitted on
+    about ``ROWS`` training rows of a group at most; counts cover all rows, and all test rows are scored.
     """
-    rows = bounded(_decisions(t), GROUP)
+    rows = _decisions(t)
+    train = F.col("fold") == "train"
+    counts = rows.groupBy(*GROUP).agg(
+        F.count("*").alias("n"), F.count_distinct("y").alias("outcomes"), F.count_distinct("item_id").alias("items"),
+        F.count_if(train).alias("train_rows"), F.count_if(F.col("fold") == "test").alias("test_rows"), F.count_distinct(F.when(train, F.col("y"))).alias("train_outcomes"),
+    )
+    usable = counts.where("n >= 200 AND outcomes = 2 AND items >= 2 AND train_rows >= 100 AND test_rows >= 20 AND train_outcomes = 2").select(*GROUP, "train_rows", "test_rows")
+    learned = bounded(rows.where(train).join(F.broadcast(usable.select(*GROUP)), GROUP), GROUP)  # a row a hero and tier, as all that is broadcast here
 
-    def evaluate(group: pd.DataFrame) -> pd.DataFrame:
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(APPEARANCE)
-        train, test = group[group["fold"] == "train"], group[group["fold"] == "test"]
+        y, x = group["y"].to_numpy(float), group[FEATURES].to_numpy(float)
+        scale = models.Scaler(x, indicators=True)
+        known = np.sort(group["item_id"].unique())
         out = []
-        if len(group) >= 200 and group["y"].nunique() == 2 and group["item_id"].nunique() >= 2 and len(train) >= 100 and len(test) >= 20 and train["y"].nunique() == 2:
-            scale = models.Scaler(train[FEATURES].to_numpy(float), indicators=True)
-            known = np.sort(train["item_id"].unique())
-            hot = [(part["item_id"].to_numpy()[:, None] == known).astype(float) for part in (train, test)]
-            state = [scale(part[FEATURES].to_numpy(float)) for part in (train, test)]
-            for name, (x, z) in {"state": state, "state_and_item": [np.hstack(p) for p in zip(hot, state, strict=True)]}.items():
-                p = np.clip(models.logistic_predict(models.logistic_fit(x, train["y"].to_numpy(float), 0.5), z), 1e-6, 1 - 1e-6)
-                y = test["y"].to_numpy(float)
-                out.append((*group[GROUP].iloc[0], name, len(train), len(test), float(((p - y) ** 2).mean()), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())))
-        return pd.DataFrame(out, columns=["hero_id", "tier", "model", "train_rows", "test_rows", "brier", "log_loss"])
+        for name, items in (("state", known[:0]), ("state_and_item", known)):
+            weights = models.logistic_fit(np.hstack([(group["item_id"].to_numpy()[:, None] == items).astype(float), scale(x)]), y, 0.5)
+            out.append((*group[GROUP].iloc[0], name, items, weights, scale.fill, scale.flagged, scale.centre, scale.spread))
+        return pd.DataFrame(out, columns=["hero_id", "tier", "model", "items", "weights", "fill", "flagged", "centre", "spread"])
+
+    fitted = learned.groupBy(*GROUP).applyInPandas(fit, "hero_id int, tier int, model string, items array<long>, weights array<double>, fill array<double>, flagged array<long>, centre array<double>, spread array<double>")
 
-    return rows.groupBy(*GROUP).applyInPandas(evaluate, "hero_id int, tier int, model string, train_rows long, test_rows long, brier double, log_loss double")
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby([*GROUP, "model"]):
+                r = part.iloc[0]
+                state = models.Scaler.of(r["fill"], r["flagged"], r["centre"], r["spread"])(part[FEATURES].to_numpy(float))
+                hot = (part["item_id"].to_numpy()[:, None] == np.asarray(r["items"], np.int64)).astype(float)
+                p = np.clip(models.logistic_predict(np.asarray(r["weights"]), np.hstack([hot, state])), 1e-6, 1 - 1e-6)
+                y = part["y"].to_numpy(float)
+                yield part[[*GROUP, "model"]].assign(square=(p - y) ** 2, loss=-(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    tested = rows.where("fold = 'test'").join(F.broadcast(fitted), GROUP)
+    scored = tested.mapInPandas(predict, "hero_id int, tier int, model string, square double, loss double")
+    return scored.groupBy(*GROUP, "model").agg(F.avg("square").alias("brier"), F.avg("loss").alias("log_loss")).join(F.broadcast(usable), GROUP).select(*GROUP, "model", "train_rows", "test_rows", "brier", "log_loss")
 
 
 def dr_contrasts(t: Tables) -> DataFrame:
@@ -155,9 +176,13 @@ def dr_contrasts(t: Tables) -> DataFrame:
 
 def inventories(t: Tables) -> DataFrame:
     """Every player's items at the end of the match, replayed."""
-    components, _, _ = catalogue(t)
-    held = final_inventories(t.purchases, APPEARANCE, components)
-    return held.join(t.player_matches.select(*APPEARANCE, "hero_id"), APPEARANCE).join(t.match_folds, "match_id")
+
+    def replayed() -> DataFrame:
+        components, _, _ = catalogue(t)
+        held = final_inventories(t.purchases, APPEARANCE, components)
+        return held.join(t.player_matches.select(*APPEARANCE, "hero_id"), APPEARANCE).join(t.match_folds, "match_id")
+
+    return t.once("inventories", replayed)
 
 
 #: The limits of the backbone gates.
@@ -347,7 +372,9 @@ def situational(t: Tables, support: int = 100, most: int = 7, overlap: float = 0
             F.when(F.coalesce("effective_support", F.lit(0.0)) < effective, F.lit("effective_support")), F.when(F.coalesce("spearman", F.lit(-1.0)) < stable, F.lit("stability")), F.when(F.coalesce("sign_agreement", F.lit(0.0)) < agreeing, F.lit("sign")),
         )).alias("failed"),
     )
-    best = ranking.top_k(gated, ["hero_id"], [F.size("failed"), F.desc("comparative_interval_low"), F.col("item_id"), F.col("enemy_hero_id"), F.col("phase"), F.col("scope")], 200)
+    # A hero's rows are combinations of items, enemies, phases and scopes, which catalogues bound.
+    order = [F.size("failed"), F.desc("comparative_interval_low"), F.col("item_id"), F.col("enemy_hero_id"), F.col("phase"), F.col("scope")]
+    best = gated.withColumn("rank", F.row_number().over(Window.partitionBy("hero_id").orderBy(*order)))
 
     def admit(group: pd.DataFrame) -> pd.DataFrame:
         items, enemies, out = set(), set(), []

@@ -16,6 +16,12 @@ from skirmish.sources.adapter import read
 
 Plan = Callable[[Tables], DataFrame]
 
+
+def _backbones(t: Tables) -> DataFrame:
+    # Inventories of the driver's tables are short: sizes from 2 on, and a floor of 3 a fold.
+    return t.once("backbones", lambda: p.backbones(t, fold_support=3))
+
+
 #: Queries over the derived tables.
 PLANS: dict[str, Plan] = {
     "match_admission": lambda t: t.eligible_matches,
@@ -101,12 +107,12 @@ PLANS: dict[str, Plan] = {
     "final_inventories": lambda t: p.inventories(t).withColumn("items", F.array_join("items", ",")),
     # Inventories of the driver's tables are short: smaller sets, and a floor of 3 a fold.
     "top_cores": lambda t: p.top_cores(t, 2, 20),
-    "backbones": lambda t: p.backbones(t, fold_support=3),
-    "core_completions": lambda t: p.completions(t, p.backbones(t, fold_support=3)),
+    "backbones": _backbones,
+    "core_completions": lambda t: p.completions(t, _backbones(t)),
     "greedy_paths": p.greedy_paths,
     "core_path_stability": p.core_path_stability,
     "build_paths": p.build_paths,
-    "tier_menus": lambda t: p.tier_menus(t, p.backbones(t, fold_support=3)),
+    "tier_menus": lambda t: p.tier_menus(t, _backbones(t)),
     "situational_policy": p.situational,
     "supported_openings": p.supported_openings,
 }

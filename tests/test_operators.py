@@ -1,3 +1,4 @@
+from itertools import permutations
 """Operators and kernels on small inputs with known results."""
 
 
@@ -207,8 +208,44 @@ def test_classified_events():
 def test_schedules():
     components, cost = {3: (1, 2)}, {1: 500, 2: 500, 3: 1500, 4: 800}
     assert replay.schedule([3, 4], components, cost) == [4, 1, 2, 3]
-    assert replay.schedule([3, 4], components, cost, slots=2) is None
+    assert replay.schedule([3, 4], components, cost, slots=2) == [1, 2, 3, 4]
+    assert replay.schedule([3, 4], components, cost, slots=1) is None
     assert replay.incremental_cost(3, [1, 4], components, cost) == 1000
+    # An item and an upgrade of it: the item would have to be bought twice.
+    assert replay.schedule([1, 2], {2: (1,)}, {1: 500, 2: 1250}) is None
+    assert replay.schedule([5, 6], {5: (1, 2), 6: (2, 3)}, dict.fromkeys(range(1, 7), 500)) is None
+    # Only with three slots does the order matter.
+    made = {10: (1, 2, 3)}
+    assert replay.schedule([10, 20], made, {1: 500, 2: 500, 3: 500, 10: 3000, 20: 100}, slots=3) == [1, 2, 3, 10, 20]
+
+
+def legal_order(order, targets, components, active, slots, actives):
+    held = []
+    for item in order:
+        for c in components.get(item, ()):
+            if c not in held:
+                return False
+            held.remove(c)
+        held.append(item)
+        if len(held) > slots or len(set(held) & active) > actives:
+            return False
+    return sorted(held) == sorted(targets)
+
+
+def test_schedules_by_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        components = {k: tuple(rng.choice(np.arange(k), rng.integers(1, 3), replace=False).tolist()) for k in range(2, 8) if rng.random() < 0.6}
+        targets = rng.choice(8, rng.integers(1, 4), replace=False).tolist()
+        cost, active, slots = {k: int(rng.integers(1, 9)) for k in range(8)}, {0, 3, 5}, int(rng.integers(1, 4))
+        closure = set(targets)
+        while more := {c for i in closure for c in components.get(i, ())} - closure:
+            closure |= more
+        if len(closure) > 6:
+            continue
+        want = any(legal_order(p, targets, components, active, slots, 1) for p in permutations(sorted(closure)))
+        got = replay.schedule(targets, components, cost, active, slots, 1)
+        assert (got is not None) == want and (got is None or legal_order(got, targets, components, active, slots, 1))
 
 
 # -- itemsets ----------------------------------------------------------------------------------------------------------------
