@@ -173,6 +173,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
 
 #: Long fingerprints: their 64-bit words; how many lists index a text, and the half bytes that make a list's key; the equal bytes that a pair needs.
 LONG, LISTS, HALVES, SHARED = 8, 520, 7, 3
+#: The lists that a pair must share with one of them as the first node.
+TIED = 2
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -205,9 +207,9 @@ def long_fingerprint(h: np.ndarray) -> np.ndarray:
 
 
 def distance_limit(similarity: float) -> int:
-    """Differing bits that two large sets of this Jaccard similarity hardly ever exceed: the angle's share of the bits and 4 deviations."""
+    """Differing bits that two large sets of this Jaccard similarity hardly ever exceed: the angle's share of the bits and 3 deviations (one pair in 700 exceeds it)."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * LONG * share + 4 * np.sqrt(64 * LONG * share * (1 - share)))
+    return int(64 * LONG * share + 3 * np.sqrt(64 * LONG * share * (1 - share)))
 
 
 def shared_lists(nodes: DataFrame) -> DataFrame:
@@ -244,20 +246,22 @@ def shared_lists(nodes: DataFrame) -> DataFrame:
     return posted.repartition("key").sortWithinPartitions("key").mapInArrow(several, "key long, node long")
 
 
-def apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): all pairs of nodes within a list that have different labels.
+def apart(lists: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes within a list that have different labels and are close by their bits (:func:`close`); a pair comes from each of its lists.
 
     ``labels``: (node, label); a node without one is its own. The nodes of a list's most frequent label meet all others of the list,
     and these meet one another, in blocks of at most about ``BLOCK`` nodes.
     """
+    limit = distance_limit(similarity)
     named = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
     blocks = {"n0": F.ceil(F.col("n_main") / BLOCK).cast("int"), "n1": F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")}
     side = F.when(F.col("label") == F.col("main"), 0).otherwise(1)
     sided = named.join(mains.withColumns(blocks), "key").withColumn("side", side)
+    sided = sided.join(nodes.select("node", "bits"), "node")  # of lists with several labels only
     dealt = sided.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
-    parts = dealt.groupBy("key", "n0", "n1", "side", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"))
+    parts = dealt.groupBy("key", "n0", "n1", "side", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list("bits").alias("bits"))
     # A block goes to each pair of blocks that it is part of: of both sides (across), and of the others among themselves. The pairs are dealt over all tasks.
     block, more0, more1 = F.col("block"), F.sequence(F.lit(0), F.col("n0") - 1), F.sequence(F.lit(0), F.col("n1") - 1)
     across0 = F.transform(more1, lambda y: F.struct(F.lit(True).alias("across"), block.alias("x"), y.alias("y")))
@@ -265,19 +269,24 @@ def apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     within = F.transform(more1, lambda o: F.struct(F.lit(False).alias("across"), F.least(block, o).alias("x"), F.greatest(block, o).alias("y")))
     alone = F.array().cast("array<struct<across:boolean,x:int,y:int>>")
     within = F.when((F.col("n1") > 1) | (F.size("nodes") > 1), within).otherwise(alone)
-    going = parts.select("key", "side", "block", "nodes", "labels", F.inline(F.when(F.col("side") == 0, across0).otherwise(F.concat(across1, within))))
+    going = parts.select("key", "side", "block", "nodes", "labels", "bits", F.inline(F.when(F.col("side") == 0, across0).otherwise(F.concat(across1, within))))
     first, second = (F.when(F.col("across"), F.col("side") == k).otherwise(F.col("block") == F.col(c)) for k, c in ((0, "x"), (1, "y")))
-    halves = {name: F.max(F.when(which, F.col(c))).alias(name) for which, c, name in ((first, "nodes", "nodes"), (first, "labels", "labels"), (second, "nodes", "more"), (second, "labels", "more_labels"))}
+    sides = ((first, ""), (second, "more_"))
+    halves = {f"{more}{c}": F.max(F.when(which, F.col(c))).alias(f"{more}{c}") for which, more in sides for c in ("nodes", "labels", "bits")}
     met = going.groupBy("key", "across", "x", "y").agg(*halves.values()).select(*halves, (~F.col("across") & (F.col("x") == F.col("y"))).alias("own"))
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            columns = [(batch.column(c).flatten().to_numpy(), batch.column(c).offsets.to_numpy() - batch.column(c).offsets[0].as_py()) for c in ("nodes", "labels", "more", "more_labels")]
+            columns = [(batch.column(c).flatten().to_numpy(), batch.column(c).offsets.to_numpy() - batch.column(c).offsets[0].as_py()) for c in ("nodes", "labels", "more_nodes", "more_labels")]
+            bits = [(np.frombuffer(b"".join(batch.column(c).flatten().to_pylist()), np.uint8).reshape(-1, 8 * LONG), batch.column(c).offsets.to_numpy() - batch.column(c).offsets[0].as_py()) for c in ("bits", "more_bits")]
             held, size = [], 0
             for row, own in enumerate(batch.column("own").to_pylist()):
                 x, x_label, y, y_label = (v[at[row] : at[row + 1]] for v, at in columns)
                 differ = x_label[:, None] != y_label[None, :]
                 i, j = np.nonzero(np.triu(differ) if own else differ)
+                x_bits, y_bits = (v[at[row] : at[row + 1]] for v, at in bits)
+                near = np.concatenate([close(x_bits[i[k : k + _STEP]], y_bits[j[k : k + _STEP]], limit) for k in range(0, len(i), _STEP)] or [np.zeros(0, bool)])
+                i, j = i[near], j[near]
                 held.append(np.stack([np.minimum(x[i], y[j]), np.maximum(x[i], y[j])]))
                 size += len(i)
                 if size > 1 << 20 or row == batch.num_rows - 1:
@@ -292,20 +301,25 @@ def apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return map_arrow(met, make, "a long, b long")
 
 
-def close_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): distinct pairs of ``pairs`` whose fingerprints share at least ``SHARED`` positional bytes and are within :func:`distance_limit`."""
+def close(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    """Which rows of fingerprint bytes share at least ``SHARED`` positional bytes and differ in at most ``limit`` bits."""
+    return ((x == y).sum(axis=1) >= SHARED) & (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit)
+
+
+def close_pairs(counted: DataFrame, lists: int, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``counted`` (a, b, n) that share at least ``lists`` lists and are :func:`close` within :func:`distance_limit`."""
     limit = distance_limit(similarity)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-            tallied = (x == y).sum(axis=1) >= SHARED
-            passed = tallied & (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(passed)) for c in ("a", "b")], ["a", "b"])
+            passed = pa.array(close(x, y, limit))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(passed) for c in ("a", "b")], ["a", "b"])
 
     left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
-    return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").mapInArrow(near, "a long, b long")
+    pairs = counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= lists).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(near, "a long, b long")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -339,10 +353,10 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     A node is a distinct set of shingles with its long fingerprint. The inverted index has ``LISTS`` lists a text, each for the values at ``HALVES`` random
     half-byte positions. Two texts at a similarity of 0.8 agree in all of a list's positions with probability 0.01, so they share 5 lists on average and
-    none with a probability of 0.006 (more for texts of a few shingles, whose bits vary more); two texts at 0.6 share 0.4 lists, two unrelated ones 2e-6.
-    The positional bytes that a pair shares are tallied, pairs below the minimum or too far by their bits drop out, and the exact similarity of the shingles decides.
+    none with a probability of 0.006 (more for texts of a few shingles, whose bits vary more); two texts at 0.6 share 0.4 lists, two unrelated ones
+    2e-6. The positional bytes that a pair shares are tallied; pairs below the minimum or too far by their bits drop out, and the exact similarity of the shingles decides.
 
-    First each list is tied to its smallest node, which joins groups of copies at n - 1 pairs a list. Then *all* pairs within a list
+    First each list is tied to its smallest node (a pair counts with ``TIED`` of them), which joins groups of copies at n - 1 pairs a list. Then *all* pairs within a list
     that aren't in one component yet are compared, so a first node that is rejected hides no pair.
     """
 
@@ -361,15 +375,15 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     nodes = durable(rows.groupBy("node").agg(F.min("bits").alias("bits"), first.alias("first")).select("node", "bits", "first.*"), "nodes")
     lists = durable(shared_lists(nodes), "lists")
     heads = lists.groupBy("key").agg(F.min("node").alias("a"))
-    tied = lists.join(heads, "key").where("node > a").select("a", F.col("node").alias("b"))
-    close = durable(close_pairs(tied, nodes, similarity), "close")
+    tied = lists.join(heads, "key").where("node > a").select("a", F.col("node").alias("b"), F.lit(1).alias("n"))
+    close = durable(close_pairs(tied, TIED, nodes, similarity), "close")
     # One pair a node at first: most others of its pairs are then within one component already.
     links = durable(alike(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, docs, words, similarity), "links")
     labels = durable(components(links), "labels")
     named = join_spread(close, labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), ["a"], "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("label_b")), "b", "left")
     rest = durable(named.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "close")
     links = durable(links.unionByName(alike(rest, nodes, docs, words, similarity)), "links")
-    rest = durable(close_pairs(apart(lists, components(links)), nodes, similarity), "close")
+    rest = durable(apart(lists, components(links), nodes, similarity).select("a", "b").distinct(), "close")
     more = durable(alike(rest, nodes, docs, words, similarity), "links")
     labels = components(links.unionByName(more))
     return join_spread(rows.select("doc_id", "text_hash", "node"), labels, ["node"], "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root"))
