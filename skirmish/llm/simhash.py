@@ -146,14 +146,29 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     while True:
         # A component's smallest node is the end of many edges and the label of many nodes.
         seen = join_spread(both, labels.withColumnRenamed("node", "b"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
-        above = join_spread(labels, labels.select(F.col("node").alias("label"), F.col("label").alias("over")), ["label"]).select("node", "over")
+        above = join_spread(labels, labels.select(F.col("node").alias("label"), F.col("label").alias("over")), ["label"])
         least = F.least("label", "least", "over")
-        moved = durable(labels.join(seen, "node").join(above, "node").select("node", least.alias("label"), (least < F.col("label")).alias("moved")), name)
+        moved = durable(above.join(seen, "node").select("node", least.alias("label"), (least < F.col("label")).alias("moved")), name)
         labels = moved.select("node", "label")
         if moved.where("moved").isEmpty():
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): ``labels``, which has all nodes, after more ``links`` (a, b). Both are written tables.
+
+    Only the labels that the links connect are searched, so a search is over what the ones before left apart.
+    """
+    own = {c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"}
+    half = durable(join_spread(links, own["a"], ["a"]).select("label_a", "b"), "half")
+    whole = join_spread(half, own["b"], ["b"]).where("label_a != label_b")
+    found = durable(whole.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct(), "found")
+    if found.isEmpty():
+        return labels
+    over = components(found).select(F.col("node").alias("label"), F.col("label").alias("over"))
+    return durable(join_spread(labels, over, ["label"], "left").select("node", F.coalesce("over", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (needs ``doc_id`` and ``text``).
 
@@ -249,11 +264,11 @@ def shared_lists(nodes: DataFrame) -> DataFrame:
 def apart(lists: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of nodes within a list that have different labels and are close by their bits (:func:`close`); a pair comes from each of its lists.
 
-    ``labels``: (node, label); a node without one is its own. The nodes of a list's most frequent label meet all others of the list,
+    ``labels``: (node, label) of all nodes. The nodes of a list's most frequent label meet all others of the list,
     and these meet one another, in blocks of at most about ``BLOCK`` nodes.
     """
     limit = distance_limit(similarity)
-    named = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    named = lists.join(labels, "node")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
     blocks = {"n0": F.ceil(F.col("n_main") / BLOCK).cast("int"), "n1": F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")}
@@ -379,14 +394,15 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     close = durable(close_pairs(tied, TIED, nodes, similarity), "close")
     # One pair a node at first: most others of its pairs are then within one component already.
     links = durable(alike(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, docs, words, similarity), "links")
-    labels = durable(components(links), "labels")
-    named = join_spread(close, labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), ["a"], "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("label_b")), "b", "left")
-    rest = durable(named.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "close")
-    links = durable(links.unionByName(alike(rest, nodes, docs, words, similarity)), "links")
-    rest = durable(apart(lists, components(links), nodes, similarity).select("a", "b").distinct(), "close")
-    more = durable(alike(rest, nodes, docs, words, similarity), "links")
-    labels = components(links.unionByName(more))
-    return join_spread(rows.select("doc_id", "text_hash", "node"), labels, ["node"], "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("root"))
+    labels = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    labels = durable(labels, "labels")
+    named = durable(join_spread(close, labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), ["a"]), "named")
+    named = join_spread(named, labels.select(F.col("node").alias("b"), F.col("label").alias("label_b")), ["b"])
+    rest = durable(named.where("label_a != label_b").select("a", "b"), "close")
+    labels = merged(labels, durable(alike(rest, nodes, docs, words, similarity), "links"))
+    rest = durable(apart(lists, labels, nodes, similarity).select("a", "b").distinct(), "close")
+    labels = merged(labels, durable(alike(rest, nodes, docs, words, similarity), "links"))
+    return join_spread(rows.select("doc_id", "text_hash", "node"), labels, ["node"]).select("doc_id", "text_hash", F.col("label").alias("root"))
 
 
 _KEY = ["__no_id", "__id", "__text_hash"]
