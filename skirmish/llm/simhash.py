@@ -228,7 +228,7 @@ def distance_limit(similarity: float) -> int:
 
 
 def shared_lists(nodes: DataFrame) -> DataFrame:
-    """(key, node): the inverted index of ``nodes`` (``node``, ``bits``) on ``LISTS`` random sets of ``HALVES`` half-byte positions, without lists of one node."""
+    """(key, head, node), ``head`` being the list's smallest node: the inverted index of ``nodes`` (``node``, ``bits``) on ``LISTS`` random sets of ``HALVES`` half-byte positions, without lists of one node."""
     rng = np.random.default_rng(29)
     places = np.array([rng.choice(16 * LONG, HALVES, replace=False) for _ in range(LISTS)])
 
@@ -245,20 +245,56 @@ def shared_lists(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, LISTS))], ["key", "node"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, which waits for the next, and if it had one before
+        keys, ids, heads, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, which waits for the next, and if it had one before
+
+        def rows(at: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(heads[at]), pa.array(ids[at])], ["key", "head", "node"])
+
         for batch in batches:
             if batch.num_rows:
+                before = heads
                 keys, ids = (np.concatenate((held, batch.column(c).to_numpy())) for held, c in ((keys, "key"), (ids, "node")))
                 same = keys[1:] == keys[:-1]
+                begin = np.append(0, np.flatnonzero(~same) + 1)
+                heads = np.repeat(np.append(before, ids[begin[len(before) :]]), np.diff(np.append(begin, len(ids))))
                 member = np.append(shared, same) | np.append(same, False)
-                at = np.flatnonzero(member[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(ids[at])], ["key", "node"])
-                keys, ids, shared = keys[-1:], ids[-1:], bool(member[-1])
+                yield rows(np.flatnonzero(member[:-1]))
+                keys, ids, heads, shared = keys[-1:], ids[-1:], heads[-1:], bool(member[-1])
         if shared:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "node"])
+            yield rows(np.arange(1))
 
     posted = nodes.select("node", "bits").mapInArrow(post, "key long, node long")
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(several, "key long, node long")
+    return posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(several, "key long, head long, node long")
+
+
+def chunks(named: DataFrame) -> DataFrame:
+    """(key, label, part, nodes, bits): the nodes of each list (``key``) and label, ``BLOCK`` to a row; ``part`` numbers such rows from 0."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, base = None, 0  # the rows of the last chunk, to which the next may belong, and its number
+
+        def rows(table: pa.Table, at: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), table.column(c).combine_chunks()) for c in ("node", "bits")]
+            return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().take(pa.array(at[:-1])) for c in ("key", "label")), pa.array(part, pa.int32()), *lists], ["key", "label", "part", "nodes", "bits"])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                table = table if held is None else pa.concat_tables([held, table])
+                key, label = (table.column(c).to_numpy() for c in ("key", "label"))
+                begin = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (label[1:] != label[:-1])) + 1)
+                sizes = np.diff(np.append(begin, len(key)))
+                place = np.arange(len(key)) - np.repeat(begin, sizes)
+                at = np.flatnonzero(place % BLOCK == 0)
+                part = place[at] // BLOCK + np.where(at < sizes[0], base, 0)
+                if len(at) > 1:
+                    yield rows(table, at, part[:-1])
+                held, base = table.slice(at[-1]), part[-1]
+        if held is not None:
+            yield rows(held, np.array([0, held.num_rows]), np.array([base]))
+
+    dealt = named.select("key", "label", "node", "bits").repartition("key").sortWithinPartitions("key", "label", "node")
+    return dealt.mapInArrow(cut, "key long, label long, part int, nodes array<long>, bits array<binary>")
 
 
 def apart(lists: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -268,15 +304,18 @@ def apart(lists: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: flo
     and these meet one another, in blocks of at most about ``BLOCK`` nodes.
     """
     limit = distance_limit(similarity)
-    named = lists.join(labels, "node")
-    sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mains = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
-    blocks = {"n0": F.ceil(F.col("n_main") / BLOCK).cast("int"), "n1": F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")}
+    # Labels and bits join a node's row and not each of its lists, and what is worked out for a list joins its chunks.
+    named = lists.groupBy("node").agg(F.collect_list("key").alias("keys")).join(labels, "node").join(nodes.select("node", "bits"), "node")
+    parts = durable(chunks(named.select(F.explode("keys").alias("key"), "label", "node", "bits")), "chunks")
+    sizes = parts.groupBy("key", "label").agg(F.sum(F.size("nodes")).alias("n"), F.count("*").cast("int").alias("chunks"))
+    largest = F.struct("n", "label")
+    mains = sizes.groupBy("key").agg(F.max_by("label", largest).alias("main"), F.max_by("chunks", largest).alias("n0"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
+    mains = mains.select("key", "main", "n0", F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("n1"))
     side = F.when(F.col("label") == F.col("main"), 0).otherwise(1)
-    sided = named.join(mains.withColumns(blocks), "key").withColumn("side", side)
-    sided = sided.join(nodes.select("node", "bits"), "node")  # of lists with several labels only
-    dealt = sided.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
-    parts = dealt.groupBy("key", "n0", "n1", "side", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list("bits").alias("bits"))
+    block = F.when(F.col("side") == 0, F.col("part")).otherwise(F.pmod(F.xxhash64("label", "part"), F.col("n1"))).cast("int")
+    dealt = parts.join(mains, "key").withColumn("side", side).withColumn("block", block)
+    flat = {"nodes": F.col("nodes"), "labels": F.transform("nodes", lambda _: F.col("label")), "bits": F.col("bits")}
+    parts = dealt.groupBy("key", "n0", "n1", "side", "block").agg(*[F.flatten(F.collect_list(c)).alias(name) for name, c in flat.items()])
     # A block goes to each pair of blocks that it is part of: of both sides (across), and of the others among themselves. The pairs are dealt over all tasks.
     block, more0, more1 = F.col("block"), F.sequence(F.lit(0), F.col("n0") - 1), F.sequence(F.lit(0), F.col("n1") - 1)
     across0 = F.transform(more1, lambda y: F.struct(F.lit(True).alias("across"), block.alias("x"), y.alias("y")))
@@ -389,8 +428,7 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     first = F.min(F.struct(*_key(F.col("text_hash"))))
     nodes = durable(rows.groupBy("node").agg(F.min("bits").alias("bits"), first.alias("first")).select("node", "bits", "first.*"), "nodes")
     lists = durable(shared_lists(nodes), "lists")
-    heads = lists.groupBy("key").agg(F.min("node").alias("a"))
-    tied = lists.join(heads, "key").where("node > a").select("a", F.col("node").alias("b"), F.lit(1).alias("n"))
+    tied = lists.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"), F.lit(1).alias("n"))
     close = durable(close_pairs(tied, TIED, nodes, similarity), "close")
     # One pair a node at first: most others of its pairs are then within one component already.
     links = durable(alike(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, docs, words, similarity), "links")
