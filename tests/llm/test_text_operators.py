@@ -398,6 +398,39 @@ def test_similar_texts_are_found_and_others_left_alone(spark):
     assert sum(roots[k] == roots[k + 2] for k in pairs) == 0  # similarity below 0.3
 
 
+@pytest.mark.parametrize("rows", [5, 10_000])
+def test_lists_are_cut_into_chunks_that_batches_do_not_change(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        rng = np.random.default_rng(4)
+        named = {(int(k), int(n)): int(n) % 3 for k, n in zip(rng.integers(0, 9, 200), rng.integers(0, 60, 200), strict=True)} | {(99, n): 7 for n in range(100)}
+        table = spark.createDataFrame([(k, label, n, bytes([n])) for (k, n), label in named.items()], "key long, label long, node long, bits binary")
+        found = simhash.chunks(table).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for (k, n), label in sorted(named.items()):
+        want.setdefault((k, label), []).append(n)
+    assert {(r.key, r.label, r.part): (list(r.nodes), [x[0] for x in r.bits]) for r in found} == {(*at, p // 3): (n[p : p + 3], n[p : p + 3]) for at, n in want.items() for p in range(0, len(n), 3)}
+    assert len(found) == sum(-(-len(n) // 3) for n in want.values())
+
+
+@pytest.mark.parametrize("rows", [5, 10_000])
+def test_lists_have_their_smallest_node_as_the_head(spark, rows):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        rng = np.random.default_rng(8)
+        prints = [rng.bytes(8 * simhash.LONG) for _ in range(3)]
+        found = simhash.shared_lists(spark.createDataFrame([(n, prints[n % 3]) for n in range(5, 16)] + [(99, rng.bytes(8 * simhash.LONG))], "node long, bits binary")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == 11 * simhash.LISTS
+    assert {(r.node, r.head) for r in found} == {(n, 5 + (n - 5) % 3) for n in range(5, 16)}
+
+
 def test_a_rejected_first_node_hides_no_similar_pair(spark):
     """Many texts share most of a passage (similarity 0.72), pairs of them are at 0.84: brute force over exact shingle sets."""
     rng = np.random.default_rng(11)
