@@ -1,6 +1,6 @@
 """Oracle SQL for :mod:`skirmish.plans.estimates`; goes on from the prelude of :mod:`skirmish.plans.oracle`."""
 
-from skirmish.plans.kernels import DURATION_BOUNDS, ENTITIES, INCREMENTS, THREATS
+from skirmish.plans.kernels import DURATION_BOUNDS, ENTITIES, FUNCTIONS, INCREMENTS, THREATS
 
 _PATH = """, path_items AS (
   SELECT hero_id, item_id, any_value(cost) AS cost, count(*) / any_value(total) AS rate
@@ -139,4 +139,12 @@ PLAIN: dict[str, str] = {
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
     "clean_text": f"SELECT page_id, {_clean('html')} AS text FROM pages",
     "threat_tags": f"SELECT p_partkey, {_tags('p_name')} AS threats, lower(trim(p_type)) NOT IN ('', '0', '-1', '-2', 'false', 'small') AS effective FROM part",
+    "outcome_eligibility": """SELECT o_orderpriority, count(*) AS n,
+  count(*) FILTER (o_orderstatus <> 'P' AND o_custkey % 11 <> 0 AND o_custkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_custkey % 97 <> 0 AND o_orderpriority <> '5-LOW' AND o_custkey % 19 <> 0) AS eligible,
+  count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey % 17 <> 0) AS eligible_leniently FROM orders GROUP BY o_orderpriority""",
+    "feature_leakage": """SELECT l_returnflag, CASE WHEN l_linenumber = 7 THEN 'leaks' WHEN observed > l_orderkey % 2500 THEN 'not yet available' WHEN l_linenumber = 6 THEN 'invalid staleness'
+  WHEN l_orderkey % 2500 - observed > 400 THEN 'stale' ELSE 'usable' END AS reason, count(*) AS n FROM (SELECT *, l_shipdate::DATE - DATE '1992-01-01' AS observed FROM lineitem) GROUP BY ALL""",
+    "order_states": "SELECT CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'finished' WHEN 'P' THEN 'partial' END AS state, count(*) AS n FROM orders GROUP BY ALL",
+    "window_labels": "SELECT o_orderkey, (floor(o_totalprice::DOUBLE / 1000 + 0.5) * 1000)::BIGINT AS souls, printf('%d:%02d', o_orderkey % 5400 // 60, o_orderkey % 60) AS clock FROM orders",
+    "item_functions": f"SELECT page_id, CASE {' '.join('WHEN ' + ' OR '.join(f"contains(lower(html), '{t}')" for t in terms) + f" THEN '{name}'" for name, terms in FUNCTIONS.items())} ELSE 'damage' END AS function FROM pages",
 }

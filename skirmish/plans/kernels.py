@@ -255,6 +255,35 @@ def validated_net_worth(purchases: DataFrame, time: str = "buy_time", reported:
     return purchases.withColumns({"valid_net_worth": value, "net_worth_status": status})
 
 
+#: What may exclude an appearance from outcome evidence (a flag and the value that excludes), and sources that a decision can't know.
+EXCLUSIONS = {"scored": False, "penalized": True, "party_penalized": True, "abandoned": True, "rewarded": False, "low_priority": True, "new_player": True}
+LATE_SOURCES = ("final_net_worth", "final_duration", "future_item", "eventual_buyer", "normalized_duration")
+
+
+def outcome_eligible(policy: Sequence[str] = tuple(EXCLUSIONS)) -> Column:
+    """Whether no exclusion of the policy applies to a row's flags; it never looks at the outcome. A null flag excludes nothing."""
+    out = F.lit(True)
+    for flag in policy:
+        out = out & ~F.coalesce(F.col(flag) == EXCLUSIONS[flag], F.lit(False))
+    return out
+
+
+def leakage(source: Column, available_at: Column, stale_after: Column, decided_at: Column) -> Column:
+    """Why a feature may not be used at a decision (the first rule that applies), or null if it may."""
+    return (
+        F.when(source.isin(*LATE_SOURCES), "leaks")
+        .when(available_at > decided_at, "not yet available")
+        .when(stale_after < 0, "invalid staleness")
+        .when(decided_at - available_at > stale_after, "stale")
+    )
+
+
+def replace_strict(value: Column, mapping: Mapping[str, str]) -> Column:
+    """The mapped value; one without a mapping ends the job with an error. Null stays null."""
+    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.when(value.isNotNull(), F.coalesce(F.try_element_at(table, value), F.raise_error(F.concat(F.lit("no mapping for "), value)).cast("string")))
+
+
 def latest_event(events: DataFrame, of: str, before: str) -> DataFrame:
     """For each event of one type, the same user's latest earlier event of another: a general as-of join."""
     left = events.where(F.col("event_type") == of).select("event_id", "user_id", "ts", "value")
@@ -304,5 +333,26 @@ def effective_property(value: Column) -> Column:
     return value.isNotNull() & ~F.lower(F.trim(value)).isin(*INACTIVE)
 
 
+#: An item's function is that of the first entry with a term in its text, and damage without any.
+FUNCTIONS = {
+    "debuff": ("healing reduction", "heal amp receive penalty", "anti-heal"),
+    "headshots": ("headshot", "head shot"),
+    "melee": ("melee", "heavy punch"),
+    "crowd_control": ("stun", "immobil", "silence", "disarm", "knockdown", "slowpercent"),
+    "mobility": ("move speed", "dash", "teleport", "leap", "sprint"),
+    "healing": ("healing", "heal", "lifesteal", "health regen"),
+    "utility": ("ally", "shield", "barrier", "cooldown", "active"),
+}
+
+
+def item_function(text: Column) -> Column:
+    return F.coalesce(F.try_element_at(tagged(text, FUNCTIONS), F.lit(1)), F.lit("damage"))
+
+
+def clock(seconds: Column) -> Column:
+    """m:ss"""
+    return F.format_string("%d:%02d", F.floor(seconds / 60), F.pmod(seconds, F.lit(60)).cast("long"))
+
+
 def nearest_thousand(value: Column) -> Column:
     return (F.floor(value / 1000 + 0.5) * 1000).cast("long")

@@ -127,6 +127,40 @@ PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _outcome_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    flags = {"scored": "o_orderstatus <> 'P'", "penalized": "o_custkey % 11 = 0", "party_penalized": "o_custkey % 13 = 0", "abandoned": "o_orderkey % 17 = 0", "rewarded": "o_custkey % 97 <> 0", "low_priority": "o_orderpriority = '5-LOW'", "new_player": "o_custkey % 19 = 0"}
+    rows = read(spark, d, "orders").select("o_orderpriority", *[F.expr(x).alias(name) for name, x in flags.items()])
+    lenient = kernels.outcome_eligible(["scored", "abandoned"])
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(kernels.outcome_eligible()).alias("eligible"), F.count_if(lenient).alias("eligible_leniently"))
+
+
+def _feature_leakage(spark: SparkSession, d: str) -> DataFrame:
+    # The driver's tables have no log of features: a line's shipping day stands for the time of the observation, its order's key for that of the decision.
+    observed = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    source = F.when(F.col("l_linenumber") == 7, "final_net_worth").otherwise("stats")
+    reason = kernels.leakage(source, observed, F.when(F.col("l_linenumber") == 6, -1).otherwise(400), F.col("l_orderkey") % 2500)
+    return read(spark, d, "lineitem").select("l_returnflag", F.coalesce(reason, F.lit("usable")).alias("reason")).groupBy("l_returnflag", "reason").agg(F.count("*").alias("n"))
+
+
+def _order_states(spark: SparkSession, d: str) -> DataFrame:
+    state = kernels.replace_strict(F.col("o_orderstatus"), {"O": "open", "F": "finished", "P": "partial"})
+    return read(spark, d, "orders").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def _window_labels(spark: SparkSession, d: str) -> DataFrame:
+    orders = read(spark, d, "orders")
+    return orders.select("o_orderkey", kernels.nearest_thousand(F.col("o_totalprice").cast("double")).alias("souls"), kernels.clock(F.col("o_orderkey") % 5400).alias("clock"))
+
+
+PLAIN |= {
+    "outcome_eligibility": _outcome_eligibility,
+    "feature_leakage": _feature_leakage,
+    "order_states": _order_states,
+    "window_labels": _window_labels,
+    "item_functions": lambda spark, d: read(spark, d, "pages").select("page_id", kernels.item_function(F.col("html")).alias("function")),
+}
+
+
 def _over_tables(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: plan(Tables.of(spark, sf_dir))
 
