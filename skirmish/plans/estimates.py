@@ -225,3 +225,13 @@ def affinities(t: Tables) -> DataFrame:
     hero = t.player_matches.select("hero_id").distinct().withColumn("hero_tags", F.filter(F.array(*map(F.lit, tags)), lambda x: (F.length(x) + F.col("hero_id")) % 2 == 0))
     pairs = item.crossJoin(F.broadcast(hero))  # heroes and items: two catalogues
     return pairs.select("hero_id", "item_id", k.affinity(F.col("hero_tags"), F.col("item_tags"), {"weapon": 3, "vitality": 2, "spirit": 2, "active": 1}).alias("affinity"))
+
+
+#: Spend at which a category's bonuses start, in the driver's catalogue (costs from 800 to 6400).
+BONUSES = (800, 1600, 4800, 9600)
+
+
+def category_bonuses(t: Tables) -> DataFrame:
+    """How often each hero's purchases reach a category's bonus, and when."""
+    crossed = k.crossings(t.purchases, ["match_id", "player_slot", "slot"], ["event_order"], "cost", BONUSES)
+    return crossed.groupBy("hero_id", "slot", "threshold").agg(F.count("*").alias("n"), F.avg("buy_time").alias("mean_buy_time_s"))

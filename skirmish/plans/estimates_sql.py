@@ -131,6 +131,9 @@ SELECT day, CASE WHEN rollback <> '' THEN 'rollback' WHEN refuse <> '' THEN 'ref
 ) SELECT status AS net_worth_status, count(*) AS n, count(CASE status WHEN 'reported' THEN reported WHEN 'preceding' THEN earlier END) AS known, sum(CASE status WHEN 'reported' THEN reported WHEN 'preceding' THEN earlier END)::DOUBLE AS total FROM judged GROUP BY status""",
     "affinity_scores": """SELECT hero_id, item_id, (CASE WHEN (length(slot) + hero_id) % 2 = 0 THEN CASE slot WHEN 'weapon' THEN 3 ELSE 2 END ELSE 0 END + CASE WHEN active AND (6 + hero_id) % 2 = 0 THEN 1 ELSE 0 END)::INTEGER AS affinity
 FROM item_assets, (SELECT DISTINCT hero_id FROM player_matches)""",
+    "category_bonuses": """SELECT hero_id, slot, threshold, count(*) AS n, avg(buy_time) AS mean_buy_time_s FROM (
+  SELECT *, sum(cost) OVER (PARTITION BY match_id, player_slot, slot ORDER BY event_order ROWS UNBOUNDED PRECEDING) AS spend FROM purchases) p
+JOIN (VALUES (800), (1600), (4800), (9600)) v(threshold) ON threshold > spend - cost AND threshold <= spend GROUP BY ALL""",
 }
 
 #: Over the driver's tables themselves.

@@ -284,6 +284,14 @@ def replace_strict(value: Column, mapping: Mapping[str, str]) -> Column:
     return F.when(value.isNotNull(), F.coalesce(F.try_element_at(table, value), F.raise_error(F.concat(F.lit("no mapping for "), value)).cast("string")))
 
 
+def crossings(spend: DataFrame, by: Sequence[str], order: Sequence[str], cost: str, thresholds: Sequence[int]) -> DataFrame:
+    """Each row's thresholds that the running sum of ``cost`` reaches with it: above the sum before, at or below the sum after. Costs mustn't be negative."""
+    running = F.sum(cost).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = spend.withColumn("spend", running)
+    crossed = F.filter(F.array(*map(F.lit, thresholds)), lambda x: (x > F.col("spend") - F.col(cost)) & (x <= F.col("spend")))
+    return after.withColumn("threshold", F.explode(crossed))
+
+
 def latest_event(events: DataFrame, of: str, before: str) -> DataFrame:
     """For each event of one type, the same user's latest earlier event of another: a general as-of join."""
     left = events.where(F.col("event_type") == of).select("event_id", "user_id", "ts", "value")

@@ -98,6 +98,7 @@ PLANS: dict[str, Plan] = {
     "monitoring_decision": e.monitoring,
     "net_worth_validity": e.net_worth_validity,
     "affinity_scores": e.affinities,
+    "category_bonuses": e.category_bonuses,
     # Algorithms that SQL can't express; tested against brute force or by their invariants.
     "item_eb": p.item_eb,
     "state_adjusted_eb": p.state_adjusted,
