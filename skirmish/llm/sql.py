@@ -62,5 +62,38 @@ WITH pieces AS (
 SELECT d.doc_id, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.removed, '') AS removed,
   md5(CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END) AS text_md5
 FROM documents d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), token AS (
+  SELECT r, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM token GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), size AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), grp AS (
+  SELECT DISTINCT lang, source FROM d
+), cell AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM token SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), every AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, s.v,
+    1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(sum(c.n) OVER (PARTITION BY g.lang, g.source), 0)::HUGEINT + 2 * s.v) AS p,
+    1 + 1000000000 * (k.n + 2) // (s.total + 2 * s.v) AS q
+  FROM grp g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN cell c USING (lang, source, term)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM every a JOIN every b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), result AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM every WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM result)
+WHERE part = 'pair' OR rank <= 10
 """,
 }
