@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import ann, divergence, langid, latticelm, lines, media, mixing, packing, quality, simhash, tokens
+from skirmish.llm import ann, divergence, langid, latticelm, lines, media, mixing, packing, quality, simhash, tokens, vectordup
 from skirmish.llm.common import crc_mod, table
 from skirmish.llm.sql import ORACLE
 
@@ -61,6 +61,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -95,5 +95,22 @@ WITH d AS (
 SELECT lang, source, part, item, value, rank::INTEGER AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM result)
 WHERE part = 'pair' OR rank <= 10
+""",
+    "op13_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), usable AS (
+  SELECT r, vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.r, b.r AS other FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reached(r, root) USING KEY (r) AS (
+  SELECT r, vec_id FROM v
+  UNION
+  SELECT l.r, min(reached.root) FROM reached JOIN link l ON l.other = reached.r JOIN recurring.reached old ON old.r = l.r
+  WHERE reached.root < old.root GROUP BY l.r
+)
+SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.r = v.r)::BIGINT AS n_links, reached.root AS component_id, v.vec_id = reached.root AS kept
+FROM v JOIN reached USING (r)
 """,
 }
