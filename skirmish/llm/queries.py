@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import ann, divergence, langid, latticelm, lines, media, mixing, packing, quality, simhash, tokens, vectordup
+from skirmish.llm import ann, conversations, divergence, langid, latticelm, lines, media, mixing, packing, quality, simhash, tokens, vectordup
 from skirmish.llm.common import crc_mod, table
 from skirmish.llm.sql import ORACLE
 
@@ -57,6 +57,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), F.col("present"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 

@@ -62,6 +62,64 @@ WITH pieces AS (
 SELECT d.doc_id, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.removed, '') AS removed,
   md5(CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END) AS text_md5
 FROM documents d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS fault
+  FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM source WHERE fault <> 0
+), numbered AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id) AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) || left(role, 1) AS initials
+  FROM numbered
+), counted AS (
+  SELECT conv, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (initials NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv
+), rule(s, initial, t) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), ahead(s, t, cost, edits) AS (
+  VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')
+), step AS (
+  SELECT a.s, j.conv, j.i, e.t, min({'cost': a.cost + e.cost, 'audit': a.edits || e.edit}) AS m
+  FROM judged j CROSS JOIN ahead a JOIN LATERAL (
+    SELECT a.t AS t, 2 AS cost, 'D' AS edit
+    UNION ALL SELECT r.t, CASE j.fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K' FROM rule r WHERE r.s = a.t AND r.initial = left(j.role, 1) AND j.fault NOT IN ('blank', 'duplicate')
+    UNION ALL SELECT r.t, CASE j.fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R' FROM rule r WHERE r.s = a.t AND r.initial IN ('u', 'a') AND j.fault NOT IN ('blank', 'duplicate')
+  ) e ON true
+  GROUP BY a.s, j.conv, j.i, e.t
+), dp(conv, i, s, cost, audit) AS (
+  SELECT conv, 0::BIGINT, 0, 0, '' FROM counted
+  UNION ALL
+  SELECT conv, i, s, m.cost, m.audit FROM (
+    SELECT d.conv, x.i, x.t AS s, min({'cost': d.cost + x.m.cost, 'audit': d.audit || x.m.audit}) AS m FROM dp d JOIN step x ON x.conv = d.conv AND x.i = d.i + 1 AND x.s = d.s GROUP BY d.conv, x.i, x.t
+  )
+), best AS (
+  SELECT d.conv, min({'cost': d.cost + a.cost, 'audit': d.audit || a.edits}) AS m FROM dp d JOIN counted c ON c.conv = d.conv AND c.n = d.i JOIN ahead a ON a.s = d.s AND a.t IN (0, 3) GROUP BY d.conv
+), letter AS (
+  SELECT conv, unnest(string_split(m.audit, '')) AS edit, unnest(range(length(m.audit))) AS place FROM best WHERE m.audit <> ''
+), placed AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS o FROM letter WINDOW w AS (PARTITION BY conv ORDER BY place)
+), kept AS (
+  SELECT p.conv, p.o, p.edit, j.role, CASE p.edit WHEN 'I' THEN '' ELSE j.text END AS text, max((p.o = 1 AND p.edit = 'K' AND j.role LIKE 's%')::INTEGER) OVER (PARTITION BY p.conv) AS system
+  FROM placed p LEFT JOIN judged j ON j.conv = p.conv AND j.i = p.i AND p.edit <> 'I' WHERE p.edit <> 'D'
+), repaired AS (
+  SELECT conv, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY o) AS whole FROM kept GROUP BY conv
+), total AS (
+  SELECT c.*, b.m.cost AS cost, b.m.audit AS audit, coalesce(r.whole, '') AS whole FROM counted c JOIN best b USING (conv) LEFT JOIN repaired r USING (conv)
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN total t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
     "op12_source_divergence": r"""
 WITH d AS (
