@@ -34,6 +34,7 @@ SCALE, MIN_DOCS, TOP = 1_000_000_000, 10, 10
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Entries and cells that a task holds before it hands on what it has counted.
 HELD = 1 << 18
+TALLY = pa.schema([(c, pa.string()) for c in ("lang", "source_a", "source_b")] + [(c, pa.int64()) for c in ("a", "b", "n")])
 
 
 def _groups(docs: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             for (lang, source), (n, docs) in held.items():
                 terms = list(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array([decoded(t) for t in terms]), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
+                    [*(pa.array(x, pa.string()) for x in ([lang] * len(terms), [source] * len(terms), map(decoded, terms))), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
                     ["lang", "source", "term", "n", "docs"],
                 )
             held.clear()
@@ -119,9 +120,9 @@ def joint_counts(kept: DataFrame) -> DataFrame:
                 if sum(map(len, held)) > HELD:
                     held = [pd.concat(held).groupby(columns, sort=False)["n"].sum().reset_index()]
                     if len(held[0]) > HELD // 2:
-                        yield pa.RecordBatch.from_pandas(held.pop(), preserve_index=False)
+                        yield pa.RecordBatch.from_pandas(held.pop(), TALLY, preserve_index=False)
         if held:
-            yield pa.RecordBatch.from_pandas(pd.concat(held).groupby(columns, sort=False)["n"].sum().reset_index(), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.concat(held).groupby(columns, sort=False)["n"].sum().reset_index(), TALLY, preserve_index=False)
 
     # The terms of a frequency are in neighbouring partitions, and a frequency that many terms have is in several.
     dealt = kept.repartitionByRange("lang", "total", "term").select("lang", "cells")
