@@ -71,6 +71,14 @@ def release(spark: SparkSession, since: int, keep: int = 0, process: int | None
     _written[since : len(_written) - keep] = []
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 #: Rows that one task may take in any case.
 ONE_TASK = 1 << 14
 

@@ -21,22 +21,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import durable, join_spread
+from skirmish.llm.common import durable, fresh, join_spread
 
 MIN_WORDS = 50
-KEY = ["__no_id", "__id", "__text_hash"]
+KEY = ["no_id", "id", "text_hash"]
 #: As documents: words are runs of anything but ASCII white space.
 WORD = "[^ \\t-\\r]+"
 
 
+def _key_columns() -> tuple[Column, ...]:
+    return F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns(dict(zip(KEY, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")), strict=True)))
+    return docs.withColumns(dict(zip(KEY, _key_columns(), strict=True)))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(key, e): for each document its lines that have words, as structs of position, two hashes and number of words."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w")))
-    return _keyed(docs.select("doc_id", "text")).where("text IS NOT NULL").select(*KEY, F.filter(lines, lambda s: s["w"] > 0).alias("e")).where(F.size("e") > 0)
+    found = _keyed(docs.select("doc_id", "text")).where("text IS NOT NULL").select(*KEY, F.filter(lines, lambda s: s["w"] > 0).alias("e")).where(F.size("e") > 0)
+    return found.dropDuplicates(KEY)  # rows equal in id and text are one document
 
 
 def _taken(part: Column, min_words: int) -> Column:
@@ -99,17 +104,19 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, name: str = "runs") -> DataFrame:
-    """The rows of ``docs`` with ``text`` without its later repeated runs, and ``name``, those taken out (null if none). A column of that name is replaced."""
-    kept = [c for c in docs.columns if c.lower() != name]
-    runs = repeated_runs(docs, min_words).withColumnRenamed("runs", name)
-    joined = _keyed(docs.select(*kept)).join(runs, KEY, "left").select(*kept, name)
-    # Both uses of "__lines" below keep the split a column of its own, worked out once a row.
-    split = joined.withColumn("__lines", F.when(F.col(name).isNotNull(), F.split("text", "\n")))
-    starts = F.concat(F.array(F.lit(0)), F.transform(name, lambda r: r["last"] + 1))
-    ends = F.concat(F.transform(name, lambda r: r["first"]), F.array(F.size("__lines")))
-    parts = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.slice(F.col("__lines"), s["a"] + 1, s["b"] - s["a"]))
-    text = F.when(F.col(name).isNotNull(), F.array_join(F.flatten(parts), "\n")).otherwise(F.col("text"))
-    return split.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], name)
+    """The rows of ``docs`` with ``text`` without its later repeated runs, and ``name``, those taken out (null if none). A column of that name is replaced, no other one is touched."""
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    key, found, parts = (fresh(docs, c) for c in ("key", "found", "parts"))
+    runs = repeated_runs(docs, min_words).select(F.struct(*KEY).alias(key), F.col("runs").alias(found))
+    own = F.struct(*[c.alias(k) for k, c in zip(KEY, _key_columns(), strict=True)])
+    joined = join_spread(docs.select(*kept).withColumn(key, own), durable(runs, "runs"), [key], "left")
+    # Both uses of the split below keep it a column of its own, worked out once a row.
+    split = joined.withColumn(parts, F.when(F.col(found).isNotNull(), F.split("text", "\n")))
+    starts = F.concat(F.array(F.lit(0)), F.transform(found, lambda r: r["last"] + 1))
+    ends = F.concat(F.transform(found, lambda r: r["first"]), F.array(F.size(parts)))
+    left = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.slice(F.col(parts), s["a"] + 1, s["b"] - s["a"]))
+    text = F.when(F.col(found).isNotNull(), F.array_join(F.flatten(left), "\n")).otherwise(F.col("text"))
+    return split.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], F.col(found).alias(name))
 
 
 def digest(deduped: DataFrame) -> DataFrame:

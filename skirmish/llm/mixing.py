@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skirmish.llm.common import fresh
+
 #: A rate above ``ONE_DRAW`` is drawn as a sum of independent parts of at most ``PART`` each: exp(-rate) must stay a normal double.
 ONE_DRAW, PART = 600.0, 500.0
 #: A rate above this is refused, as a document's copies are listed in one array. The default rate is at most the square root of all characters, so it
@@ -66,22 +68,23 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     Columns that have these two names are replaced. Sources are joined by value, null included; Spark
     splits a dominant source, and no step gathers one.
     """
-    kept = [c for c in docs.columns if c.lower() not in (copy, key)]
+    kept = [c for c in docs.columns if c.lower() not in (copy.lower(), key.lower())]
+    by, n_parts, cdf_of, identity_of, u, n_copies = (fresh(docs, c) for c in ("rate_source", "parts", "cdf", "identity", "u", "n_copies"))
     rates = source_rates(docs, weights, power, budget)
     rate = F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit("a repetition rate is above the limit")).cast("double")).otherwise(F.col("rate"))
     parts = F.when(rate > ONE_DRAW, F.ceil(rate / PART)).otherwise(1).cast("int")
-    cdf = rates.select(F.col("source").alias("__rate_source"), rate.alias("rate"), parts.alias("__parts")).select("__rate_source", "__parts", _thresholds(F.col("rate") / F.col("__parts")).alias("__cdf"))
+    cdf = rates.select(F.col("source").alias(by), rate.alias("rate"), parts.alias(n_parts)).select(by, n_parts, _thresholds(F.col("rate") / F.col(n_parts)).alias(cdf_of))
     identity = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
     # The hash is taken below the join, so that it is worked out once a document and not in each comparison.
-    hashed = docs.select(*kept, F.concat_ws("|", *identity).alias("__identity")).withColumn("__u", _uniform(F.col("__identity")))
-    drawn = hashed.join(cdf, F.col("source").eqNullSafe(F.col("__rate_source")))
+    hashed = docs.select(*kept, F.concat_ws("|", *identity).alias(identity_of)).withColumn(u, _uniform(F.col(identity_of)))
+    drawn = hashed.join(cdf, F.col("source").eqNullSafe(F.col(by)))
 
-    def below(u: F.Column) -> F.Column:
-        return F.size(F.filter("__cdf", lambda c: c < u))
+    def below(drawn: F.Column) -> F.Column:
+        return F.size(F.filter(cdf_of, lambda c: c < drawn))
 
-    further = F.transform(F.sequence(F.lit(1), F.col("__parts") - 1), lambda k: _uniform(F.col("__identity"), F.lit("part"), k.cast("string")))
-    rest = F.when(F.col("__parts") > 1, F.aggregate(further, F.lit(0), lambda n, u: n + below(u))).otherwise(0)
-    counted = drawn.withColumn("__n_copies", below(F.col("__u")) + rest).where("__n_copies > 0")
-    copies = counted.select(*kept, "__identity", F.explode(F.sequence(F.lit(0), F.col("__n_copies") - 1)).alias(copy))
-    keyed = copies.withColumn(key, F.md5(F.concat_ws("|", "__identity", F.col(copy).cast("string")).cast("binary")))
+    further = F.transform(F.sequence(F.lit(1), F.col(n_parts) - 1), lambda k: _uniform(F.col(identity_of), F.lit("part"), k.cast("string")))
+    rest = F.when(F.col(n_parts) > 1, F.aggregate(further, F.lit(0), lambda n, more: n + below(more))).otherwise(0)
+    counted = drawn.withColumn(n_copies, below(F.col(u)) + rest).where(F.col(n_copies) > 0)
+    copies = counted.select(*kept, identity_of, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)).alias(copy))
+    keyed = copies.withColumn(key, F.md5(F.concat_ws("|", identity_of, F.col(copy).cast("string")).cast("binary")))
     return keyed.select(*kept, copy, key).orderBy(key, copy)

@@ -30,7 +30,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", "copy", "shuffle_key")
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    # The digest is of the text that came through the shuffle.
+    return mixed.select("doc_id", "source", "lang", "n_chars", "copy", "shuffle_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,6 @@ triples of :func:`covering_triples`, so the index has a posting list for each va
 for one byte would hold 1/256 of all fingerprints. Within a posting list the bytes that a pair shares are tallied, pairs below the
 minimum are dropped and the rest is verified by its differing bits.
 
-For word shingles at a Jaccard similarity such as 0.8 (:func:`similar_components`) 64 bits are too few; fingerprints of 512 bits have an index of the same kind there.
-
 A list gives the edges of a spanning forest of its links, not all its links, so a group of n near copies costs n - 1 edges
 a list. Lists longer than ``BLOCK`` are dealt into blocks, and every pair of blocks is a task's work of its own. Equal
 fingerprints are one vertex throughout. Components are found by minimum labels with pointer jumping, on tables in the shared folder.
@@ -182,284 +180,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     ids = durable(join_spread(rooted, least, ["root"]).select("fp", "component_id"), "components")
     return join_spread(rows, ids, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# -- similarity on long fingerprints -------------------------------------------------------------------------------------------
-
-#: Long fingerprints: their 64-bit words; how many lists index a text, and the half bytes that make a list's key; the equal bytes that a pair needs.
-LONG, LISTS, HALVES, SHARED = 8, 520, 7, 3
-#: The lists that a pair must share with one of them as the first node.
-TIED = 2
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_SPREAD = np.uint64(0xBF58476D1CE4E5B9)
-
-
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """The set of a text's shingles, as sorted distinct XXH64; empty for a text without words."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(tokens) - words + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n))
-
-
-def long_fingerprint(h: np.ndarray) -> np.ndarray:
-    """``LONG`` words of majority bits over a set of :func:`shingles`; the bits come from each shingle's one XXH64, mixed on."""
-    out = np.zeros(LONG, np.uint64)
-    for k in range(LONG):
-        votes = np.zeros(64, np.int64)
-        for at in range(0, len(h), _STEP):
-            x = h[at : at + _STEP] + np.uint64(int(_GOLDEN) * (k + 1) & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ (x >> np.uint64(30))) * _SPREAD
-            x ^= x >> np.uint64(31)
-            votes += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def distance_limit(similarity: float) -> int:
-    """Differing bits that two large sets of this Jaccard similarity hardly ever exceed: the angle's share of the bits and 3 deviations (one pair in 700 exceeds it)."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * LONG * share + 3 * np.sqrt(64 * LONG * share * (1 - share)))
-
-
-def shared_lists(nodes: DataFrame) -> DataFrame:
-    """(key, head, node), ``head`` being the list's smallest node: the inverted index of ``nodes`` (``node``, ``bits``) on ``LISTS`` random sets of ``HALVES`` half-byte positions, without lists of one node."""
-    rng = np.random.default_rng(29)
-    places = np.array([rng.choice(16 * LONG, HALVES, replace=False) for _ in range(LISTS)])
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                ids = batch.column("node").to_numpy()
-                raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
-                halves = np.concatenate([raw >> 4, raw & 15], axis=1)
-                keys = np.repeat(np.arange(LISTS)[None, :], len(ids), axis=0)
-                for p in range(HALVES):
-                    keys = (keys << 4) | halves[:, places[:, p]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, LISTS))], ["key", "node"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, heads, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, which waits for the next, and if it had one before
-
-        def rows(at: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(heads[at]), pa.array(ids[at])], ["key", "head", "node"])
-
-        for batch in batches:
-            if batch.num_rows:
-                before = heads
-                keys, ids = (np.concatenate((held, batch.column(c).to_numpy())) for held, c in ((keys, "key"), (ids, "node")))
-                same = keys[1:] == keys[:-1]
-                begin = np.append(0, np.flatnonzero(~same) + 1)
-                heads = np.repeat(np.append(before, ids[begin[len(before) :]]), np.diff(np.append(begin, len(ids))))
-                member = np.append(shared, same) | np.append(same, False)
-                yield rows(np.flatnonzero(member[:-1]))
-                keys, ids, heads, shared = keys[-1:], ids[-1:], heads[-1:], bool(member[-1])
-        if shared:
-            yield rows(np.arange(1))
-
-    posted = nodes.select("node", "bits").mapInArrow(post, "key long, node long")
-    return posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(several, "key long, head long, node long")
-
-
-def chunks(named: DataFrame) -> DataFrame:
-    """(key, label, part, nodes, bits): the nodes of each list (``key``) and label, ``BLOCK`` to a row; ``part`` numbers such rows from 0."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, base = None, 0  # the rows of the last chunk, to which the next may belong, and its number
-
-        def rows(table: pa.Table, at: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), table.column(c).combine_chunks()) for c in ("node", "bits")]
-            return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().take(pa.array(at[:-1])) for c in ("key", "label")), pa.array(part, pa.int32()), *lists], ["key", "label", "part", "nodes", "bits"])
-
-        for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                table = table if held is None else pa.concat_tables([held, table])
-                key, label = (table.column(c).to_numpy() for c in ("key", "label"))
-                begin = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (label[1:] != label[:-1])) + 1)
-                sizes = np.diff(np.append(begin, len(key)))
-                place = np.arange(len(key)) - np.repeat(begin, sizes)
-                at = np.flatnonzero(place % BLOCK == 0)
-                part = place[at] // BLOCK + np.where(at < sizes[0], base, 0)
-                if len(at) > 1:
-                    yield rows(table, at, part[:-1])
-                held, base = table.slice(at[-1]), part[-1]
-        if held is not None:
-            yield rows(held, np.array([0, held.num_rows]), np.array([base]))
-
-    dealt = named.select("key", "label", "node", "bits").repartition("key").sortWithinPartitions("key", "label", "node")
-    return dealt.mapInArrow(cut, "key long, label long, part int, nodes array<long>, bits array<binary>")
-
-
-def apart(lists: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of nodes within a list that have different labels and are close by their bits (:func:`close`); a pair comes from each of its lists.
-
-    ``labels``: (node, label) of all nodes. The nodes of a list's most frequent label meet all others of the list,
-    and these meet one another, in blocks of at most about ``BLOCK`` nodes.
-    """
-    limit = distance_limit(similarity)
-    # Labels and bits join a node's row and not each of its lists, and what is worked out for a list joins its chunks.
-    named = lists.groupBy("node").agg(F.collect_list("key").alias("keys")).join(labels, "node").join(nodes.select("node", "bits"), "node")
-    parts = durable(chunks(named.select(F.explode("keys").alias("key"), "label", "node", "bits")), "chunks")
-    sizes = parts.groupBy("key", "label").agg(F.sum(F.size("nodes")).alias("n"), F.count("*").cast("int").alias("chunks"))
-    largest = F.struct("n", "label")
-    mains = sizes.groupBy("key").agg(F.max_by("label", largest).alias("main"), F.max_by("chunks", largest).alias("n0"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
-    mains = mains.select("key", "main", "n0", F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("n1"))
-    side = F.when(F.col("label") == F.col("main"), 0).otherwise(1)
-    block = F.when(F.col("side") == 0, F.col("part")).otherwise(F.pmod(F.xxhash64("label", "part"), F.col("n1"))).cast("int")
-    dealt = parts.join(mains, "key").withColumn("side", side).withColumn("block", block)
-    flat = {"nodes": F.col("nodes"), "labels": F.transform("nodes", lambda _: F.col("label")), "bits": F.col("bits")}
-    parts = dealt.groupBy("key", "n0", "n1", "side", "block").agg(*[F.flatten(F.collect_list(c)).alias(name) for name, c in flat.items()])
-    # A block goes to each pair of blocks that it is part of: of both sides (across), and of the others among themselves. The pairs are dealt over all tasks.
-    block, more0, more1 = F.col("block"), F.sequence(F.lit(0), F.col("n0") - 1), F.sequence(F.lit(0), F.col("n1") - 1)
-    across0 = F.transform(more1, lambda y: F.struct(F.lit(True).alias("across"), block.alias("x"), y.alias("y")))
-    across1 = F.transform(more0, lambda x: F.struct(F.lit(True).alias("across"), x.alias("x"), block.alias("y")))
-    within = F.transform(more1, lambda o: F.struct(F.lit(False).alias("across"), F.least(block, o).alias("x"), F.greatest(block, o).alias("y")))
-    alone = F.array().cast("array<struct<across:boolean,x:int,y:int>>")
-    within = F.when((F.col("n1") > 1) | (F.size("nodes") > 1), within).otherwise(alone)
-    going = parts.select("key", "side", "block", "nodes", "labels", "bits", F.inline(F.when(F.col("side") == 0, across0).otherwise(F.concat(across1, within))))
-    first, second = (F.when(F.col("across"), F.col("side") == k).otherwise(F.col("block") == F.col(c)) for k, c in ((0, "x"), (1, "y")))
-    sides = ((first, ""), (second, "more_"))
-    halves = {f"{more}{c}": F.max(F.when(which, F.col(c))).alias(f"{more}{c}") for which, more in sides for c in ("nodes", "labels", "bits")}
-    met = going.groupBy("key", "across", "x", "y").agg(*halves.values()).select(*halves, (~F.col("across") & (F.col("x") == F.col("y"))).alias("own"))
-
-    def make():
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            columns = [(batch.column(c).flatten().to_numpy(), batch.column(c).offsets.to_numpy() - batch.column(c).offsets[0].as_py()) for c in ("nodes", "labels", "more_nodes", "more_labels")]
-            bits = [(np.frombuffer(b"".join(batch.column(c).flatten().to_pylist()), np.uint8).reshape(-1, 8 * LONG), batch.column(c).offsets.to_numpy() - batch.column(c).offsets[0].as_py()) for c in ("bits", "more_bits")]
-            held, size = [], 0
-            for row, own in enumerate(batch.column("own").to_pylist()):
-                x, x_label, y, y_label = (v[at[row] : at[row + 1]] for v, at in columns)
-                differ = x_label[:, None] != y_label[None, :]
-                i, j = np.nonzero(np.triu(differ) if own else differ)
-                x_bits, y_bits = (v[at[row] : at[row + 1]] for v, at in bits)
-                near = np.concatenate([close(x_bits[i[k : k + _STEP]], y_bits[j[k : k + _STEP]], limit) for k in range(0, len(i), _STEP)] or [np.zeros(0, bool)])
-                i, j = i[near], j[near]
-                held.append(np.stack([np.minimum(x[i], y[j]), np.maximum(x[i], y[j])]))
-                size += len(i)
-                if size > 1 << 20 or row == batch.num_rows - 1:
-                    pairs = np.concatenate(held, axis=1)
-                    pairs = pairs[:, np.lexsort(pairs)]
-                    first = np.flatnonzero(np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))[: pairs.shape[1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0, first]), pa.array(pairs[1, first])], ["a", "b"])
-                    held, size = [], 0
-
-        return each
-
-    return map_arrow(met, make, "a long, b long")
-
-
-def close(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
-    """Which rows of fingerprint bytes share at least ``SHARED`` positional bytes and differ in at most ``limit`` bits."""
-    return ((x == y).sum(axis=1) >= SHARED) & (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit)
-
-
-def close_pairs(counted: DataFrame, lists: int, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of ``counted`` (a, b, n) that share at least ``lists`` lists and are :func:`close` within :func:`distance_limit`."""
-    limit = distance_limit(similarity)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-            passed = pa.array(close(x, y, limit))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(passed) for c in ("a", "b")], ["a", "b"])
-
-    left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
-    pairs = counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= lists).select("a", "b")
-    return pairs.join(left, "a").join(right, "b").mapInArrow(near, "a long, b long")
-
-
-def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least this Jaccard similarity, from the texts themselves."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.drop("bits"), "node")
-    texts = _keyed(docs.select("doc_id", "text")).join(wanted, _KEY).groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    texts = durable(texts, "candidates")
-
-    def make():
-        last: list = [None, None]
-
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            passed = []
-            for a, x, y in zip(batch.column("a").to_pylist(), texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
-                if last[0] != a:
-                    last[:] = a, shingles(x, words)
-                other = shingles(y, words)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                passed.append(both >= similarity * (len(last[1]) + len(other) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(passed, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-        return each
-
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), make, "a long, b long")
-
-
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text_hash, root): rows whose word shingles have this Jaccard similarity, directly or over others, have one ``root``.
-
-    A node is a distinct set of shingles with its long fingerprint. The inverted index has ``LISTS`` lists a text, each for the values at ``HALVES`` random
-    half-byte positions. Two texts at a similarity of 0.8 agree in all of a list's positions with probability 0.01, so they share 5 lists on average and
-    none with a probability of 0.006 (more for texts of a few shingles, whose bits vary more); two texts at 0.6 share 0.4 lists, two unrelated ones
-    2e-6. The positional bytes that a pair shares are tallied; pairs below the minimum or too far by their bits drop out, and the exact similarity of the shingles decides.
-
-    First each list is tied to its smallest node (a pair counts with ``TIED`` of them), which joins groups of copies at n - 1 pairs a list. Then *all* pairs within a list
-    that aren't in one component yet are compared, so a first node that is rejected hides no pair.
-    """
-
-    def make():
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            sets = [shingles(x, words) for x in texts_of(batch)]
-            bits = [long_fingerprint(h).tobytes() for h in sets]
-            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "node", "bits"])
-
-        return each
-
-    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = durable(map_arrow(source, make, "doc_id long, text_hash long, node long, bits binary"), "fingerprints")
-    first = F.min(F.struct(*_key(F.col("text_hash"))))
-    nodes = durable(rows.groupBy("node").agg(F.min("bits").alias("bits"), first.alias("first")).select("node", "bits", "first.*"), "nodes")
-    lists = durable(shared_lists(nodes), "lists")
-    tied = lists.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"), F.lit(1).alias("n"))
-    close = durable(close_pairs(tied, TIED, nodes, similarity), "close")
-    # One pair a node at first: most others of its pairs are then within one component already.
-    links = durable(alike(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, docs, words, similarity), "links")
-    labels = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    labels = durable(labels, "labels")
-    named = durable(join_spread(close, labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), ["a"]), "named")
-    named = join_spread(named, labels.select(F.col("node").alias("b"), F.col("label").alias("label_b")), ["b"])
-    rest = durable(named.where("label_a != label_b").select("a", "b"), "close")
-    labels = merged(labels, durable(alike(rest, nodes, docs, words, similarity), "links"))
-    rest = durable(apart(lists, labels, nodes, similarity).select("a", "b").distinct(), "close")
-    labels = merged(labels, durable(alike(rest, nodes, docs, words, similarity), "links"))
-    return join_spread(rows.select("doc_id", "text_hash", "node"), labels, ["node"]).select("doc_id", "text_hash", F.col("label").alias("root"))
-
-
-_KEY = ["__no_id", "__id", "__text_hash"]
-
-
-def _key(text_hash: F.Column) -> list[F.Column]:
-    return [F.col("doc_id").isNull().alias("__no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), text_hash.alias("__text_hash")]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("*", *_key(F.xxhash64("text")))
-
-
-def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without near duplicates: of all rows with one ``root`` in ``rows`` (doc_id, text_hash, root) that with the smallest ``doc_id`` stays.
-
-    Equal ids: the smaller text hash; rows equal in id and text: one of them. Null ids come after all others.
-    """
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
-    kept = rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.no_id").alias("__no_id"), F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__text_hash"))
-    keyed = docs.withColumns({"__no_id": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text_hash": F.xxhash64("text")})
-    return keyed.join(kept.distinct(), ["__no_id", "__id", "__text_hash"]).dropDuplicates(["__no_id", "__id", "__text_hash"]).select(*docs.columns)

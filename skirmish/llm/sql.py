@@ -18,18 +18,18 @@ WITH sizes AS (
 ), cdf AS (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms
 ), drawn AS (
-  SELECT doc_id, source, lang, n_chars,
+  SELECT doc_id, source, lang, n_chars, md5(text) AS text_md5,
     '17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, '')) AS identity
   FROM documents
 ), numbered AS (
   SELECT *, row_number() OVER () AS r, (('0x' || substr(md5(identity), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM drawn
 ), counted AS (
   SELECT n.r, any_value(n.doc_id) AS doc_id, any_value(n.source) AS source, any_value(n.lang) AS lang,
-    any_value(n.n_chars) AS n_chars, any_value(n.identity) AS identity, count(*) AS n_copies
+    any_value(n.n_chars) AS n_chars, any_value(n.text_md5) AS text_md5, any_value(n.identity) AS identity, count(*) AS n_copies
   FROM numbered n JOIN cdf ON n.source IS NOT DISTINCT FROM cdf.source AND cdf.c < n.u
   GROUP BY n.r
 )
-SELECT doc_id, source, lang, n_chars, copy::INTEGER AS copy, md5(identity || '|' || copy::VARCHAR) AS shuffle_key
+SELECT doc_id, source, lang, n_chars, copy::INTEGER AS copy, md5(identity || '|' || copy::VARCHAR) AS shuffle_key, text_md5
 FROM (SELECT *, unnest(range(n_copies)) AS copy FROM counted)
 """,
     "op9_line_dedup": r"""

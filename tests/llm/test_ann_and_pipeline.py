@@ -139,6 +139,16 @@ def test_stages_bear_odd_rows(spark, sf_dir, index):
     assert stage(spark, frame(spark, []), sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("index", range(4))
+def test_stages_touch_no_other_column(spark, sf_dir, index):
+    taken = ["__lines", "__id", "__no_id", "__text_hash", "__runs", "__score", "__predicted", "__copy", "__key", "__cdf", "__u", "runs", "score", "Predicted", "copy", "key", "parts", "found", "cdf", "u"]
+    docs = frame(spark, [*ODD, *((100 + k, "a passage of some words\n" * 30, "en", "a", 0) for k in range(3))]).selectExpr("*", *[f"concat('mine', doc_id) AS {c}" for c in taken])
+    got = corpus_pipeline.STAGES[index][1](spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        assert all(r[c] == (None if r["doc_id"] is None else f"mine{r['doc_id']}") for c in taken)
+
+
 def test_line_stage_recounts_characters(spark, sf_dir):
     passage = " ".join(f"p{k}" for k in range(60))
     docs = frame(spark, [(1, passage, "en", "a", len(passage)), (2, passage, "en", "a", len(passage)), (3, "x\n" + passage, "en", "a", 2 + len(passage)), (4, "", "en", "a", 0)])
