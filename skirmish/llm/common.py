@@ -109,6 +109,15 @@ def join_spread(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     return held.select(*rest.columns).unionByName(rest)
 
 
+#: What may be broadcast, by a check of its size.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, size: F.Column) -> DataFrame:
+    """``df``, a written table, with the hint to broadcast it if its rows, of ``size`` bytes each, are few enough in all."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def map_arrow(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: T.StructType | str
 ) -> DataFrame:

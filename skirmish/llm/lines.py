@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import durable, fresh, join_spread
+from skirmish.llm.common import broadcast_if_small, durable, fresh, join_spread
 
 MIN_WORDS = 50
 KEY = ["no_id", "id", "text_hash"]
@@ -109,7 +109,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, name: str = "runs")
     key, found, parts = (fresh(docs, c) for c in ("key", "found", "parts"))
     runs = repeated_runs(docs, min_words).select(F.struct(*KEY).alias(key), F.col("runs").alias(found))
     own = F.struct(*[c.alias(k) for k, c in zip(KEY, _key_columns(), strict=True)])
-    joined = join_spread(docs.select(*kept).withColumn(key, own), durable(runs, "runs"), [key], "left")
+    runs, keyed = durable(runs, "runs"), docs.select(*kept).withColumn(key, own)
+    few = broadcast_if_small(runs, 48 + 8 * F.size(found))
+    joined = keyed.join(few, key, "left") if few is not runs else join_spread(keyed, runs, [key], "left")
     # Both uses of the split below keep it a column of its own, worked out once a row.
     split = joined.withColumn(parts, F.when(F.col(found).isNotNull(), F.split("text", "\n")))
     starts = F.concat(F.array(F.lit(0)), F.transform(found, lambda r: r["last"] + 1))
