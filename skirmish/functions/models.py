@@ -176,10 +176,8 @@ GATES = {"support": 20, "effective_support": 20, "overlap": 0.5, "balance": 0.10
 FOLDS = ("train", "validation", "test")
 
 
-def _crossfit(x: np.ndarray, treated: np.ndarray, y: np.ndarray, match: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(propensity, outcome if treated, outcome if not), each predicted without the row's own group of matches."""
-    groups = np.unique(match, return_inverse=True)[1]
-    part = groups % min(parts, groups.max() + 1)
+def _crossfit(x: np.ndarray, treated: np.ndarray, y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(propensity, outcome if treated, outcome if not), each predicted without the row's own part of the matches."""
     p, m1, m0 = (np.zeros(len(y)) for _ in range(3))
     for k in np.unique(part):
         out, rest = part == k, part != k
@@ -206,8 +204,23 @@ def balance(x: np.ndarray, treated: np.ndarray, p: np.ndarray) -> float:
     return worst
 
 
-def dr_contrast(x: np.ndarray, treated: np.ndarray, y: np.ndarray, match: np.ndarray, fold: np.ndarray, parts: int = 5) -> dict | None:
-    """Effect of one action over another on the outcome, doubly robust and cross-fitted within each chronological fold, and whether its gates hold.
+def failed_gates(out: dict) -> list[str]:
+    """The gates that a contrast's numbers fail."""
+    passed = {
+        "support": min(out["support"], out["comparison_support"]) >= GATES["support"],
+        "effective_support": out["effective_support"] >= GATES["effective_support"],
+        "overlap": out["overlap"] >= GATES["overlap"],
+        "balance": out["maximum_smd"] <= GATES["balance"],
+        "bounded_uncertainty": out["high"] - out["low"] <= GATES["width"],
+        "temporal_stability": out["fold_range"] <= GATES["fold_range"],
+    }
+    return [name for name, ok in passed.items() if not ok]
+
+
+def dr_contrast(x: np.ndarray, treated: np.ndarray, y: np.ndarray, match: np.ndarray, fold: np.ndarray, parts: int = 5, part: np.ndarray | None = None) -> dict | None:
+    """Effect of one action over another on the outcome, doubly robust and cross-fitted within each chronological fold, and whether its gates hold; for rows that fit in memory.
+
+    ``part``: each row's share of the matches; if it isn't given, a fold's matches are dealt in turn over ``parts``.
 
     None where a fold can't be estimated: under four rows, one action only, or a single match.
     """
@@ -219,7 +232,8 @@ def dr_contrast(x: np.ndarray, treated: np.ndarray, y: np.ndarray, match: np.nda
         if len(at) < 4 or len(np.unique(treated[at])) < 2 or len(np.unique(match[at])) < 2:
             return None
         where.append(at)
-        found.append(_crossfit(x[at], treated[at], y[at], match[at], parts))
+        dealt = np.unique(match[at], return_inverse=True)[1]
+        found.append(_crossfit(x[at], treated[at], y[at], dealt % min(parts, dealt.max() + 1) if part is None else part[at]))
     order = np.concatenate(where)
     p, m1, m0 = (np.concatenate(c) for c in zip(*found, strict=True))
     x, t, y, match, fold = x[order], treated[order], y[order], match[order], fold[order]
@@ -238,18 +252,7 @@ def dr_contrast(x: np.ndarray, treated: np.ndarray, y: np.ndarray, match: np.nda
         "maximum_weight": float(weight.max()), "maximum_smd": balance(x, t, p), "estimate": float(influence.mean()), "low": float(influence.mean() - half), "high": float(influence.mean() + half),
         "fold_range": max(by_fold) - min(by_fold), **{f"clip_{k:g}": float(score(k).mean()) for k in CLIPS},
     }
-    failed = [
-        name
-        for name, ok in (
-            ("support", min(out["support"], out["comparison_support"]) >= GATES["support"]),
-            ("effective_support", out["effective_support"] >= GATES["effective_support"]),
-            ("overlap", out["overlap"] >= GATES["overlap"]),
-            ("balance", out["maximum_smd"] <= GATES["balance"]),
-            ("bounded_uncertainty", 2 * half <= GATES["width"]),
-            ("temporal_stability", out["fold_range"] <= GATES["fold_range"]),
-        )
-        if not ok
-    ]
+    failed = failed_gates(out)
     return out | {"admitted": not failed, "failed_gates": ",".join(failed)}
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skirmish.operators.asof import asof_join_sides, last_observed
+from skirmish.operators.quantiles import exact_quantiles
 from skirmish.sources import adapter
 
 PHASE_STARTS = (0, 540, 1200, 1800)
@@ -120,10 +121,11 @@ class Tables:
     def match_folds(self) -> DataFrame:
         """Chronological folds: matches up to the 60 % quantile of start times train, up to the 80 % quantile validate, later ones test."""
         epoch = (F.unix_micros("start_time") / 1e6).alias("started")
-        matches = self.player_matches.groupBy("match_id").agg(F.min("start_time").alias("start_time")).select("match_id", epoch)
-        ends = matches.agg(F.percentile("started", F.lit(0.6)).alias("train_end"), F.percentile("started", F.lit(0.8)).alias("validation_end"))
-        fold = F.when(F.col("started") <= F.col("train_end"), "train").when(F.col("started") <= F.col("validation_end"), "validation").otherwise("test")
-        return self._kept(matches.crossJoin(F.broadcast(ends)).select("match_id", fold.alias("fold")))  # one row of boundaries
+        matches = self._kept(self.player_matches.groupBy("match_id").agg(F.min("start_time").alias("start_time")).select("match_id", epoch))
+        ends = exact_quantiles(matches, [], ["started"], (0.6, 0.8)).get((), {})
+        train, validation = (F.lit(ends.get(("started", p))) for p in (0.6, 0.8))
+        fold = F.when(F.col("started") <= train, "train").when(F.col("started") <= validation, "validation").otherwise("test")
+        return self._kept(matches.select("match_id", fold.alias("fold")))
 
     @cached_property
     def compositions(self) -> DataFrame:

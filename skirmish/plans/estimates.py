@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions import stats
 from skirmish.operators import itemsets, ranking
+from skirmish.operators.quantiles import exact_quantiles
 from skirmish.plans import analytics as a
 from skirmish.plans import kernels as k
 from skirmish.plans.cohort import APPEARANCE, Tables
@@ -45,9 +46,12 @@ def core_economy_reference(t: Tables, minimum_badge: int = 81, reserved: int = 3
     held = t.purchases.where("sold_time = 0").groupBy(*APPEARANCE).agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
     players = t.player_matches.where(F.col("average_badge") >= minimum_badge).join(held, APPEARANCE, "left")
     n, cost = F.coalesce("n", F.lit(0)), F.coalesce("cost", F.lit(0))
-    out = players.agg(
-        F.count_distinct("match_id").alias("matches"), F.count("*").alias("player_matches"), F.avg("duration_s").alias("mean_duration_s"), F.median("duration_s").alias("median_duration_s"),
-        F.median(n).cast("int").alias("median_items"), F.median(cost).cast("int").alias("median_cost"),
+    counted = players.select("match_id", "duration_s", n.alias("items"), cost.alias("cost")).persist()
+    middle = exact_quantiles(counted, [], ["duration_s", "items", "cost"], (0.5,)).get((), {})
+    duration, items, spent = (F.lit(middle.get((c, 0.5))) for c in ("duration_s", "items", "cost"))
+    out = counted.agg(
+        F.count_distinct("match_id").alias("matches"), F.count("*").alias("player_matches"), F.avg("duration_s").alias("mean_duration_s"), F.first(duration).alias("median_duration_s"),
+        F.first(items).cast("int").alias("median_items"), F.first(spent).cast("int").alias("median_cost"),
     )
     spared = F.least(F.lit(reserved), F.col("median_items") - 1)
     return out.withColumn("target_core_cost", F.bround(F.col("median_cost") * (F.col("median_items") - spared) / F.nullif(F.col("median_items"), F.lit(0)), 0))

@@ -21,6 +21,7 @@ from skirmish.operators import itemsets, ranking
 from skirmish.operators.paths import state_counts, supported_path
 from skirmish.operators.replay import final_inventories, incremental_cost, schedule
 from skirmish.plans import analytics as a
+from skirmish.plans import contrasts
 from skirmish.plans.cohort import APPEARANCE, Tables
 
 ROWS = 50_000
@@ -152,23 +153,18 @@ def ridge_holdout(t: Tables) -> DataFrame:
 
 def dr_contrasts(t: Tables) -> DataFrame:
     """Cross-fitted doubly robust contrast of each hero's most chosen item of a tier with the second, and its gates."""
-    rows = _decisions(t)
-    counts = rows.groupBy(*a.ITEM).agg(F.count("*").alias("n"))
-    ranked = ranking.top_k(counts, GROUP, [F.desc("n"), F.col("item_id")], 2).select(*a.ITEM, F.col("rank"))
-    both = bounded(rows.join(F.broadcast(ranked), a.ITEM), GROUP)  # two rows a hero and tier
-    schema = "hero_id int, tier int, treatment_item_id long, comparator_item_id long, support long, comparison_support long, effective_support double, overlap double, maximum_weight double, maximum_smd double, estimate double, low double, high double, fold_range double, clip_5 double, clip_10 double, clip_20 double, admitted boolean, failed_gates string"
+    return contrasts.dr_contrasts(t, _decisions(t), FEATURES)
 
-    def contrast(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(APPEARANCE)
-        pair = group.drop_duplicates("rank").set_index("rank")["item_id"]
-        if len(pair) < 2:
-            return pd.DataFrame()
-        got = models.dr_contrast(group[FEATURES].to_numpy(float), (group["rank"] == 1).to_numpy(int), group["y"].to_numpy(float), group["match_id"].to_numpy(), group["fold"].to_numpy())
-        head = {"hero_id": group["hero_id"].iloc[0], "tier": group["tier"].iloc[0], "treatment_item_id": pair[1], "comparator_item_id": pair[2]}
-        return pd.DataFrame([head | got]) if got else pd.DataFrame([head | {"admitted": False, "failed_gates": "estimability"}])
-
-    names = [x.split()[0] for x in schema.split(", ")]
-    return both.groupBy(*GROUP).applyInPandas(lambda g: contrast(g).reindex(columns=names), schema)
+
+def core_alternatives(t: Tables, core: DataFrame, additions: DataFrame) -> DataFrame:
+    """Alternatives to the items that complete each hero's backbone. ``core`` and ``additions`` as :func:`backbones` and :func:`completions` return them."""
+
+    def ids(column: str) -> F.Column:
+        return F.transform(F.split(column, ","), lambda x: x.cast("long"))
+
+    first = additions.where("rank = 1").select("hero_id", ids("additions").alias("more"))
+    whole = core.join(F.broadcast(first), "hero_id").select("hero_id", F.concat(ids("items"), "more").alias("items"), ids("items").alias("fixed"))  # a row a hero
+    return contrasts.core_alternatives(t, whole, _decisions(t), FEATURES, catalogue(t))
 
 
 # -- inventories and bundles -------------------------------------------------------------------------------------------------

@@ -110,6 +110,7 @@ PLANS: dict[str, Plan] = {
     "top_cores": lambda t: p.top_cores(t, 2, 20),
     "backbones": _backbones,
     "core_completions": lambda t: p.completions(t, _backbones(t)),
+    "core_alternatives": lambda t: p.core_alternatives(t, _backbones(t), p.completions(t, _backbones(t))),
     "greedy_paths": p.greedy_paths,
     "core_path_stability": p.core_path_stability,
     "build_paths": p.build_paths,
