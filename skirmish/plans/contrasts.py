@@ -112,7 +112,9 @@ def _gated(r: dict, d: int) -> dict:
 
 
 def _pair_ids(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("pair_id", F.concat_ws(":", "hero_id", "treatment_item_id", "comparator_item_id"))
+    """The pairs, which a catalogue bounds, with their ids, and without the plan that found them, which every pass would carry."""
+    named = pairs.withColumn("pair_id", F.concat_ws(":", "hero_id", "treatment_item_id", "comparator_item_id"))
+    return pairs.sparkSession.createDataFrame(named.collect(), named.schema)
 
 
 def dr_contrasts(t: Tables, decisions: DataFrame, features: list[str]) -> DataFrame:
@@ -120,7 +122,7 @@ def dr_contrasts(t: Tables, decisions: DataFrame, features: list[str]) -> DataFr
     counts = decisions.groupBy(*a.ITEM).agg(F.count("*").alias("n"))
     ranked = ranking.top_k(counts, ["hero_id", "tier"], [F.desc("n"), F.col("item_id")], 2)
     first, second = (F.max(F.when(F.col("rank") == k, F.col("item_id"))) for k in (1, 2))
-    pairs = _pair_ids(ranked.groupBy("hero_id", "tier").agg(first.alias("treatment_item_id"), second.alias("comparator_item_id")).where("comparator_item_id IS NOT NULL")).persist()
+    pairs = _pair_ids(ranked.groupBy("hero_id", "tier").agg(first.alias("treatment_item_id"), second.alias("comparator_item_id")).where("comparator_item_id IS NOT NULL"))
     found = contrasts(decisions, pairs, features)
     return pairs.join(F.broadcast(found), "pair_id").select("hero_id", "tier", "treatment_item_id", "comparator_item_id", *RESULT)
 
@@ -143,7 +145,7 @@ def core_alternatives(t: Tables, core: DataFrame, decisions: DataFrame, features
         return pd.Series([schedule(x, components, cost, active) is not None for x in sets], dtype=bool)
 
     candidates = ranking.top_k(offered.where(legal("items", "at", "item_id")), ["hero_id", "at"], [F.desc("adopter_matches"), F.col("item_id")], each)
-    pairs = _pair_ids(candidates.select("hero_id", "tier", F.col("item_id").alias("treatment_item_id"), "comparator_item_id", (F.col("at") + 1).alias("stage"))).persist()
+    pairs = _pair_ids(candidates.select("hero_id", "tier", F.col("item_id").alias("treatment_item_id"), "comparator_item_id", (F.col("at") + 1).alias("stage")))
     found = pairs.join(F.broadcast(contrasts(decisions, pairs, features)), "pair_id")
     best = Window.partitionBy("hero_id", "treatment_item_id", "admitted").orderBy(F.desc("effective_support"), F.col("high") - F.col("low"), "stage")
     first = found.withColumn("first", F.col("admitted") & (F.row_number().over(best) == 1))

@@ -82,6 +82,12 @@ def itemset_support(t: Tables, size: int = 2, support: int = 20) -> DataFrame:
     return found.withColumn("itemset", F.array_join("itemset", ","))
 
 
+def itemset_levels(t: Tables, largest: int = 4, support: int = 5) -> DataFrame:
+    """All sets of up to ``largest`` unsold items with their supports, level by level."""
+    found = itemsets.frequent_itemsets(unsold_inventories(t), "hero_id", "items", largest, support, "fold")
+    return found.withColumn("itemset", F.array_join("itemset", ","))
+
+
 def pair_precedence(t: Tables) -> DataFrame:
     return itemsets.pair_precedence(t.first_purchases, ["hero_id"], APPEARANCE, "item_id", "buy_time")
 

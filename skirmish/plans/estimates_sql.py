@@ -63,6 +63,17 @@ FROM first_purchases a JOIN first_purchases b ON a.match_id = b.match_id AND a.p
     "itemset_support_3": """SELECT a.hero_id, a.item_id || ',' || b.item_id || ',' || c.item_id AS itemset, count(*) AS support, count(*) FILTER (a.fold = 'train') AS train_support, count(*) FILTER (a.fold = 'validation') AS validation_support, count(*) FILTER (a.fold = 'test') AS test_support
 FROM first_purchases a JOIN first_purchases b ON a.match_id = b.match_id AND a.player_slot = b.player_slot AND a.item_id < b.item_id JOIN first_purchases c ON a.match_id = c.match_id AND a.player_slot = c.player_slot AND b.item_id < c.item_id
 WHERE a.sold_time = 0 AND b.sold_time = 0 AND c.sold_time = 0 GROUP BY a.hero_id, a.item_id, b.item_id, c.item_id HAVING count(*) >= 5""",
+    "itemset_levels": """SELECT * FROM (
+  WITH RECURSIVE held AS (
+    SELECT match_id, player_slot, hero_id, fold, item_id FROM first_purchases WHERE sold_time = 0
+  ), grown AS (
+    SELECT match_id, player_slot, hero_id, fold, 1 AS size, item_id AS last, item_id::VARCHAR AS itemset FROM held
+    UNION ALL
+    SELECT g.match_id, g.player_slot, g.hero_id, g.fold, g.size + 1, h.item_id, g.itemset || ',' || h.item_id
+    FROM grown g JOIN held h ON h.match_id = g.match_id AND h.player_slot = g.player_slot AND h.item_id > g.last WHERE g.size < 4
+  )
+  SELECT hero_id, size, itemset, count(*) AS support, count(*) FILTER (fold = 'train') AS train_support, count(*) FILTER (fold = 'validation') AS validation_support, count(*) FILTER (fold = 'test') AS test_support
+  FROM grown GROUP BY hero_id, size, itemset HAVING count(*) >= 5)""",
     "pair_precedence": "SELECT a.hero_id, a.item_id AS first_item, b.item_id AS second_item, count(*) FILTER (a.buy_time < b.buy_time) AS first_earlier, count(*) FILTER (a.buy_time > b.buy_time) AS second_earlier FROM first_purchases a JOIN first_purchases b ON a.match_id = b.match_id AND a.player_slot = b.player_slot AND a.item_id < b.item_id GROUP BY ALL",
     "path_coherence": _PATH + """ SELECT hero_id, count(*) AS player_matches, avg(bought / path_actions) AS mean_path_coverage, avg((bought >= 2)::INTEGER) AS share_with_2, avg((bought >= 4)::INTEGER) AS share_with_4, avg((bought = path_actions)::INTEGER) AS share_complete,
   median(bought) AS median_path_items, quantile_cont(bought, 0.75) AS path_items_q75, any_value(tail) AS independent_share_with_4, avg((bought >= 4)::INTEGER) / any_value(tail) AS coherence_lift, count(*) FILTER (duration_s >= 2100) AS long_matches,

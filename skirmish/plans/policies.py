@@ -7,6 +7,7 @@ by hash. So ``ridge_holdout`` fits on a sample and tests on all rows; ``dr_contr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -185,23 +186,25 @@ def inventories(t: Tables) -> DataFrame:
 BUNDLES, RETENTION, SHARE_RANGE = 256, 0.5, 0.10
 
 
-def backbones(t: Tables, sizes: Sequence[int] = (2, 3, 4), support: int = 20, fold_support: int | None = None) -> DataFrame:
+def backbones(t: Tables, sizes: Sequence[int] = (4, 5, 6), support: int = 20, fold_support: int | None = None, affinity: dict[int, int] | None = None) -> DataFrame:
     """The longest stable bundle of items of each hero.
 
-    All bundles of each size are counted; of the most frequent ``BUNDLES`` a size those that are schedulable, supported in every fold and stable in
-    share over the folds qualify. From the best of the smallest size, a superset follows as long as it keeps ``RETENTION`` of the support.
+    All bundles of each size are counted, level by level; of the most frequent ``BUNDLES`` a size those that are schedulable, supported in every fold and stable in share over the
+    folds qualify. The best of the smallest size has the largest ``(1 + log(1 + affinity)) * log(1 + support)``; from it, a superset follows as long as it keeps ``RETENTION`` of
+    the support, the most supported one, then that with most affinity. ``affinity``: points by item.
     """
-    floor = support if fold_support is None else fold_support
+    floor, points = support if fold_support is None else fold_support, affinity or {}
     components, cost, active = catalogue(t)
     held = inventories(t).select("hero_id", "fold", F.array_distinct("items").alias("items"))
     totals = held.groupBy("hero_id").agg(*[F.count_if(F.col("fold") == f).alias(f"{f}_total") for f in models.FOLDS])
-    parts = []
-    for size in sizes:
-        found = itemsets.itemset_support(held, ["hero_id"], "items", size, support, "fold").withColumn("size", F.lit(size))
-        parts.append(ranking.top_k(found, ["hero_id"], [F.desc("support"), F.col("itemset")], BUNDLES))
-    counted = parts[0]
-    for part in parts[1:]:
-        counted = counted.unionByName(part)
+    found = itemsets.frequent_itemsets(held, "hero_id", "items", max(sizes), support, "fold", models.FOLDS).where(F.col("size").isin(*sizes))
+    counted = ranking.top_k(found, ["hero_id", "size"], [F.desc("support"), F.col("itemset")], BUNDLES)
+
+    def liking(items: tuple) -> int:
+        return sum(points.get(i, 0) for i in items)
+
+    def score(x: tuple) -> tuple:
+        return -(1 + math.log1p(liking(x[1]))) * math.log1p(x[2]), -x[2], x[1]
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         ok = []
@@ -216,7 +219,7 @@ def backbones(t: Tables, sizes: Sequence[int] = (2, 3, 4), support: int = 20, fo
             fits = [x for x in ok if x[0] == size and (chosen is None or (set(chosen[1]) < set(x[1]) and x[2] / chosen[2] >= RETENTION))]
             if not fits:
                 break
-            chosen = min(fits, key=lambda x: (-x[2], x[1]))
+            chosen = min(fits, key=score if chosen is None else lambda x: (-x[2], -liking(x[1]), x[1]))
         rows = [] if chosen is None else [(group["hero_id"].iloc[0], ",".join(map(str, chosen[1])), chosen[0], chosen[2], chosen[3])]
         return pd.DataFrame(rows, columns=["hero_id", "items", "size", "support", "least_fold_support"])
 
@@ -385,11 +388,11 @@ def situational(t: Tables, support: int = 100, most: int = 7, overlap: float = 0
     return best.groupBy("hero_id").applyInPandas(admit, "hero_id int, scope string, enemy_hero_id int, phase int, item_id long, admitted boolean, failed_gates string")
 
 
-def top_cores(t: Tables, size: int = 4, support: int = 5, most: int = 64) -> DataFrame:
+def top_cores(t: Tables, size: int = 8, support: int = 20, most: int = 64) -> DataFrame:
     """Schedulable item sets by support, up to ``most`` a hero after the legality check."""
     components, cost, active = catalogue(t)
     held = inventories(t).select("hero_id", F.array_distinct("items").alias("items"))
-    counted = itemsets.itemset_support(held, ["hero_id"], "items", size, support)
+    counted = itemsets.frequent_itemsets(held, "hero_id", "items", size, support).where(F.col("size") == size).drop("size")
 
     @F.pandas_udf("boolean")
     def legal(sets: pd.Series) -> pd.Series:

@@ -19,7 +19,11 @@ Plan = Callable[[Tables], DataFrame]
 
 def _backbones(t: Tables) -> DataFrame:
     # Inventories of the driver's tables are short: sizes from 2 on, and a floor of 3 a fold.
-    return t.once("backbones", lambda: p.backbones(t, fold_support=3))
+    return t.once("backbones", lambda: p.backbones(t, (2, 3, 4), fold_support=3))
+
+
+def _completions(t: Tables) -> DataFrame:
+    return t.once("completions", lambda: p.completions(t, _backbones(t)))
 
 
 #: Queries over the derived tables.
@@ -81,6 +85,7 @@ PLANS: dict[str, Plan] = {
     "itemset_support_2": e.itemset_support,
     # Inventories of the driver's tables rarely share three items.
     "itemset_support_3": lambda t: e.itemset_support(t, 3, 5),
+    "itemset_levels": e.itemset_levels,
     "pair_precedence": e.pair_precedence,
     "path_coherence": e.path_coherence,
     "path_coherence_by_fold": lambda t: e.path_coherence(t, folds=True),
@@ -109,8 +114,8 @@ PLANS: dict[str, Plan] = {
     # Inventories of the driver's tables are short: smaller sets, and a floor of 3 a fold.
     "top_cores": lambda t: p.top_cores(t, 2, 20),
     "backbones": _backbones,
-    "core_completions": lambda t: p.completions(t, _backbones(t)),
-    "core_alternatives": lambda t: p.core_alternatives(t, _backbones(t), p.completions(t, _backbones(t))),
+    "core_completions": _completions,
+    "core_alternatives": lambda t: p.core_alternatives(t, _backbones(t), _completions(t)),
     "greedy_paths": p.greedy_paths,
     "core_path_stability": p.core_path_stability,
     "build_paths": p.build_paths,
