@@ -22,7 +22,7 @@ from skirmish.operators import itemsets, ranking
 from skirmish.operators.paths import state_counts, supported_path
 from skirmish.operators.replay import final_inventories, incremental_cost, schedule
 from skirmish.plans import analytics as a
-from skirmish.plans import contrasts
+from skirmish.plans import completion, contrasts, estimates
 from skirmish.plans.cohort import APPEARANCE, Tables
 
 ROWS = 50_000
@@ -239,6 +239,19 @@ def completions(t: Tables, core: DataFrame, support: int = 5, pool: int = 12, mo
     return ranked.select("hero_id", F.array_join("itemset", ",").alias("additions"), "support", F.col("rank").cast("long").alias("rank"))
 
 
+def complete_cores(t: Tables, core: DataFrame, support: int = 20) -> DataFrame:
+    """Every supported completion of each hero's backbone (``core``, as :func:`backbones` returns it) with its gates, and the one near the economy target."""
+    components, cost, active = catalogue(t)
+    core = core.select("hero_id", F.transform(F.split("items", ","), lambda x: x.cast("long")).alias("core"))
+    holders = inventories(t).join(F.broadcast(core), "hero_id").where(F.size(F.array_except("core", "items")) == 0)  # a row a hero
+    reference = estimates.core_economy_reference(t).first()
+
+    def legal(items: Sequence[int]) -> bool:
+        return schedule(list(items), components, cost, active) is not None
+
+    return completion.completions(holders.select("hero_id", "fold", "core", "items"), cost, legal, reference["target_core_cost"], BUDGET, support)
+
+
 # -- paths -------------------------------------------------------------------------------------------------------------------
 
 #: The limits of a path.
@@ -401,23 +414,66 @@ def top_cores(t: Tables, size: int = 8, support: int = 20, most: int = 64) -> Da
     return ranking.top_k(counted.where(legal("itemset")), ["hero_id"], [F.desc("support"), F.col("itemset")], most).select("hero_id", F.array_join("itemset", ",").alias("items"), "support", F.col("rank").cast("long").alias("rank"))
 
 
-def agreement_orders(precedence: Sequence[tuple[int, int, int, int]], items: Sequence[int], keep: int = 2) -> list[tuple[int, tuple[int, ...]]]:
+def agreement_orders(precedence: Sequence[tuple[int, int, int, int]], items: Sequence[int], keep: int = 2, windows: dict[int, tuple[float, float]] | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """The ``keep`` orders of ``items`` that agree with most observed precedences: (score, order), ties to the lexicographically smaller.
 
-    Dynamic programming over subsets that keeps the best few prefixes of each, instead of all permutations.
+    Dynamic programming over subsets that keeps the best few prefixes of each, instead of all permutations. ``windows``: the release and due point of an item; an order is feasible if points that never
+    fall can be chosen in all windows. The point that a prefix has come to is its latest release, whatever its order, so whether an item may follow depends on the subset alone.
     """
     ahead: dict[tuple[int, int], int] = {}
     for x, y, first, second in precedence:
         ahead[x, y], ahead[y, x] = first, second
+    always = (-math.inf, math.inf)
+    release, due = ({i: (windows or {}).get(i, always)[k] for i in items} for k in (0, 1))
     best: dict[frozenset[int], list[tuple[int, tuple[int, ...]]]] = {frozenset(): [(0, ())]}
     for n in range(1, len(items) + 1):
         for chosen in combinations(sorted(items), n):
-            whole = frozenset(chosen)
-            grown = [(score - sum(ahead.get((p, last), 0) for p in order), (*order, last)) for last in chosen for score, order in best[whole - {last}]]
+            whole, reached = frozenset(chosen), max(release[i] for i in chosen)
+            grown = [(score - sum(ahead.get((p, last), 0) for p in order), (*order, last)) for last in chosen if reached <= due[last] for score, order in best[whole - {last}]]
             best[whole] = sorted(grown)[:keep]
     return [(-score, order) for score, order in best[frozenset(items)]]
 
 
+def core_orders(t: Tables, core: DataFrame, additions: DataFrame) -> DataFrame:
+    """The order in which each hero's core is best bought, and the runner-up: agreement with what its holders did first, within the quartiles of net worth at purchase of each item.
+
+    ``checkpoints``: the smallest net worth at which each item of the order can be bought. ``near_variant``: the runner-up has 90 % of the agreement and differs early, within the first six
+    places. A core without a feasible order has a null order. Precedences are counted by Spark; a core's nine items or fewer are ordered in one task.
+    """
+
+    def ids(column: str) -> F.Column:
+        return F.transform(F.split(column, ","), lambda x: x.cast("long"))
+
+    first = additions.where("rank = 1").select("hero_id", ids("additions").alias("more"))
+    whole = core.join(F.broadcast(first), "hero_id", "left").select("hero_id", F.concat(ids("items"), F.coalesce("more", F.expr("CAST(array() AS array<bigint>)"))).alias("core"))  # a row a hero
+    players = inventories(t).join(F.broadcast(whole), "hero_id").where(F.size(F.array_except("core", "items")) == 0).select(*APPEARANCE, "core")
+    bought = t.first_purchases.select("hero_id", *APPEARANCE, "item_id", "buy_time").join(players, APPEARANCE).where(F.array_contains("core", F.col("item_id")))
+    pairs = itemsets.pair_precedence(bought, ["hero_id"], APPEARANCE, "item_id", "buy_time")
+    observed = pairs.groupBy("hero_id").agg(F.collect_list(F.struct("first_item", "second_item", "first_earlier", "second_earlier")).alias("pairs"))
+    known = a.item_aggregates(t).select("hero_id", F.struct("item_id", F.col("buy_nw_q25").cast("double").alias("low"), F.col("buy_nw_q75").cast("double").alias("high")).alias("window"))
+    windows = known.groupBy("hero_id").agg(F.collect_list("window").alias("windows"))
+    heroes = whole.join(observed, "hero_id", "left").join(windows, "hero_id", "left")
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        r = group.iloc[0]
+        items = [int(i) for i in r["core"]]
+        bounds = {int(w["item_id"]): (w["low"], w["high"]) for w in (r["windows"] if r["windows"] is not None else ()) if w["low"] is not None}
+        pairs = [(p["first_item"], p["second_item"], p["first_earlier"], p["second_earlier"]) for p in (r["pairs"] if r["pairs"] is not None else ())]
+        found = agreement_orders(pairs, items, 2, bounds)
+        if not found:
+            return pd.DataFrame([(r["hero_id"], None, None, None, None, None, False)], columns=CORE_ORDER)
+        (score, order), (second_score, second) = found[0], found[-1]
+        same = next((k for k, (x, y) in enumerate(zip(order, second, strict=True)) if x != y), len(order))
+        points = np.maximum.accumulate([max(0.0, bounds.get(i, (0.0, 0.0))[0]) for i in order])
+        row = (r["hero_id"], ",".join(map(str, order)), score, ",".join(map(str, second)), second_score, ",".join(f"{x:g}" for x in points), score > 0 and second_score >= 0.9 * score and same <= 5)
+        return pd.DataFrame([row], columns=CORE_ORDER)
+
+    return heroes.groupBy("hero_id").applyInPandas(choose, "hero_id int, target_order string, agreement_support long, runner_up_order string, runner_up_support long, checkpoints string, near_variant boolean")
+
+
+CORE_ORDER = ["hero_id", "target_order", "agreement_support", "runner_up_order", "runner_up_support", "checkpoints", "near_variant"]
+
+
 def supported_openings(t: Tables, length: int = 3) -> DataFrame:
     """Each hero's most supported opening of ``length`` different items, step by step from what players had reached.
 

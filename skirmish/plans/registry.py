@@ -115,6 +115,8 @@ PLANS: dict[str, Plan] = {
     "top_cores": lambda t: p.top_cores(t, 2, 20),
     "backbones": _backbones,
     "core_completions": _completions,
+    "complete_cores": lambda t: p.complete_cores(t, _backbones(t), 2),
+    "core_orders": lambda t: p.core_orders(t, _backbones(t), _completions(t)),
     "core_alternatives": lambda t: p.core_alternatives(t, _backbones(t), _completions(t)),
     "greedy_paths": p.greedy_paths,
     "core_path_stability": p.core_path_stability,
