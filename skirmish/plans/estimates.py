@@ -82,6 +82,27 @@ def itemset_support(t: Tables, size: int = 2, support: int = 20) -> DataFrame:
     return found.withColumn("itemset", F.array_join("itemset", ","))
 
 
+def item_rollups(t: Tables) -> DataFrame:
+    """The item aggregates by hero and tier, by hero, by tier and over all, as one relation in one pass; ``level`` tells which of both a row sums over (bits, hero first)."""
+    n = F.col("adopter_matches")
+    rolled = a.item_aggregates(t).groupingSets([["hero_id", "tier"], ["hero_id"], ["tier"], []], "hero_id", "tier")
+    return rolled.agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("items"), F.sum(n).alias("adopters"), F.sum("purchase_events").alias("purchases"), (F.sum("wins") / F.sum(n)).alias("outcome_rate"),
+        (F.sum(F.col("adoption_rate") * n) / F.sum(n)).alias("mean_adoption"), (F.sum("purchase_events") / F.sum(n)).alias("inflation"), F.min("raw_outcome_rate").alias("least_rate"), F.max("raw_outcome_rate").alias("most_rate"),
+        F.max_by("item_id", F.struct("adopter_matches", -F.col("item_id"))).alias("most_adopted"),
+    )
+
+
+def decision_rollups(t: Tables) -> DataFrame:
+    """Decisions by hero, tier and phase in all combinations of one and two of them, and over all, with the share whose state was known."""
+    sets = [["hero_id", "tier"], ["hero_id", "phase"], ["tier", "phase"], ["hero_id"], ["tier"], ["phase"], []]
+    rolled = t.decision_opportunities.groupingSets(sets, "hero_id", "tier", "phase")
+    return rolled.agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("decisions"), F.count_distinct("match_id").alias("matches"), F.avg(a.won()).alias("outcome_rate"),
+        (F.count("own_net_worth_at_buy") / F.count("*")).alias("known_share"), F.avg("buy_time").alias("mean_buy_time_s"), F.count_distinct("item_id").alias("items"),
+    )
+
+
 def itemset_levels(t: Tables, largest: int = 4, support: int = 5) -> DataFrame:
     """All sets of up to ``largest`` unsold items with their supports, level by level."""
     found = itemsets.frequent_itemsets(unsold_inventories(t), "hero_id", "items", largest, support, "fold")

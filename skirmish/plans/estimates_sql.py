@@ -63,6 +63,9 @@ FROM first_purchases a JOIN first_purchases b ON a.match_id = b.match_id AND a.p
     "itemset_support_3": """SELECT a.hero_id, a.item_id || ',' || b.item_id || ',' || c.item_id AS itemset, count(*) AS support, count(*) FILTER (a.fold = 'train') AS train_support, count(*) FILTER (a.fold = 'validation') AS validation_support, count(*) FILTER (a.fold = 'test') AS test_support
 FROM first_purchases a JOIN first_purchases b ON a.match_id = b.match_id AND a.player_slot = b.player_slot AND a.item_id < b.item_id JOIN first_purchases c ON a.match_id = c.match_id AND a.player_slot = c.player_slot AND b.item_id < c.item_id
 WHERE a.sold_time = 0 AND b.sold_time = 0 AND c.sold_time = 0 GROUP BY a.hero_id, a.item_id, b.item_id, c.item_id HAVING count(*) >= 5""",
+    "decision_rollups": """SELECT hero_id, tier, phase, grouping(hero_id, tier, phase)::INTEGER AS level, count(*) AS decisions, count(DISTINCT match_id) AS matches, avg(won::INTEGER) AS outcome_rate,
+  count(own_net_worth_at_buy) / count(*) AS known_share, avg(buy_time) AS mean_buy_time_s, count(DISTINCT item_id) AS items
+FROM decisions GROUP BY GROUPING SETS ((hero_id, tier), (hero_id, phase), (tier, phase), (hero_id), (tier), (phase), ())""",
     "itemset_levels": """SELECT * FROM (
   WITH RECURSIVE held AS (
     SELECT match_id, player_slot, hero_id, fold, item_id FROM first_purchases WHERE sold_time = 0

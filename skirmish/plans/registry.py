@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skirmish.operators import paths
 from skirmish.plans import analytics as a
 from skirmish.plans import estimates as e
 from skirmish.plans import estimates_sql, kernels, oracle
@@ -86,6 +87,8 @@ PLANS: dict[str, Plan] = {
     # Inventories of the driver's tables rarely share three items.
     "itemset_support_3": lambda t: e.itemset_support(t, 3, 5),
     "itemset_levels": e.itemset_levels,
+    "item_rollups": e.item_rollups,
+    "decision_rollups": e.decision_rollups,
     "pair_precedence": e.pair_precedence,
     "path_coherence": e.path_coherence,
     "path_coherence_by_fold": lambda t: e.path_coherence(t, folds=True),
@@ -161,7 +164,16 @@ def _window_labels(spark: SparkSession, d: str) -> DataFrame:
     return orders.select("o_orderkey", kernels.nearest_thousand(F.col("o_totalprice").cast("double")).alias("souls"), kernels.clock(F.col("o_orderkey") % 5400).alias("clock"))
 
 
+def _completable_paths(spark: SparkSession, d: str) -> DataFrame:
+    # The four kinds of events but errors stand for abilities, a user's first 16 for what was learned, in five groups of users.
+    kinds = ["click", "view", "signup", "purchase"]
+    events = read(spark, d, "events").where(F.col("event_type").isin(*kinds)).select((F.col("user_id") % 5).cast("int").alias("hero_id"), "user_id", F.struct("ts", "event_id", F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")).alias("kind")).alias("e"))
+    taken = events.groupBy("hero_id", "user_id").agg(F.slice(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["kind"]), 1, 16).alias("path"))
+    return paths.completable_paths(taken.groupBy("hero_id", "path").agg(F.count("*").alias("w")), "hero_id", "path", "w", 8, 2)
+
+
 PLAIN |= {
+    "completable_paths": _completable_paths,
     "outcome_eligibility": _outcome_eligibility,
     "feature_leakage": _feature_leakage,
     "order_states": _order_states,
