@@ -1,6 +1,31 @@
 """Oracle SQL for :mod:`skirmish.plans.estimates`; goes on from the prelude of :mod:`skirmish.plans.oracle`."""
 
-from skirmish.plans.kernels import DURATION_BOUNDS, ENTITIES, FUNCTIONS, INCREMENTS, THREATS
+#: Fixed values, written out so that the statements don't share the engine's.
+DURATION_BOUNDS = (1500, 1800, 2100, 2400, 2700, 3000)
+INCREMENTS = (1000, 2000, 3000, 5000, 7000, 10000)
+ENTITIES = {
+    "&lt;": "<",
+    "&gt;": ">",
+    "&quot;": "\"",
+    "&#39;": "'",
+    "&nbsp;": " ",
+    "&amp;": "&",
+}
+THREATS = {
+    "healing": ("heal", "lifesteal"),
+    "control": ("stun", "slow", "silence"),
+    "mobility": ("dash", "sprint"),
+    "burst": ("burst", "critical"),
+}
+FUNCTIONS = {
+    "debuff": ("healing reduction", "heal amp receive penalty", "anti-heal"),
+    "headshots": ("headshot", "head shot"),
+    "melee": ("melee", "heavy punch"),
+    "crowd_control": ("stun", "immobil", "silence", "disarm", "knockdown", "slowpercent"),
+    "mobility": ("move speed", "dash", "teleport", "leap", "sprint"),
+    "healing": ("healing", "heal", "lifesteal", "health regen"),
+    "utility": ("ally", "shield", "barrier", "cooldown", "active"),
+}
 
 _PATH = """, path_items AS (
   SELECT hero_id, item_id, any_value(cost) AS cost, count(*) / any_value(total) AS rate

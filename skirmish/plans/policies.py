@@ -1,8 +1,8 @@
 """Model-based analyses: shrinkage, adjusted models, contrasts, item bundles and build paths.
 
 Each needs an algorithm that SQL can't express. Spark prepares, groups and bounds the rows; a numpy kernel of :mod:`skirmish.functions.models` handles one small group
-at a time. Groups of catalogue items are bounded by the catalogue. Groups of matches are bounded by ``ROWS``: of larger ones a share of the matches is taken
-by hash. So ``ridge_holdout`` fits on a sample and tests on all rows; ``dr_contrasts`` and ``build_paths`` estimate, count and report on the sample alone.
+at a time. Groups of catalogue items are bounded by the catalogue. Contrasts (:mod:`skirmish.plans.contrasts`) and item sets work on all rows, as sums that tasks hand on. Two groups of matches are
+bounded by ``ROWS``, of larger ones a share of the matches is taken by hash: ``ridge_holdout`` fits on a sample and tests on all rows; ``build_paths`` works on the sample alone.
 """
 
 from __future__ import annotations
