@@ -188,5 +188,6 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id =
   WHEN l_orderkey % 2500 - observed > 400 THEN 'stale' ELSE 'usable' END AS reason, count(*) AS n FROM (SELECT *, l_shipdate::DATE - DATE '1992-01-01' AS observed FROM lineitem) GROUP BY ALL""",
     "order_states": "SELECT CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'finished' WHEN 'P' THEN 'partial' END AS state, count(*) AS n FROM orders GROUP BY ALL",
     "window_labels": "SELECT o_orderkey, (floor(o_totalprice::DOUBLE / 1000 + 0.5) * 1000)::BIGINT AS souls, printf('%d:%02d', o_orderkey % 5400 // 60, o_orderkey % 60) AS clock FROM orders",
+    "content_hashes": r"SELECT page_id, sha256(regexp_replace(coalesce(url, ''), '(//)(?:m|www|blog)[.]', '\1', 'g') || chr(10) || regexp_replace(coalesce(html, ''), '(//)(?:m|www|blog)[.]', '\1', 'g')) AS content_sha256 FROM pages",
     "item_functions": f"SELECT page_id, CASE {' '.join('WHEN ' + ' OR '.join(f"contains(lower(html), '{t}')" for t in terms) + f" THEN '{name}'" for name, terms in FUNCTIONS.items())} ELSE 'damage' END AS function FROM pages",
 }

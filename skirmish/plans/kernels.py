@@ -364,3 +364,13 @@ def clock(seconds: Column) -> Column:
 
 def nearest_thousand(value: Column) -> Column:
     return (F.floor(value / 1000 + 0.5) * 1000).cast("long")
+
+
+#: The mirrors of a host whose names don't change what they serve.
+MIRRORS = ("m", "www", "blog")
+
+
+def content_hash(*texts: Column, mirrors: Sequence[str] = MIRRORS) -> Column:
+    """SHA-256 of texts joined by newlines, wherever they were served from: mirrors' names are taken out of all hosts of addresses in them. A null text counts as empty."""
+    host = f"(?<=//)(?:{'|'.join(mirrors)})[.]"
+    return F.sha2(F.concat_ws("\n", *[F.regexp_replace(F.coalesce(x, F.lit("")), host, "") for x in texts]).cast("binary"), 256)

@@ -178,6 +178,7 @@ PLAIN |= {
     "feature_leakage": _feature_leakage,
     "order_states": _order_states,
     "window_labels": _window_labels,
+    "content_hashes": lambda spark, d: read(spark, d, "pages").select("page_id", kernels.content_hash(F.col("url"), F.col("html")).alias("content_sha256")),
     "item_functions": lambda spark, d: read(spark, d, "pages").select("page_id", kernels.item_function(F.col("html")).alias("function")),
 }
 

@@ -407,3 +407,14 @@ def test_retries_only_transient_errors():
 
 def test_canonical_hash():
     assert io.sha256_json({"b": 1, "a": [1.5]}) == io.sha256_json({"a": [1.5], "b": 1}) and len(io.sha256_json({})) == 64
+
+
+def test_content_hashes_do_not_depend_on_the_mirror(spark):
+    rows = [("http://m.a.example/x", '<a href="//www.b.example/">'), ("http://a.example/x", '<a href="//b.example/">'), ("http://a.example/y", None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "url string, html string").select(kernels.content_hash(F.col("url"), F.col("html"))).collect()]
+    assert got[0] == got[1] != got[2] and len(got[2]) == 64
+
+
+def test_unmapped_values_are_an_error(spark):
+    with pytest.raises(Exception):  # noqa: B017  Spark's own, raised in a task
+        spark.createDataFrame([("O",), ("?",)], "s string").select(kernels.replace_strict(F.col("s"), {"O": "open"})).collect()
