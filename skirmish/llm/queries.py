@@ -12,10 +12,15 @@ from skirmish.llm.common import crc_mod, table
 from skirmish.llm.sql import ORACLE
 
 
+def _part(n: int, held: int) -> F.Column:
+    """If a document is held out, by its id; one without an id isn't, and is learned from."""
+    return F.coalesce(crc_mod("doc_id", n) == held, F.lit(False))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 5) == 0
-    model = langid.fit(docs.where(crc_mod("doc_id", 5) != 0))
+    held_out = _part(5, 0)
+    model = langid.fit(docs.where(~held_out))
     return langid.predict(docs, model).withColumn("held_out", held_out)
 
 
@@ -26,7 +31,7 @@ def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(crc_mod("doc_id", 3) != 1))
-    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", _part(3, 1).alias("held_out"), "score", "predicted")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

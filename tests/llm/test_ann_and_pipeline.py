@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skirmish.llm import ann
+from skirmish.llm import ann, queries
 from skirmish.llm import common
 from skirmish.llm.common import durable
 from tests.llm.conftest import ODD, frame
@@ -154,3 +154,13 @@ def test_line_stage_recounts_characters(spark, sf_dir):
     docs = frame(spark, [(1, passage, "en", "a", len(passage)), (2, passage, "en", "a", len(passage)), (3, "x\n" + passage, "en", "a", 2 + len(passage)), (4, "", "en", "a", 0)])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, sf_dir).collect()}
     assert got == {1: (passage, len(passage)), 3: ("x", 1), 4: ("", 0)}
+
+
+def test_documents_without_an_id_are_not_held_out(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op1_language_id", "op3_quality_classifier"):
+        found = queries.queries()[name](spark, str(tmp_path)).collect()
+        assert [r["held_out"] for r in found if r["doc_id"] is None] == [False] * 3
+        assert {r["held_out"] for r in found} == {False, True}
