@@ -139,7 +139,7 @@ class Tables:
 
     @cached_property
     def purchases(self) -> DataFrame:
-        """One row a purchase. Event ties of one second are ordered by item, then sale and imbued ability, so numbers can be reproduced."""
+        """One row a purchase. Event ties of one second are ordered by item, then sale and imbued ability; rows equal in all of these have no order of their own, so an item's ordinals follow the order of events."""
         zipped = F.arrays_zip(F.col("item_ids").alias("item_id"), F.col("item_times").alias("buy_time"), F.col("item_sold_times").alias("sold_time"), F.col("item_imbued").alias("imbued_ability_id"))
         players = [c for c in self.player_matches.columns if c not in ("final_net_worth", "calibration")]
         events = self._admitted_players.select(
@@ -154,8 +154,7 @@ class Tables:
                 "*",
                 F.row_number().over(player.orderBy("buy_time", "item_id", "sold_time", "imbued_ability_id")).cast("long").alias("event_order"),
                 F.count("*").over(Window.partitionBy(*APPEARANCE, "buy_time")).alias("same_second_purchase_count"),
-                F.row_number().over(Window.partitionBy(*APPEARANCE, "item_id").orderBy("buy_time", "sold_time", "imbued_ability_id")).cast("long").alias("item_purchase_ordinal"),
-            )
+            ).withColumn("item_purchase_ordinal", F.row_number().over(Window.partitionBy(*APPEARANCE, "item_id").orderBy("event_order")).cast("long"))
         )
 
     @cached_property
