@@ -11,7 +11,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skirmish.operators.asof import asof_join_sides, last_observed
 from skirmish.operators.quantiles import exact_quantiles
 from skirmish.sources import adapter
 
@@ -68,8 +67,9 @@ class Tables:
 
     _known: ClassVar[dict[tuple[str, str], Tables]] = {}
 
-    def __init__(self, source: DataFrame, item_assets: DataFrame, cohort: Cohort | None = None) -> None:
-        self.source, self.cohort = source, cohort or Cohort()
+    def __init__(self, source: DataFrame, item_assets: DataFrame, cohort: Cohort | None = None, events: DataFrame | None = None) -> None:
+        """``source``: players with their purchases as parallel arrays, or without these if ``events`` has a row a purchase."""
+        self.source, self.cohort, self._events = source, cohort or Cohort(), events
         self._assets = item_assets
         self._made: dict[str, DataFrame] = {}
 
@@ -77,7 +77,7 @@ class Tables:
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in cls._known:
-            cls._known[key] = cls(adapter.match_player(spark, sf_dir), adapter.item_assets(spark, sf_dir))
+            cls._known[key] = cls(adapter.players(spark, sf_dir), adapter.item_assets(spark, sf_dir), events=adapter.purchase_events(spark, sf_dir))
         return cls._known[key]
 
     @staticmethod
@@ -140,14 +140,20 @@ class Tables:
     @cached_property
     def purchases(self) -> DataFrame:
         """One row a purchase. Event ties of one second are ordered by item, then sale and imbued ability; rows equal in all of these have no order of their own, so an item's ordinals follow the order of events."""
-        zipped = F.arrays_zip(F.col("item_ids").alias("item_id"), F.col("item_times").alias("buy_time"), F.col("item_sold_times").alias("sold_time"), F.col("item_imbued").alias("imbued_ability_id"))
-        players = [c for c in self.player_matches.columns if c not in ("final_net_worth", "calibration")]
-        events = self._admitted_players.select(
-            *players, F.col("net_worth").alias("final_net_worth"), (F.coalesce("calibration_games", F.lit(0)) > 0).alias("calibration"), "stat_times", "stat_net_worths", F.inline(zipped)
-        ).where("buy_time > 0")
-        state = last_observed("stat_times", "stat_net_worths", F.col("buy_time"))
-        known = events.withColumn("state", state).select("*", F.col("state.value").alias("own_net_worth_at_buy"), F.col("state.time").alias("state_observed_at_s")).drop("state", "stat_times", "stat_net_worths")
-        valid = known.join(self.item_assets, "item_id")
+        shown = [c for c in self.player_matches.columns if c not in ("final_net_worth", "calibration")]
+        held = [*shown, F.col("net_worth").alias("final_net_worth"), (F.coalesce("calibration_games", F.lit(0)) > 0).alias("calibration"), F.col("seen.time").alias("stat_times"), F.col("seen.value").alias("stat_net_worths")]
+        observed = self._admitted_players.withColumn("seen", F.filter(F.arrays_zip(F.col("stat_times").alias("time"), F.col("stat_net_worths").alias("value")), lambda x: x["time"].isNotNull()))
+        if self._events is None:
+            zipped = F.arrays_zip(F.col("item_ids").alias("item_id"), F.col("item_times").alias("buy_time"), F.col("item_sold_times").alias("sold_time"), F.col("item_imbued").alias("imbued_ability_id"))
+            events = observed.select(*held, F.inline(zipped)).where("buy_time > 0")
+        else:
+            # Dealt by match alone, a player's slot being a condition and not a key: all that follows is by match, so purchases are shuffled this once.
+            players = observed.select(*held).withColumnRenamed("player_slot", "slot")
+            same = F.col("e.match_id") == F.col("p.match_id"), F.col("e.player_slot").between(F.col("p.slot"), F.col("p.slot"))
+            events = self._events.where("buy_time > 0").alias("e").join(players.alias("p"), same[0] & same[1]).select("e.*", *[f"p.{c}" for c in players.columns if c not in ("match_id", "slot")])
+        last = F.size(F.filter("stat_times", lambda x: x <= F.col("buy_time"))) - 1  # the times are sorted and known
+        known = events.withColumn("last", last).select("*", F.get("stat_net_worths", "last").alias("own_net_worth_at_buy"), F.get("stat_times", "last").alias("state_observed_at_s")).drop("last", "stat_times", "stat_net_worths")
+        valid = known.join(F.broadcast(self.item_assets), "item_id")  # the catalogue
         player = Window.partitionBy(*APPEARANCE)
         return self._kept(
             valid.select(
@@ -161,9 +167,18 @@ class Tables:
     def first_purchases(self) -> DataFrame:
         """First ownerships with their fold, phase, both teams' last known state, and what the player had spent before that second."""
         firsts = self.purchases.where("item_purchase_ordinal = 1").join(self.match_folds, "match_id").withColumn("phase", phase_of(F.col("buy_time")))
-        pick = {"own_": F.col("team_id"), "enemy_": 1 - F.col("team_id")}
-        both = asof_join_sides(firsts, self.team_snapshots, ["match_id"], "team_id", (0, 1), "buy_time", "stat_time", ["team_net_worth", "observed_players"], pick)
-        both = both.withColumnsRenamed({"own_observed_players": "own_team_observed_players", "enemy_observed_players": "enemy_team_observed_players"})
+        # Both teams' last known states between one snapshot of the match and the next. A match has as many as its telemetry, so purchases are joined by match where they are, with the time as a condition.
+        time, order = F.col("stat_time"), Window.partitionBy("match_id").orderBy("stat_time")
+        state = F.struct("team_net_worth", "observed_players")
+        spans = self.team_snapshots.where(time.isNotNull()).groupBy("match_id", "stat_time").agg(*[F.max(F.when(F.col("team_id") == k, state)).alias(f"now_{k}") for k in (0, 1)])
+        spans = spans.select("match_id", time.alias("since"), F.lead("stat_time").over(order).alias("until"), *[F.last(f"now_{k}", ignorenulls=True).over(order).alias(f"state_{k}") for k in (0, 1)])
+        at = (F.col("buy_time") >= F.col("since")) & (F.col("until").isNull() | (F.col("buy_time") < F.col("until")))
+        met = firsts.alias("f").join(spans.alias("s"), (F.col("f.match_id") == F.col("s.match_id")) & at, "left")
+
+        def side(first: int, column: str) -> Column:
+            return F.when(F.col("f.team_id") == 0, F.col(f"s.state_{first}.{column}")).otherwise(F.col(f"s.state_{1 - first}.{column}"))
+
+        both = met.select("f.*", *[side(k, c).alias(f"{name}_{alias}") for k, name in ((0, "own"), (1, "enemy")) for c, alias in (("team_net_worth", "team_net_worth"), ("observed_players", "team_observed_players"))])
         earlier = Window.partitionBy(*APPEARANCE).orderBy("buy_time").rangeBetween(Window.unboundedPreceding, -1)
         return self._kept(
             both.select(
