@@ -193,11 +193,13 @@ def state_coverage(t: Tables) -> DataFrame:
 
 def faced(t: Tables, scope: str) -> DataFrame:
     """Decisions by the enemy heroes faced: all of the other team, or those of the same lane."""
-    decisions = t.decision_opportunities.select("match_id", (1 - F.col("team_id")).alias("team_id"), "assigned_lane", "fold", *CELL, "item_id", won().alias("win"))
-    if scope == "whole_enemy_team":
-        return decisions.join(t.compositions, ["match_id", "team_id"]).withColumn("enemy_hero_id", F.explode("hero_ids")).drop("hero_ids")
-    enemies = t.player_matches.select("match_id", "team_id", "assigned_lane", F.col("hero_id").alias("enemy_hero_id"))
-    return decisions.join(enemies, ["match_id", "team_id", "assigned_lane"])
+    decisions = t.decision_opportunities.select("match_id", "team_id", "assigned_lane", "fold", *CELL, "item_id", won().alias("win"))
+    enemies = t.player_matches.where("hero_id IS NOT NULL").select("match_id", "team_id", "assigned_lane", F.col("hero_id").alias("enemy_hero_id"))
+    # Keyed by match alone, as decisions are dealt already; side and lane are conditions over the match's twelve players.
+    faced_by = (F.col("d.match_id") == F.col("e.match_id")) & (F.col("d.team_id") + F.col("e.team_id") == 1)
+    if scope != "whole_enemy_team":
+        faced_by &= F.col("d.assigned_lane") - F.col("e.assigned_lane") == 0
+    return decisions.alias("d").join(enemies.alias("e"), faced_by).select("d.fold", *[f"d.{c}" for c in CELL], "d.item_id", "d.win", "e.enemy_hero_id")
 
 
 def matchup_cells(t: Tables, scope: str, by: Sequence[str] = (), support: int = MATCHUP_SUPPORT) -> DataFrame:
