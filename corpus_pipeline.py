@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import lines, mixing, neardup, packing, quality
+from skirmish.llm import lines, mixing, neardup, packing, quality, simhash
 from skirmish.llm.common import durable, fresh, release, table, written
 
 #: The stages use MD5, XXH64 fingerprints, a trained model and a tokenizer: SQL can't express them.
@@ -41,8 +41,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6 on shingles of five words at a similarity of 0.8: of the documents that are connected, one stays. Exact, so its index is over shingles; see ``neardup``."""
-    return neardup.keep_one(docs, neardup.similar_components(docs, words=5, similarity=0.8))
+    """Operator 6, then an exact pass: documents whose fingerprints link are connected, as are those whose five-word shingles reach a similarity of 0.8, which fingerprints lose on short texts. Of the documents that are connected, directly or over others, one stays."""
+    mark = written()
+    linked = durable(simhash.linked_texts(docs), "linked")
+    release(spark, mark, keep=1)
+    return neardup.keep_one(docs, neardup.similar_components(docs, words=5, similarity=0.8, linked=linked))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

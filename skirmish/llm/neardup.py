@@ -250,11 +250,21 @@ def _key(text_hash: F.Column) -> F.Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text_hash.alias("text_hash"))
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _seeded(nodes: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, label): the components of the nodes by what ``linked`` (text_hash, root) links, as a written table."""
+    texts = durable(rows.groupBy("text_hash").agg(F.first("node").alias("node")).join(linked, "text_hash").select("node", "root").distinct(), "rooted-nodes")
+    heads = texts.groupBy("root").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("root", "head")
+    links = join_spread(texts, durable(heads, "heads"), ["root"]).where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    found = components(durable(links, "links"))
+    return durable(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, linked: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_hash, root): rows whose word shingles have this Jaccard similarity, directly or over others, have one ``root``; all others have their own.
 
     Words are what ASCII white space separates, A-Z lower-cased; a text of fewer than ``words`` words is one shingle, and texts without any, null included, have one root.
-    ``doc_id`` and ``text`` are read, so no other column can clash. Equal to comparing all pairs; see the module for the method.
+    ``doc_id`` and ``text`` are read, so no other column can clash. Equal to comparing all pairs; see the module for the method. ``linked`` (text_hash, root), a written table: texts
+    with one ``root`` are linked from the start, and pairs that this connects aren't compared again.
     """
     found = durable(_sets(docs, words), "sets")
     rows = found.where("node IS NOT NULL").select("doc_id", "text_hash", "node", "n", "sketch")
@@ -268,8 +278,12 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     stars = durable(can_be(durable(star, "stars"), nodes, similarity), "possible-stars")
     best = durable(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "best")
     sets = _sets_of(docs, nodes, stars, words)
-    linked = components(durable(similar(best, sets, similarity), "links"))
-    labels = durable(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    if linked is None:
+        found = components(durable(similar(best, sets, similarity), "links"))
+        labels = durable(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    else:
+        seeded = _seeded(nodes, rows, linked)
+        labels = merged(seeded, durable(similar(_apart(best, best.limit(0), seeded), sets, similarity), "links"))
     labels = merged(labels, durable(similar(_apart(stars, best, labels), sets, similarity), "links"))
     pairs = durable(can_be(durable(differing(listed, labels, nodes, similarity), "differing"), nodes, similarity), "pairs")
     sets = _sets_of(docs, nodes, pairs, words)

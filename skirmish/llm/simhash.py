@@ -173,10 +173,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     ``component_id`` is the smallest ``doc_id`` that links reach from the row; null if all ids there are null. Other columns aren't read, so none can clash.
     Repeated rows and texts without words have equal fingerprints and so are linked.
     """
-    rows = durable(fingerprints(docs, words), "fingerprints")
-    fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    labels = components(edges(fps, max_bits))
-    rooted = durable(fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("root")), "rooted")
+    rows, rooted = _rooted(docs, words, max_bits)
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     ids = durable(join_spread(rooted, least, ["root"]).select("fp", "component_id"), "components")
     return join_spread(rows, ids, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _rooted(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of all rows and (fp, id, root) of the distinct fingerprints, ``root`` being one fingerprint of each component, as written tables."""
+    rows = durable(fingerprints(docs, words), "fingerprints")
+    fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    labels = components(edges(fps, max_bits))
+    return rows, durable(fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("root")), "rooted")
+
+
+def linked_texts(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """(text_hash, root): each distinct text with its component, as :func:`near_duplicates` links them."""
+    rows, rooted = _rooted(docs, words, max_bits)
+    texts = durable(rows.groupBy("text_hash").agg(F.first("fp").alias("fp")), "texts")  # equal texts, equal fingerprints
+    return join_spread(texts, rooted.select("fp", "root"), ["fp"]).select("text_hash", "root")
