@@ -192,11 +192,24 @@ def refitted(expected: np.ndarray, log_p: np.ndarray, weight: float = WEIGHT) ->
     return np.log(counts / counts.sum())
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of each row of numbers, all first bytes before all second ones and so on: bytes that hardly differ stand together, so Spark's compression of rows finds them."""
+    (rows, n), size = values.shape, values.dtype.itemsize
+    return np.ascontiguousarray(values).view(np.uint8).reshape(rows, n, size).swapaxes(1, 2).reshape(rows, n * size)
+
+
+def unplaned(data: bytes, kind: type, rows: int = 1) -> np.ndarray:
+    """What :func:`planes` made of ``rows`` rows of numbers of this kind."""
+    size = np.dtype(kind).itemsize
+    n = len(data) // max(1, rows * size)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(rows, size, n).swapaxes(1, 2)).reshape(rows, n * size).view(kind)
+
+
 BLOCK_SCHEMA = "block long, doc_id long, held_out boolean, n_tokens long, places binary, counts binary, part long, words array<string>, train_counts array<array<long>>"
 
 
 def blocks(docs: DataFrame, held_out: F.Column, classes: list[str], n_classes: int) -> DataFrame:
-    """Texts packed into blocks: a row for each text (the words' places in the block's dictionary and how often), and rows with the dictionary
+    """Texts packed into blocks: a row for each text (the steps between the words' places in the block's dictionary and how often, as :func:`planes`), and rows with the dictionary
     and the words' training counts in each class. Words are lower-cased (A-Z) and separated by ASCII white space."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -226,7 +239,7 @@ def blocks(docs: DataFrame, held_out: F.Column, classes: list[str], n_classes: i
                     totals = np.concatenate((totals, np.zeros((len(place) + 1024 - len(totals) // 2, totals.shape[1]), np.int64)))
                 if not held:
                     totals[found, kind] += n
-                rows.append((number, doc, held, len(tokens) + 1, found.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), None, None, None))
+                rows.append((number, doc, held, len(tokens) + 1, planes(np.diff(found.astype(np.int32), prepend=np.int32(0))[None]).tobytes(), planes(n.astype(np.int32)[None]).tobytes(), None, None, None))
                 size += len(text)
                 if size >= BLOCK:
                     yield record(rows)
@@ -268,7 +281,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table
 
 def _map_words(words: DataFrame, lattice: Lattice, log_ps: list[np.ndarray], value: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Each class's expected counts of pieces over its training words; or, with ``value``, the words with their count and what that
-    function makes of (words x classes) counts and log probabilities. All in one pass, so a task has one Python worker."""
+    function makes of (words x classes) counts and log probabilities, as :func:`planes`. All in one pass, so a task has one Python worker."""
     sent = words.sparkSession.sparkContext.broadcast((lattice.pieces, log_ps))  # bounded by vocabulary and classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,14 +296,13 @@ def _map_words(words: DataFrame, lattice: Lattice, log_ps: list[np.ndarray], val
                     mine.log_probabilities([listed[k] for k in np.flatnonzero(counts[:, z])], [log_p], expected[z])
             else:
                 found = value(counts, mine.log_probabilities(listed, log_ps).T)
-                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
-                yield from pa.table([batch.column("word"), pa.array(counts.sum(axis=1)), lists], ["word", "n", "lm"]).to_batches()
+                yield from pa.table([batch.column("word"), pa.array(counts.sum(axis=1)), pa.array([x.tobytes() for x in planes(found)], pa.binary())], ["word", "n", "lm"]).to_batches()
         if value is None:
             for z, n in enumerate(expected):
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), z)), pa.array(at), pa.array(n[at])], ["class", "piece", "n"])
 
-    return words.mapInArrow(run, "class long, piece long, n double" if value is None else "word string, n long, lm array<double>")
+    return words.mapInArrow(run, "class long, piece long, n double" if value is None else "word string, n long, lm binary")
 
 
 def fit_lattices(words: DataFrame, lattice: Lattice, n_classes: int, rounds: int = ROUNDS) -> list[np.ndarray]:
@@ -370,13 +382,13 @@ def score_documents(docs: DataFrame, held_out: F.Column, vocabulary: str = VOCAB
         size = int(place.max(initial=-1)) + 1
         count, lm = np.zeros(size), np.zeros((size, k))
         count[place] = right.column("n").to_numpy()
-        lm[place] = right.column("lm").combine_chunks().flatten().to_numpy().reshape(-1, k)
+        lm[place] = unplaned(b"".join(right.column("lm").to_pylist()), np.float64, right.num_rows).reshape(-1, k)
         known, base = count > 0, np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         out = np.zeros((left.num_rows, 3))
         with np.errstate(divide="ignore"):
             log_prior, log_end = np.log10(prior), np.log10(spread @ end)
         for row, (where, counts) in enumerate(zip(left.column("places").to_pylist(), left.column("counts").to_pylist(), strict=True)):
-            at, times = np.frombuffer(where, np.int32), np.frombuffer(counts, np.int32)
+            at, times = np.cumsum(unplaned(where, np.int32)[0]), unplaned(counts, np.int32)[0]
             out[row] = times @ known[at], times @ base[at], document_log10(lm[at], times, log_end, log_prior)
         end_base = np.log10((ends.sum() + 0.5) / (n + 0.5 * (v + 1)))
         return pa.table(

@@ -224,6 +224,26 @@ def test_long_unseen_words_keep_their_lattice_probability(spark):
     assert one < -310 and two - one < -100 and abs((four - two) / (two - one) - 2) < 0.1
 
 
+def test_planes_give_the_numbers_back_in_fewer_bytes():
+    rng = np.random.default_rng(1)
+    places, times = np.sort(rng.choice(500_000, 300, replace=False)).astype(np.int32), rng.poisson(0.2, 300).astype(np.int32) + 1
+    steps = latticelm.planes(np.diff(places, prepend=np.int32(0))[None]).tobytes()
+    assert (np.cumsum(latticelm.unplaned(steps, np.int32)[0]) == places).all()
+    assert len(zlib.compress(steps, 1)) < 0.8 * len(zlib.compress(places.tobytes(), 1))
+    assert len(zlib.compress(latticelm.planes(times[None]).tobytes(), 1)) < len(zlib.compress(times.tobytes(), 1))
+    for shape in ((3, 8), (1, 1), (0, 0), (2, 0)):
+        values = rng.normal(size=shape)
+        assert (latticelm.unplaned(latticelm.planes(values).tobytes(), np.float64, shape[0]) == values).all()
+
+
+def test_texts_are_stored_as_planes(spark):
+    words = [f"w{k}" for k in range(3000)]
+    docs = frame(spark, [(1, " ".join(words), "en", "a", 0), (2, " ".join(words[::7] + words[:2]), "en", "a", 0)]).coalesce(1)
+    got = {r["doc_id"]: r for r in latticelm.blocks(docs, F.lit(False), ["en"], 1).where("words IS NULL").collect()}
+    assert (latticelm.unplaned(got[1]["places"], np.int32)[0] == [0] + [1] * 2999).all()
+    assert latticelm.unplaned(got[2]["counts"], np.int32).sum() == len(words[::7]) + 2
+
+
 # -- 3: quality ------------------------------------------------------------------------------------------------------------
 
 
