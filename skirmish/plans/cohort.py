@@ -137,67 +137,85 @@ class Tables:
         seen = self._admitted_players.select("match_id", "team_id", F.inline(zipped))
         return self._kept(seen.groupBy("match_id", "team_id", "stat_time").agg(F.sum("worth").cast("long").alias("team_net_worth"), F.count("*").alias("observed_players")))
 
+    def _described(self, bought: DataFrame) -> DataFrame:
+        """Purchases with the catalogue's columns. These aren't kept with the rows, so no sort, shuffle or persisted table carries them."""
+        return bought.join(F.broadcast(self.item_assets), "item_id")  # the catalogue
+
     @cached_property
-    def purchases(self) -> DataFrame:
-        """One row a purchase. Event ties of one second are ordered by item, then sale and imbued ability; rows equal in all of these have no order of their own, so an item's ordinals follow the order of events."""
-        shown = [c for c in self.player_matches.columns if c not in ("final_net_worth", "calibration")]
-        held = [*shown, F.col("net_worth").alias("final_net_worth"), (F.coalesce("calibration_games", F.lit(0)) > 0).alias("calibration"), F.col("seen.time").alias("stat_times"), F.col("seen.value").alias("stat_net_worths")]
-        observed = self._admitted_players.withColumn("seen", F.filter(F.arrays_zip(F.col("stat_times").alias("time"), F.col("stat_net_worths").alias("value")), lambda x: x["time"].isNotNull()))
+    def _purchases(self) -> DataFrame:
+        """:attr:`purchases` without the catalogue's columns, with what the player had spent and bought for the first time before that second.
+
+        All windows are by player, over two sorts of rows: one by item, for the ordinals, and one by time, for all the rest.
+        """
         if self._events is None:
             zipped = F.arrays_zip(F.col("item_ids").alias("item_id"), F.col("item_times").alias("buy_time"), F.col("item_sold_times").alias("sold_time"), F.col("item_imbued").alias("imbued_ability_id"))
-            events = observed.select(*held, F.inline(zipped)).where("buy_time > 0")
+            events = self._admitted_players.select(*APPEARANCE, F.inline(zipped))
         else:
-            # Dealt by match alone, a player's slot being a condition and not a key: all that follows is by match, so purchases are shuffled this once.
-            players = observed.select(*held).withColumnRenamed("player_slot", "slot")
-            same = F.col("e.match_id") == F.col("p.match_id"), F.col("e.player_slot").between(F.col("p.slot"), F.col("p.slot"))
-            events = self._events.where("buy_time > 0").alias("e").join(players.alias("p"), same[0] & same[1]).select("e.*", *[f"p.{c}" for c in players.columns if c not in ("match_id", "slot")])
-        last = F.size(F.filter("stat_times", lambda x: x <= F.col("buy_time"))) - 1  # the times are sorted and known
-        known = events.withColumn("last", last).select("*", F.get("stat_net_worths", "last").alias("own_net_worth_at_buy"), F.get("stat_times", "last").alias("state_observed_at_s")).drop("last", "stat_times", "stat_net_worths")
-        valid = known.join(F.broadcast(self.item_assets), "item_id")  # the catalogue
+            events = self._events.select(*APPEARANCE, "item_id", "buy_time", "sold_time", "imbued_ability_id")
+        # Dealt by match alone, so purchases are shuffled this once. Windows come before the players' columns, which would make the sorted rows three times as wide; a player counts wholly or not at all.
+        valid = events.where("buy_time > 0").join(F.broadcast(self.item_assets.select("item_id", "cost")), "item_id").repartition("match_id")  # the catalogue
         player = Window.partitionBy(*APPEARANCE)
-        return self._kept(
-            valid.select(
-                "*",
-                F.row_number().over(player.orderBy("buy_time", "item_id", "sold_time", "imbued_ability_id")).cast("long").alias("event_order"),
-                F.count("*").over(Window.partitionBy(*APPEARANCE, "buy_time")).alias("same_second_purchase_count"),
-            ).withColumn("item_purchase_ordinal", F.row_number().over(Window.partitionBy(*APPEARANCE, "item_id").orderBy("event_order")).cast("long"))
-        )
+        same_item = Window.partitionBy(*APPEARANCE, "item_id").orderBy("buy_time", "sold_time", "imbued_ability_id")
+        numbered = valid.withColumn("item_purchase_ordinal", F.row_number().over(same_item).cast("long"))
+        ordered = numbered.withColumn("event_order", F.row_number().over(player.orderBy("buy_time", "item_id", "sold_time", "imbued_ability_id", "item_purchase_ordinal")).cast("long"))
+        earlier, first = player.orderBy("buy_time").rangeBetween(Window.unboundedPreceding, -1), F.col("item_purchase_ordinal") == 1
+        counted = ordered.select(
+            "*",
+            F.count("*").over(Window.partitionBy(*APPEARANCE, "buy_time")).alias("same_second_purchase_count"),
+            F.sum(F.when(first, F.col("cost"))).over(earlier).alias("prior_catalog_spend"),
+            F.count_if(first).over(earlier).alias("prior_purchase_count"),
+        ).drop("cost")
+        shown = [c for c in self.player_matches.columns if c not in ("final_net_worth", "calibration")]
+        held = [*shown, F.col("net_worth").alias("final_net_worth"), (F.coalesce("calibration_games", F.lit(0)) > 0).alias("calibration"), F.col("seen.time").alias("stat_times"), F.col("seen.value").alias("stat_net_worths")]
+        observed = self._admitted_players.withColumn("seen", F.filter(F.arrays_zip(F.col("stat_times").alias("time"), F.col("stat_net_worths").alias("value")), lambda x: x["time"].isNotNull()))
+        players = observed.select(*held).withColumnRenamed("player_slot", "slot")
+        # By match too, a player's slot being a condition and not a key.
+        same = F.col("e.match_id") == F.col("p.match_id"), F.col("e.player_slot").between(F.col("p.slot"), F.col("p.slot"))
+        met = counted.alias("e").join(players.alias("p"), same[0] & same[1]).select("e.*", *[f"p.{c}" for c in players.columns if c not in ("match_id", "slot")])
+        last = F.size(F.filter("stat_times", lambda x: x <= F.col("buy_time"))) - 1  # the times are sorted and known
+        known = met.withColumn("last", last).select("*", F.get("stat_net_worths", "last").alias("own_net_worth_at_buy"), F.get("stat_times", "last").alias("state_observed_at_s"))
+        return self._kept(known.drop("last", "stat_times", "stat_net_worths"))
 
     @cached_property
-    def first_purchases(self) -> DataFrame:
-        """First ownerships with their fold, phase, both teams' last known state, and what the player had spent before that second."""
-        firsts = self.purchases.where("item_purchase_ordinal = 1").join(self.match_folds, "match_id").withColumn("phase", phase_of(F.col("buy_time")))
-        # Both teams' last known states between one snapshot of the match and the next. A match has as many as its telemetry, so purchases are joined by match where they are, with the time as a condition.
-        time, order = F.col("stat_time"), Window.partitionBy("match_id").orderBy("stat_time")
-        state = F.struct("team_net_worth", "observed_players")
-        spans = self.team_snapshots.where(time.isNotNull()).groupBy("match_id", "stat_time").agg(*[F.max(F.when(F.col("team_id") == k, state)).alias(f"now_{k}") for k in (0, 1)])
-        spans = spans.select("match_id", time.alias("since"), F.lead("stat_time").over(order).alias("until"), *[F.last(f"now_{k}", ignorenulls=True).over(order).alias(f"state_{k}") for k in (0, 1)])
+    def purchases(self) -> DataFrame:
+        """One row a purchase. Event ties of one second are ordered by item, then sale and imbued ability; rows equal in all of these have no order of their own, so an item's ordinals and the order of events go together."""
+        return self._described(self._purchases.drop("prior_catalog_spend", "prior_purchase_count"))
+
+    @cached_property
+    def _first_purchases(self) -> DataFrame:
+        """:attr:`first_purchases` without the catalogue's columns."""
+        firsts = self._purchases.where("item_purchase_ordinal = 1").join(self.match_folds.hint("shuffle_hash"), "match_id").withColumn("phase", phase_of(F.col("buy_time")))
+        # Both teams' last known states between one snapshot of the match and the next. A match has as many as its telemetry, so purchases are joined by match where they are, with the time as a condition;
+        # snapshots are the smaller side, which is hashed, so purchases aren't sorted for it. Numbers are aggregated one by one: a maximum of structs would need sorts.
+        time, order, fields = F.col("stat_time"), Window.partitionBy("match_id").orderBy("stat_time"), ("team_net_worth", "observed_players")
+        dealt = self.team_snapshots.where(time.isNotNull()).repartition("match_id")
+        spans = dealt.groupBy("match_id", "stat_time").agg(*[F.max(F.when(F.col("team_id") == k, F.col(c))).alias(f"{c}_{k}") for k in (0, 1) for c in fields])
+        now = [F.when(F.col(f"observed_players_{k}").isNotNull(), F.struct(*[F.col(f"{c}_{k}").alias(c) for c in fields])) for k in (0, 1)]
+        spans = spans.select("match_id", time.alias("since"), F.lead("stat_time").over(order).alias("until"), *[F.last(x, ignorenulls=True).over(order).alias(f"state_{k}") for k, x in enumerate(now)])
         at = (F.col("buy_time") >= F.col("since")) & (F.col("until").isNull() | (F.col("buy_time") < F.col("until")))
-        met = firsts.alias("f").join(spans.alias("s"), (F.col("f.match_id") == F.col("s.match_id")) & at, "left")
+        met = firsts.alias("f").join(spans.hint("shuffle_hash").alias("s"), (F.col("f.match_id") == F.col("s.match_id")) & at, "left")
 
         def side(first: int, column: str) -> Column:
             return F.when(F.col("f.team_id") == 0, F.col(f"s.state_{first}.{column}")).otherwise(F.col(f"s.state_{1 - first}.{column}"))
 
         both = met.select("f.*", *[side(k, c).alias(f"{name}_{alias}") for k, name in ((0, "own"), (1, "enemy")) for c, alias in (("team_net_worth", "team_net_worth"), ("observed_players", "team_observed_players"))])
-        earlier = Window.partitionBy(*APPEARANCE).orderBy("buy_time").rangeBetween(Window.unboundedPreceding, -1)
-        return self._kept(
-            both.select(
-                "*",
-                (F.col("own_team_net_worth") - F.col("enemy_team_net_worth")).alias("team_net_worth_lead"),
-                (F.col("buy_time") - F.col("state_observed_at_s")).alias("state_age_s"),
-                F.sum("cost").over(earlier).alias("prior_catalog_spend"),
-                F.count("*").over(earlier).alias("prior_purchase_count"),
-            )
-        )
+        return self._kept(both.select("*", (F.col("own_team_net_worth") - F.col("enemy_team_net_worth")).alias("team_net_worth_lead"), (F.col("buy_time") - F.col("state_observed_at_s")).alias("state_age_s")))
+
+    @cached_property
+    def first_purchases(self) -> DataFrame:
+        """First ownerships with their fold, phase, both teams' last known state, and what the player had spent before that second."""
+        return self._described(self._first_purchases)
 
     @cached_property
     def decision_opportunities(self) -> DataFrame:
         """The first purchase of each player, phase and tier that shares its second with no other, with the choices it had."""
         order = Window.partitionBy(*APPEARANCE, "phase", "tier").orderBy("buy_time", "item_id")
-        realized = self.first_purchases.where("same_second_purchase_count = 1").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+        tiers = F.broadcast(self.item_assets.select("item_id", "tier"))  # the catalogue
+        realized = self._first_purchases.where("same_second_purchase_count = 1").join(tiers, "item_id").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
         slates = self.item_assets.groupBy("tier").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
         slates = slates.select("tier", F.to_json(F.struct("item_ids", F.lit(True).alias("includes_save"))).alias("candidate_slate_json"))
-        return self._kept(realized.join(F.broadcast(slates), "tier").withColumns({"realized_action": F.col("item_id").cast("string"), "save_action_observed": F.lit(False)}))  # a row a tier
+        kept = self._kept(realized)
+        return self._described(kept.drop("tier")).join(F.broadcast(slates), "tier").withColumns({"realized_action": F.col("item_id").cast("string"), "save_action_observed": F.lit(False)})  # a row a tier
 
 
 def banded(decisions: DataFrame) -> DataFrame:
