@@ -5,7 +5,7 @@ words, the pair of equal words as such, and character n-grams within words. A so
 gradient descent in numpy.
 
 Training takes a bounded sample: of each class, the ``per_class`` labelled ids with the smallest hashes, with whole texts and all their
-features. So it fits on the driver at any size of the corpus: at most ``2 * per_class`` rows of at most ``buckets`` features of 8 bytes.
+features, in one task: at most ``2 * per_class`` rows of at most ``buckets`` features of 8 bytes at any size of the corpus. The driver gets the scores of the buckets only.
 An id that several rows have counts once, with the row whose features come first in order.
 """
 
@@ -126,9 +126,23 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, buckets: int = BUCKETS) -> QualityModel:
     """Learn from ``text`` of ``docs`` and ``label`` of ``labels``, joined by ``doc_id``."""
-    got = sample_features(training_sample(docs, labels, label, per_class), buckets).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["y"]))
-    return train([(r["y"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got], buckets)
+    found = fitted(sample_features(training_sample(docs, labels, label, per_class), buckets), buckets).first()
+    return train([], buckets) if found is None else QualityModel(np.frombuffer(found["scores"], np.float32), found["prior"])
+
+
+def fitted(sample: DataFrame, buckets: int) -> DataFrame:
+    """(scores, prior): the model of a sample's features, which are bounded, trained in one task in the order of ids; no row for no sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for y, ids, shares in zip(*[batch.column(c).to_pylist() for c in ("y", "ids", "shares")], strict=True):
+                rows.append((y, np.frombuffer(ids, np.int32), np.frombuffer(shares, np.float32)))
+        if rows:
+            model = train(rows, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()]), pa.array([model.prior], pa.float64())], ["scores", "prior"])
+
+    return sample.repartition(1).sortWithinPartitions("doc_id", "y").mapInArrow(run, "scores binary, prior double")
 
 
 def log_odds(model: QualityModel, texts: list[str]) -> np.ndarray:

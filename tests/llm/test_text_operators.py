@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -266,6 +267,23 @@ def test_quality_of_odd_rows(odd_extra, empty, spark, docs):
     assert all(r["predicted"] == 1 for r in rows(quality.score(odd_extra.drop("Predicted"), one_class)))
 
 
+def test_quality_is_trained_in_a_task(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.sample_features(quality.training_sample(docs, labels, "quality", 20), 1 << 10).collect()
+    got.sort(key=lambda r: (r["doc_id"], r["y"]))
+    want = quality.train([(r["y"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got], 1 << 10)
+    assert len(got) > 10
+    plain = quality.train
+
+    def in_a_task(*args):
+        assert TaskContext.get() is not None
+        return plain(*args)
+
+    monkeypatch.setattr(quality, "train", in_a_task)
+    model = quality.fit(docs, labels, per_class=20, buckets=1 << 10)
+    assert (model.scores == want.scores).all() and model.prior == want.prior
+
+
 def test_a_labelled_id_on_many_rows_counts_once(spark):
     docs = frame(spark, [(1, f"good words {k}", "en", "a", 0) for k in range(500)] + [(2, "bad bad bad", "en", "a", 0)])
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
