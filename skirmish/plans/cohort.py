@@ -101,7 +101,7 @@ class Tables:
     @cached_property
     def _admitted_players(self) -> DataFrame:
         """Source rows of admitted matches, dealt by match once; the windows and joins below keep to that partitioning."""
-        return self.source.join(self.eligible_matches, "match_id").withColumn("team_id", F.when(F.col("team") == "Team0", 0).otherwise(1))
+        return self.source.join(self.eligible_matches.hint("shuffle_hash"), "match_id").withColumn("team_id", F.when(F.col("team") == "Team0", 0).otherwise(1))
 
     @cached_property
     def player_matches(self) -> DataFrame:
@@ -142,21 +142,44 @@ class Tables:
         return bought.join(F.broadcast(self.item_assets), "item_id")  # the catalogue
 
     @cached_property
-    def _purchases(self) -> DataFrame:
-        """:attr:`purchases` without the catalogue's columns, with what the player had spent and bought for the first time before that second.
-
-        All windows are by player, over two sorts of rows: one by item, for the ordinals, and one by time, for all the rest.
-        """
+    def _events_by_match(self) -> DataFrame:
+        """Purchases of the catalogue's items, dealt by match alone, so they are shuffled this once; a player counts wholly or not at all."""
         if self._events is None:
             zipped = F.arrays_zip(F.col("item_ids").alias("item_id"), F.col("item_times").alias("buy_time"), F.col("item_sold_times").alias("sold_time"), F.col("item_imbued").alias("imbued_ability_id"))
             events = self._admitted_players.select(*APPEARANCE, F.inline(zipped))
         else:
             events = self._events.select(*APPEARANCE, "item_id", "buy_time", "sold_time", "imbued_ability_id")
-        # Dealt by match alone, so purchases are shuffled this once. Windows come before the players' columns, which would make the sorted rows three times as wide; a player counts wholly or not at all.
-        valid = events.where("buy_time > 0").join(F.broadcast(self.item_assets.select("item_id", "cost")), "item_id").repartition("match_id")  # the catalogue
+        return events.where("buy_time > 0").join(F.broadcast(self.item_assets.select("item_id", "cost")), "item_id").repartition("match_id")  # the catalogue
+
+    def _observed(self, events: DataFrame, hint: str | None = None) -> DataFrame:
+        """``events``, dealt by match, with their players' columns and last known net worth; ``hint``: how to join the players."""
+        shown = [c for c in self.player_matches.columns if c not in ("final_net_worth", "calibration")]
+        held = [*shown, F.col("net_worth").alias("final_net_worth"), (F.coalesce("calibration_games", F.lit(0)) > 0).alias("calibration"), F.col("seen.time").alias("stat_times"), F.col("seen.value").alias("stat_net_worths")]
+        observed = self._admitted_players.withColumn("seen", F.filter(F.arrays_zip(F.col("stat_times").alias("time"), F.col("stat_net_worths").alias("value")), lambda x: x["time"].isNotNull()))
+        players = observed.select(*held).withColumnRenamed("player_slot", "slot")
+        right = players.hint(hint) if hint else players
+        # By match too, a player's slot being a condition and not a key.
+        same = F.col("e.match_id") == F.col("p.match_id"), F.col("e.player_slot").between(F.col("p.slot"), F.col("p.slot"))
+        met = events.alias("e").join(right.alias("p"), same[0] & same[1]).select("e.*", *[f"p.{c}" for c in players.columns if c not in ("match_id", "slot")])
+        last = F.size(F.filter("stat_times", lambda x: x <= F.col("buy_time"))) - 1  # the times are sorted and known
+        known = met.withColumn("last", last).select("*", F.get("stat_net_worths", "last").alias("own_net_worth_at_buy"), F.get("stat_times", "last").alias("state_observed_at_s"))
+        return known.drop("last", "stat_times", "stat_net_worths")
+
+    @cached_property
+    def bought(self) -> DataFrame:
+        """:attr:`purchases` without the catalogue's columns and what windows add (ordinals, the order of events, ties). Nothing of it is sorted or kept, so a reader that can do without those shuffles only the columns it names."""
+        return self._observed(self._events_by_match.drop("cost"), "shuffle_hash")
+
+    @cached_property
+    def _purchases(self) -> DataFrame:
+        """:attr:`purchases` without the catalogue's columns, with what the player had spent and bought for the first time before that second.
+
+        All windows are by player, over two sorts of rows: one by item, for the ordinals, and one by time, for all the rest.
+        They come before the players' columns, which would make the sorted rows three times as wide.
+        """
         player = Window.partitionBy(*APPEARANCE)
         same_item = Window.partitionBy(*APPEARANCE, "item_id").orderBy("buy_time", "sold_time", "imbued_ability_id")
-        numbered = valid.withColumn("item_purchase_ordinal", F.row_number().over(same_item).cast("long"))
+        numbered = self._events_by_match.withColumn("item_purchase_ordinal", F.row_number().over(same_item).cast("long"))
         ordered = numbered.withColumn("event_order", F.row_number().over(player.orderBy("buy_time", "item_id", "sold_time", "imbued_ability_id", "item_purchase_ordinal")).cast("long"))
         earlier, first = player.orderBy("buy_time").rangeBetween(Window.unboundedPreceding, -1), F.col("item_purchase_ordinal") == 1
         counted = ordered.select(
@@ -165,16 +188,7 @@ class Tables:
             F.sum(F.when(first, F.col("cost"))).over(earlier).alias("prior_catalog_spend"),
             F.count_if(first).over(earlier).alias("prior_purchase_count"),
         ).drop("cost")
-        shown = [c for c in self.player_matches.columns if c not in ("final_net_worth", "calibration")]
-        held = [*shown, F.col("net_worth").alias("final_net_worth"), (F.coalesce("calibration_games", F.lit(0)) > 0).alias("calibration"), F.col("seen.time").alias("stat_times"), F.col("seen.value").alias("stat_net_worths")]
-        observed = self._admitted_players.withColumn("seen", F.filter(F.arrays_zip(F.col("stat_times").alias("time"), F.col("stat_net_worths").alias("value")), lambda x: x["time"].isNotNull()))
-        players = observed.select(*held).withColumnRenamed("player_slot", "slot")
-        # By match too, a player's slot being a condition and not a key.
-        same = F.col("e.match_id") == F.col("p.match_id"), F.col("e.player_slot").between(F.col("p.slot"), F.col("p.slot"))
-        met = counted.alias("e").join(players.alias("p"), same[0] & same[1]).select("e.*", *[f"p.{c}" for c in players.columns if c not in ("match_id", "slot")])
-        last = F.size(F.filter("stat_times", lambda x: x <= F.col("buy_time"))) - 1  # the times are sorted and known
-        known = met.withColumn("last", last).select("*", F.get("stat_net_worths", "last").alias("own_net_worth_at_buy"), F.get("stat_times", "last").alias("state_observed_at_s"))
-        return self._kept(known.drop("last", "stat_times", "stat_net_worths"))
+        return self._kept(self._observed(counted))
 
     @cached_property
     def purchases(self) -> DataFrame:

@@ -239,7 +239,7 @@ def monitoring(t: Tables) -> DataFrame:
 def net_worth_validity(t: Tables) -> DataFrame:
     """How purchase-time net worth would be judged if the opening minutes reported the final value, as a broken source does."""
     early = F.col("buy_time") < 180
-    raw = t.purchases.withColumns(
+    raw = t.bought.withColumns(
         {
             "net_worth": F.when(early & (F.col("item_id") % 3 == 0), F.col("final_net_worth")).otherwise(F.coalesce("own_net_worth_at_buy", F.lit(0)).cast("double")),
             "preceding_net_worth": F.when(early, F.col("buy_time") * 10.0), "preceding_time_s": F.when(early, F.col("buy_time") - F.col("item_id").cast("int") * 4),
