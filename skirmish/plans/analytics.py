@@ -71,6 +71,29 @@ def item_aggregates(t: Tables, folds: bool = False, members: DataFrame | None =
     )
 
 
+def item_outcomes(t: Tables, folds: bool = False) -> DataFrame:
+    """The columns of :func:`item_aggregates` that need no ordinals: adopters, wins, both rates and the median time of the first purchase. Its few rows are kept.
+
+    A first ownership is a player's earliest purchase of an item, and medians are taken over seconds with their counts: sums by hashed keys
+    over narrow rows, without a sort of purchases or a kept table of them.
+    """
+    return t.once("item_outcomes_by_fold" if folds else "item_outcomes", lambda: _item_outcomes(t, folds))
+
+
+def _item_outcomes(t: Tables, folds: bool) -> DataFrame:
+    key = ["fold", "hero_id"] if folds else ["hero_id"]
+    players, owned = t._admitted_players, t.bought.groupBy(*APPEARANCE, "hero_id", "item_id").agg(F.min("buy_time").alias("time"), F.max(won()).alias("win"))
+    if folds:
+        players, owned = (x.join(t.match_folds.hint("shuffle_hash"), "match_id") for x in (players, owned))
+    totals = players.groupBy(*key).agg(F.count("*").alias("hero_player_matches"))
+    seconds = owned.groupBy(*key, "item_id", "time").agg(F.count("*").alias("owners"), F.count("win").alias("known"), F.sum("win").alias("won"))
+    items = seconds.groupBy(*key, "item_id").agg(
+        F.sum("owners").alias("adopter_matches"), F.sum("won").alias("wins"), F.try_divide(F.sum("won"), F.sum("known")).alias("raw_outcome_rate"), F.percentile("time", F.lit(0.5), F.col("owners")).alias("median_buy_time_s")
+    )
+    tiers = F.broadcast(t.item_assets.select("item_id", "tier"))  # the catalogue
+    return items.where(F.col("adopter_matches") >= ITEM_SUPPORT).join(tiers, "item_id").join(totals, key).withColumn("adoption_rate", F.col("adopter_matches") / F.col("hero_player_matches"))
+
+
 def item_adoption(t: Tables) -> DataFrame:
     """Item aggregates with Wilson intervals: the flagship query."""
     low, high = stats.wilson(F.col("wins"), F.col("adopter_matches"))
@@ -79,7 +102,7 @@ def item_adoption(t: Tables) -> DataFrame:
 
 def rank_percentiles(t: Tables) -> DataFrame:
     """Place of each item within hero and tier by adoption, worst first."""
-    ranked = ranking.percentile_by_tier(item_aggregates(t), ["hero_id", "tier"], [F.col("adoption_rate"), F.col("adopter_matches"), F.desc("item_id")])
+    ranked = ranking.percentile_by_tier(item_outcomes(t), ["hero_id", "tier"], [F.col("adoption_rate"), F.col("adopter_matches"), F.desc("item_id")])
     return ranked.select(*ITEM, "percentile")
 
 

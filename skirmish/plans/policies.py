@@ -55,7 +55,7 @@ def _with(df: DataFrame, *doubles: str) -> T.StructType:
 
 def item_eb(t: Tables, folds: bool = False) -> DataFrame:
     """Item aggregates with empirical-Bayes means and 95 % intervals under a prior fitted to each hero and tier."""
-    base = a.item_aggregates(t, folds=folds)
+    base = a.item_outcomes(t, folds=folds)
     key = [*(["fold"] if folds else []), *GROUP]
     pooled = base.agg((F.sum("wins") / F.greatest(F.sum("adopter_matches"), F.lit(1))).alias("pooled_mean"))
     rows = base.select(*key, "item_id", "adopter_matches", "wins", "adoption_rate", "raw_outcome_rate", "median_buy_time_s").crossJoin(F.broadcast(pooled))  # one row
@@ -90,7 +90,7 @@ def state_adjusted(t: Tables) -> DataFrame:
 
 def bootstrap(t: Tables, repetitions: int = 500, seed: int = 7) -> DataFrame:
     """Binomial bootstrap intervals of the outcome rates of each tier's ten most adopted items, seeded by hero and item."""
-    top = ranking.top_k(a.item_aggregates(t), GROUP, [F.desc("adoption_rate"), F.col("item_id")], 10).select(*a.ITEM, "adopter_matches", "wins")
+    top = ranking.top_k(a.item_outcomes(t), GROUP, [F.desc("adoption_rate"), F.col("item_id")], 10).select(*a.ITEM, "adopter_matches", "wins")
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
         ends = []
