@@ -8,8 +8,12 @@ Each block is range-joined under its own share: a grid over the first ``GRID`` c
 its own cell, and also in those below it whose upper border is within reach, so a pair within reach meets in the cell of the smaller of both coordinates, once.
 A pair that is within the share in several blocks counts in the first of them. The cosine of each such pair is then worked out from the original vectors in double precision.
 
-Equal vectors of one label are one class with a multiplicity. A cell's classes are dealt into parts of ``PART``, and each pair of parts is a row of its own, so that a
-group of near copies is spread over tasks however large it is; of its links only sums and the edges of a spanning forest leave a task.
+Vectors don't travel to the cells: what does is a code of a byte for each component of the block and of the one after it. Codes that are apart by more than a pair within reach may be
+rule the pair out, whatever rounding did; who is left with no partner in a cell has no link there. Only for the rest, the candidates, vectors are sent, a row for each cell with a partner.
+Shuffled bytes so grow with the vectors, however many of them share a cell.
+
+Equal vectors of one label are one class with a multiplicity. The codes of a cell are dealt into parts of ``CODES`` and its candidates into parts of ``PART``, and each pair of parts is a row of
+its own, so that a group of near copies is spread over tasks however large it is; of its links only sums and the edges of a spanning forest leave a task.
 """
 
 from __future__ import annotations
@@ -25,8 +29,12 @@ from skirmish.llm.common import durable, join_spread, map_arrow
 from skirmish.llm.simhash import components
 
 SIMILARITY = 0.98
-BLOCK_DIMS, GRID, CELL = 8, 2, 4.0
-PART = 1024
+BLOCK_DIMS, GRID, CELL = 8, 3, 4.0
+PART, CODES = 4096, 1 << 15
+#: Steps of a code in a block's reach.
+FINE = 20
+#: Rows of vectors that meet at a time, and elements of a table of codes' distances.
+_SIDE, _TABLE = 1024, 1 << 21
 #: Pairs whose vectors a task holds at a time.
 _STEP = 1 << 14
 #: What rounding may add to a squared distance of unit vectors.
@@ -88,31 +96,126 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tupl
     return durable(rows.drop("vector"), "vectors"), durable(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
-def placed(found: DataFrame, similarity: float) -> DataFrame:
-    """(label, dim, block, cell, node, n, vector): each class in each of its cells, in every block."""
+def _in_cells(x: np.ndarray, number: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, moved) of turned rows in a block: each row in its own cell and those below; ``moved`` has a bit for each axis along which the cell is below the row's own."""
+    cell, below = cells(x, blocks(x.shape[1])[number], shares(x.shape[1], similarity)[number])
+    at, where, moved = np.arange(len(x)), cell, np.zeros(len(x), np.uint8)
+    for axis in range(cell.shape[1]):
+        more = np.flatnonzero(below[at, axis])
+        lower = where[more].copy()
+        lower[:, axis] -= 1
+        at, where, moved = np.concatenate([at, at[more]]), np.concatenate([where, lower]), np.concatenate([moved, moved[more] | np.uint8(1 << axis)])
+    return at, where, moved
+
+
+def codes(x: np.ndarray, similarity: float) -> np.ndarray:
+    """Turned rows in steps of ``1 / FINE`` of a block's reach. What lies outside a byte's range is brought to its border, which takes no two values further apart."""
+    reach = np.sqrt(np.repeat(shares(x.shape[1], similarity), [b.stop - b.start for b in blocks(x.shape[1])]))
+    return np.clip(np.rint(x / reach * FINE), -127, 127).astype(np.int8)
+
+
+def placed(found: DataFrame, similarity: float, parts: dict[tuple, int] | None = None) -> DataFrame:
+    """(label, dim, block, cell, size, low, high, part, nodes, codes): the classes of a batch that are in a cell, as one row, in every block; ``codes`` has for each the axes along which it was moved,
+    and its codes in the block and the next. A cell of ``parts`` has a row for each of its parts and each part that this meets. With ``parts`` null only sizes are filled in."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 rows = batch.filter(pa.array(dims == dim))
+                names = rows.column("label").dictionary_encode()
                 x = turned(unit(scaled(rows.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, dim))))
-                for number, (block, share) in enumerate(zip(blocks(x.shape[1]), shares(x.shape[1], similarity), strict=True)):
-                    cell, below = cells(x, block, share)
-                    at, where = np.arange(len(x)), cell
-                    for axis in range(cell.shape[1]):
-                        more = np.flatnonzero(below[at, axis])
-                        lower = where[more].copy()
-                        lower[:, axis] -= 1
-                        at, where = np.concatenate([at, at[more]]), np.concatenate([where, lower])
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, where.size + 1, where.shape[1]), pa.int32()), pa.array(where.ravel()))
-                    taken = rows.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([taken.column("label"), taken.column("dim"), pa.array(np.full(len(at), number, np.int32)), flat, *(taken.column(c) for c in ("node", "n", "vector"))], ["label", "dim", "block", "cell", "node", "n", "vector"])
+                label, node, code, split = names.indices.to_numpy(), rows.column("node").to_numpy(), codes(x, similarity), blocks(x.shape[1])
+                values = names.dictionary.to_pylist()
+                for number, block in enumerate(split):
+                    at, where, moved = _in_cells(x, number, similarity)
+                    order = np.lexsort((*where.T, label[at]))
+                    at, where, moved = at[order], where[order], moved[order]
+                    known = np.column_stack([label[at], where])
+                    begin = np.flatnonzero(np.append(True, (known[1:] != known[:-1]).any(axis=1)))
+                    whole = np.column_stack([moved, code[at][:, block].view(np.uint8), code[at][:, split[(number + 1) % len(split)]].view(np.uint8)])
+                    out = []
+                    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True):
+                        key = int(label[at[a]]), tuple(where[a].tolist())
+                        if parts is None:
+                            out.append((*key, b - a, None, None, None, None, None))
+                            continue
+                        n = parts.get((values[key[0]], dim, number, *key[1]), 1)
+                        part = node[at[a:b]] % n
+                        for k in range(n):
+                            own = a + np.flatnonzero(part == k)
+                            if len(own):
+                                packed = node[at[own]].tobytes(), whole[own].tobytes()
+                                out += [(*key, len(own), min(k, o), max(k, o), k, *packed) for o in range(n)]
+                    which, cell, *rest = zip(*out, strict=True)
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) * where.shape[1] + 1, where.shape[1]), pa.int32()), pa.array(np.array(cell, np.int32).ravel()))
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [names.dictionary.take(pa.array(which)), pa.array(np.full(len(out), dim, np.int32)), pa.array(np.full(len(out), number, np.int32)), flat, *(pa.array(v, t) for v, t in zip(rest, kinds, strict=True))],
+                        ["label", "dim", "block", "cell", "size", "low", "high", "part", "nodes", "codes"],
+                    )
+
+        return each
+
+    kind = found.schema["label"].dataType.simpleString()
+    return map_arrow(found.select("label", "dim", "node", "vector"), make, f"label {kind}, dim int, block int, cell array<int>, size long, low int, high int, part int, nodes binary, codes binary")
+
+
+def partners(one: np.ndarray, two: np.ndarray, dim: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of codes (moved axes, block, next block) have a partner among the others (``two`` is ``one``, if ``same``): a superset of those with a link that the cell is to find.
+
+    Rounding moves a difference by a step at most in each component, so codes of a pair within reach are apart by the reach's steps and the root of the components' number at most.
+    """
+    width = (one.shape[1] - 1) // 2
+    own, both = ((FINE * np.sqrt(share) * (1 + 1e-6) + np.sqrt(width)) ** 2 for share in (1, dim / width))
+    found = np.zeros(len(one), bool), np.zeros(len(one if same else two), bool)
+
+    def table(a: np.ndarray, b: np.ndarray, part: int) -> np.ndarray:
+        """Squared distances, exact in single precision: whole numbers below 2^24."""
+        a, b = (v[:, 1 + part * width : 1 + (part + 1) * width].view(np.int8).astype(np.float32) for v in (a, b))
+        return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
+
+    side = max(1, _TABLE // max(1, len(two)))
+    for at in range(0, len(one), side):
+        x, first = one[at : at + side], at if same else 0
+        y = two[first:]
+        near = table(x, y, 0) <= own
+        if same:
+            near[np.arange(len(x)), np.arange(len(x))] = False
+        i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if len(i):
+            ok = near[np.ix_(i, j)] & (table(x[i], y[j], 1) <= both) & (x[i, 0][:, None] & y[j, 0][None, :] == 0)
+            found[0][at + i] |= ok.any(axis=1)
+            found[1][first + j] |= ok.any(axis=0)
+    return (found[0] | found[1],) * 2 if same else found
+
+
+def candidates(found: DataFrame, similarity: float) -> DataFrame:
+    """(label, dim, block, cell, node): the classes that may have a link in a cell, by their codes."""
+    key = ["label", "dim", "block", "cell"]
+    large = placed(found, similarity).groupBy(*key).agg(F.sum("size").alias("size")).where(F.col("size") > CODES).withColumn("parts", F.ceil(F.col("size") / CODES).cast("int"))
+    # Cells of more than CODES classes, so there are as many as classes in cells over CODES at most.
+    parts = {(r["label"], r["dim"], r["block"], *r["cell"]): r["parts"] for r in large.collect()}
+    meeting = placed(found, similarity, parts).groupBy(*key, "low", "high").agg(F.collect_list(F.struct("part", "nodes", "codes")).alias("members"), F.sum("size").alias("size")).where("size > 1")
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for row in range(batch.num_rows):
+                dim, low, high = (batch.column(c)[row].as_py() for c in ("dim", "low", "high"))
+                members = batch.column("members")[row].as_py()
+                width = 1 + 2 * min(BLOCK_DIMS, 1 << max(0, (dim - 1).bit_length()))
+                sides = [[m for m in members if m["part"] == k] for k in dict.fromkeys((low, high))]
+                node, code = [np.frombuffer(b"".join(m["nodes"] for m in side), np.int64) for side in sides], [np.frombuffer(b"".join(m["codes"] for m in side), np.uint8).reshape(-1, width) for side in sides]
+                some = partners(code[0], code[-1], 1 << max(0, (dim - 1).bit_length()), low == high)
+                left = np.concatenate([n[s] for n, s in zip(node, some, strict=False)])
+                if len(left):
+                    same = pa.array(np.full(len(left), row))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in key), pa.array(left)], [*key, "node"])
 
         return each
 
-    kinds = {f.name: f.dataType.simpleString() for f in found.schema}
-    return map_arrow(found, make, f"label {kinds['label']}, dim int, block int, cell array<int>, node long, n long, vector {kinds['vector']}")
+    kind = found.schema["label"].dataType.simpleString()
+    return map_arrow(meeting, make, f"label {kind}, dim int, block int, cell array<int>, node long").distinct()
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -165,11 +268,11 @@ def links(found: DataFrame, similarity: float) -> DataFrame:
     if not 0 < similarity < 1:
         raise ValueError("similarity must be between 0 and 1")
     key = ["label", "dim", "block", "cell"]
-    spread = durable(placed(found, similarity), "cells")
+    spread = durable(candidates(found, similarity), "candidates")
     counted = spread.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1").withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
     dealt = join_spread(spread, durable(counted, "sizes"), key, n="size").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # A part goes to each pair of parts that it belongs to.
-    meeting = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meeting = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(found.select("node", "n", "vector"), "node")
     low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
     member = F.struct("node", "n", "part", "vector")
     pairs = meeting.groupBy(*key, low, high).agg(F.collect_list(member).alias("members")).where(F.size("members") > 1)
@@ -186,8 +289,13 @@ def links(found: DataFrame, similarity: float) -> DataFrame:
                 nodes, counts, sides = node[span], n[span], part[span]
                 vectors = scaled(flat[begin[at[row]] : begin[at[row + 1]]].astype(float).reshape(len(nodes), -1))
                 one, two = np.flatnonzero(sides == low), np.flatnonzero(sides == high)
-                i, j = linked(vectors[one], vectors[two], np.array(cell, np.int32), block, similarity, low == high)
-                i, j = one[i], two[j]
+                met = []
+                for a in range(0, len(one), _SIDE):
+                    for b in range(a if low == high else 0, len(two), _SIDE):
+                        x, y = one[a : a + _SIDE], two[b : b + _SIDE]
+                        i, j = linked(vectors[x], vectors[y], np.array(cell, np.int32), block, similarity, low == high and a == b)
+                        met.append(np.stack([x[i], y[j]]))
+                i, j = np.concatenate(met, axis=1) if met else np.zeros((2, 0), int)
                 total = np.bincount(i, counts[j], len(nodes)) + np.bincount(j, counts[i], len(nodes))
                 some, root = np.flatnonzero(total), forest(len(nodes), i, j)
                 more = np.flatnonzero(root != np.arange(len(nodes)))
