@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from skirmish.functions.models import FOLDS
 from skirmish.operators import itemsets, ranking
 
-#: The items that an inventory holds, how many additions are looked at, the width of the economy band and the largest range of shares over the folds.
-SLOTS, POOL, BAND, SHARE_RANGE = 9, 20, 0.10, 0.10
+#: The items that an inventory holds, the width of the economy band and the largest range of shares over the folds.
+SLOTS, BAND, SHARE_RANGE = 9, 0.10, 0.10
+#: How many of the most frequent additions are looked at; None: all of them.
+POOL: int | None = None
 
 
 def completions(holders: DataFrame, cost: dict[int, int], legal: Callable[[Sequence[int]], bool], target: float | None, maximum: float, support: int = 20) -> DataFrame:
     """(hero_id, additions, joint_matches, <fold>_matches, total_cost, target_distance, within_band, admitted, failed_gates, selected).
 
-    ``holders``: hero_id, fold, core and items (which hold the core) of players. Of a hero's ``POOL`` most frequent other items all sets that fill up to ``SLOTS`` places are counted, by
+    ``holders``: hero_id, fold, core and items (which hold the core) of players. All sets of a hero's other items (of the ``POOL`` most frequent, if that is set) that fill up to ``SLOTS`` places are counted, by
     bitmaps and level by level, and those with ``support`` in every fold are rows, as is the core alone. An admitted one is also legal, costs ``maximum`` at most, and has
     shares over the folds that differ by ``SHARE_RANGE`` at most. ``selected``: of those within ``BAND`` of the target cost (if there is none: of the closest ones) the
     one with most joint support, then by the smallest and the mean support of its items, then the smaller items.
@@ -26,12 +28,12 @@ def completions(holders: DataFrame, cost: dict[int, int], legal: Callable[[Seque
     other = F.array_distinct(F.array_except("items", "core"))
     rows = holders.select("hero_id", "fold", "core", other.alias("items")).persist()
     single = rows.select("hero_id", F.explode("items").alias("item")).groupBy("hero_id", "item").agg(F.count("*").alias("n"))
-    pool = ranking.top_k(single, ["hero_id"], [F.desc("n"), F.col("item")], POOL)
+    pool = single if POOL is None else ranking.top_k(single, ["hero_id"], [F.desc("n"), F.col("item")], POOL)
     pools = pool.groupBy("hero_id").agg(F.collect_set("item").alias("pool"), F.map_from_entries(F.collect_list(F.struct("item", "n"))).alias("supports"))
     counts = rows.groupBy("hero_id", "core").agg(F.count("*").alias("support"), *[F.count_if(F.col("fold") == f).alias(f"{f}_support") for f in FOLDS]).persist()
-    heroes = counts.join(F.broadcast(pools), "hero_id", "left")  # a row a hero
+    heroes = counts.join(F.broadcast(pools), "hero_id", "left")  # a row a hero, with the catalogue's items at most
     room = counts.agg(F.max(SLOTS - F.size("core"))).first()[0] or 0
-    kept = rows.join(F.broadcast(pools), "hero_id").select("hero_id", "fold", F.array_intersect("items", "pool").alias("items"))
+    kept = rows if POOL is None else rows.join(F.broadcast(pools), "hero_id").select("hero_id", "fold", F.array_intersect("items", "pool").alias("items"))
     joint = itemsets.frequent_itemsets(kept, "hero_id", "items", room, 3 * support, "fold", FOLDS)  # less in all is less in some fold
     fields = ["support", *(f"{f}_support" for f in FOLDS)]
     alone = counts.select("hero_id", F.expr("CAST(array() AS array<bigint>)").alias("itemset"), *fields)

@@ -183,13 +183,13 @@ def inventories(t: Tables) -> DataFrame:
 
 
 #: The limits of the backbone gates.
-BUNDLES, RETENTION, SHARE_RANGE = 256, 0.5, 0.10
+RETENTION, SHARE_RANGE = 0.5, 0.10
 
 
 def backbones(t: Tables, sizes: Sequence[int] = (4, 5, 6), support: int = 20, fold_support: int | None = None, affinity: dict[int, int] | None = None) -> DataFrame:
     """The longest stable bundle of items of each hero.
 
-    All bundles of each size are counted, level by level; of the most frequent ``BUNDLES`` a size those that are schedulable, supported in every fold and stable in share over the
+    All bundles of each size are counted, level by level; those that are schedulable, supported in every fold and stable in share over the
     folds qualify. The best of the smallest size has the largest ``(1 + log(1 + affinity)) * log(1 + support)``; from it, a superset follows as long as it keeps ``RETENTION`` of
     the support, the most supported one, then that with most affinity. ``affinity``: points by item.
     """
@@ -197,8 +197,7 @@ def backbones(t: Tables, sizes: Sequence[int] = (4, 5, 6), support: int = 20, fo
     components, cost, active = catalogue(t)
     held = inventories(t).select("hero_id", "fold", F.array_distinct("items").alias("items"))
     totals = held.groupBy("hero_id").agg(*[F.count_if(F.col("fold") == f).alias(f"{f}_total") for f in models.FOLDS])
-    found = itemsets.frequent_itemsets(held, "hero_id", "items", max(sizes), support, "fold", models.FOLDS).where(F.col("size").isin(*sizes))
-    counted = ranking.top_k(found, ["hero_id", "size"], [F.desc("support"), F.col("itemset")], BUNDLES)
+    counted = itemsets.frequent_itemsets(held, "hero_id", "items", max(sizes), support, "fold", models.FOLDS).where(F.col("size").isin(*sizes))
 
     def liking(items: tuple) -> int:
         return sum(points.get(i, 0) for i in items)
@@ -208,11 +207,10 @@ def backbones(t: Tables, sizes: Sequence[int] = (4, 5, 6), support: int = 20, fo
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         ok = []
-        for r in group.sort_values(["size", "rank"]).to_dict("records"):
+        for r in group.to_dict("records"):
             n = [r[f"{f}_support"] for f in models.FOLDS]
             shares = [x / r[f"{f}_total"] for x, f in zip(n, models.FOLDS, strict=True) if r[f"{f}_total"]]
-            legal = schedule(list(r["itemset"]), components, cost, active) is not None
-            if legal and min(n) >= floor and max(shares) - min(shares) <= SHARE_RANGE:
+            if min(n) >= floor and max(shares) - min(shares) <= SHARE_RANGE and schedule(list(r["itemset"]), components, cost, active) is not None:
                 ok.append((r["size"], tuple(r["itemset"]), r["support"], min(n)))
         chosen = None
         for size in sizes:
