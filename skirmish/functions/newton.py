@@ -128,43 +128,150 @@ def _fit(data: DataFrame, features: Sequence[str], d: int, c: float, steps: int)
     for k, v in _sums(data, features, d, lambda k, x, y: scaled(of, k, x) ** 2).items():
         spread = np.sqrt(v / sums[k][0])
         models[k].spread = np.where(spread > 0, spread, 1.0)
-    ridge = np.append(np.ones(d), 0.0)
     upper = np.triu_indices(d + 1)
-    start: dict[int, tuple] = {}  # the last accepted weights, their loss, the step from them and its scale
-    for _ in range(steps if todo else 0):
-        *of, weights = tables()
 
-        def each(k: np.ndarray, x: np.ndarray, y: np.ndarray, of=tuple(of), weights=weights) -> np.ndarray:
+    def passed(weights: dict[int, np.ndarray], todo: set[int]) -> dict[int, np.ndarray]:
+        for k, w in weights.items():
+            models[k].weights = w
+        *of, table = tables()
+
+        def each(k: np.ndarray, x: np.ndarray, y: np.ndarray, of=tuple(of), weights=table) -> np.ndarray:
             design = np.column_stack([scaled(of, k, x), np.ones(len(y))])
             z = (design * weights[k]).sum(axis=1)
             p = 1 / (1 + np.exp(-np.clip(z, -LIMIT, LIMIT)))
             return np.column_stack([np.logaddexp(0, z) - y * z, (p - y)[:, None] * design, (p * (1 - p))[:, None] * design[:, upper[0]] * design[:, upper[1]]])
 
         # Models that are done need no more sums.
-        going = data.where(F.col("model").isin(*todo)) if len(todo) < len(models) / 4 else data
-        for k, v in _sums(going, features, 1 + (d + 1) + len(upper[0]), each).items():
+        return _sums(data.where(F.col("model").isin(*todo)) if len(todo) < len(models) / 4 else data, features, 1 + (d + 1) + len(upper[0]), each)
+
+    for k, w in descend({k: m.weights for k, m in todo.items()}, np.append(np.ones(d), 0.0), c, steps, passed).items():
+        models[k].weights = w
+    return models
+
+
+def descend(weights: dict, ridge: np.ndarray, c: float, steps: int, sums: Callable[[dict, set], dict]) -> dict:
+    """The weights of each model by damped Newton steps, all models in one pass. ``sums`` (weights, models that go on) gives loss, gradient and the Hessian's upper triangle over a model's rows."""
+    weights, todo, upper = dict(weights), set(weights), np.triu_indices(len(ridge))
+    start: dict = {}  # the last accepted weights, their loss, the step from them and its scale
+    for _ in range(steps if todo else 0):
+        for k, v in sums(weights, todo).items():
             if k not in todo:
                 continue
-            m = todo[k]
-            now = float(0.5 * (ridge * m.weights**2).sum() + c * v[0])
+            now = float(0.5 * (ridge * weights[k] ** 2).sum() + c * v[0])
             if k in start:
                 at, before, move, scale = start[k]
                 if now > before and scale > 1e-6:
                     start[k] = (at, before, move, scale / 2)
-                    m.weights = at - scale / 2 * move
+                    weights[k] = at - scale / 2 * move
                     continue
                 if abs(before - now) < 1e-10 * (1 + abs(now)):
-                    del todo[k]
+                    todo.discard(k)
                     continue
-            h = np.zeros((d + 1, d + 1))
-            h[upper] = v[d + 2 :]
+            h = np.zeros((len(ridge), len(ridge)))
+            h[upper] = v[len(ridge) + 1 :]
             h = h + h.T - np.diag(np.diag(h))
-            gradient = ridge * m.weights + c * v[1 : d + 2]
+            gradient = ridge * weights[k] + c * v[1 : len(ridge) + 1]
             move = np.linalg.solve(np.diag(ridge + 1e-10) + c * h, gradient)
-            start[k] = (m.weights, now, move, 1.0)
-            m.weights = m.weights - move
+            start[k] = (weights[k], now, move, 1.0)
+            weights[k] = weights[k] - move
             if gradient @ move < 1e-10 * (1 + abs(now)):  # twice what the step can gain
-                del todo[k]
+                todo.discard(k)
         if not todo:
             break
-    return models
+    return weights
+
+
+@dataclass
+class WithItems:
+    """Two models of a group, of its state alone and with its items, weights as :class:`skirmish.functions.models.Scaler` lays features out: items, state, indicators of ``flagged``, intercept."""
+
+    items: list
+    fill: np.ndarray
+    flagged: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
+    state: np.ndarray
+    state_and_item: np.ndarray
+
+
+def fit_with_items(rows: DataFrame, key: Sequence[str], item: str, features: Sequence[str], target: str, c: float = 0.5, steps: int = 50) -> dict[tuple, WithItems]:
+    """{key: models} of every group of ``rows``, over all its rows: features with exact medians for missing values and indicators of these, scaled to variance 1; items as unscaled indicators.
+
+    Groups and items are bounded by a catalogue. A task adds up a matrix for each model; rows don't leave it.
+    """
+    spark, d, key = rows.sparkSession, len(features), list(key)
+    owned: dict[tuple, list] = {}
+    for r in sorted(rows.select(*key, item).distinct().collect()):  # the catalogue's items by group
+        owned.setdefault(tuple(r)[:-1], []).append(r[-1])
+    if not owned:
+        return {}
+    numbers = T.StructType([*[rows.schema[x] for x in (*key, item)], T.StructField("model", T.IntegerType()), T.StructField("place", T.IntegerType())])
+    places = spark.createDataFrame([(*k, i, g, n) for g, (k, items) in enumerate(owned.items()) for n, i in enumerate(items)], numbers)
+    known = [F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in features]
+    data = rows.join(F.broadcast(places), [*key, item]).select("model", "place", F.col(target).cast("double").alias("target"), *known).persist()
+    try:
+        found = _fit_with_items(data, len(owned), max(map(len, owned.values())), features, c, steps)
+    finally:
+        data.unpersist()
+    out = {}
+    for g, (k, items) in enumerate(owned.items()):
+        fill, flagged, centre, spread, alone, whole = found[g]
+        shown = [*range(d), *(d + flagged)]
+        state = len(alone) - 2 * d - 1 + np.array([*shown, 2 * d])
+        out[k] = WithItems(items, fill, flagged, centre[shown], spread[shown], alone[state], whole[[*range(len(items)), *state]])
+    return out
+
+
+def _fit_with_items(data: DataFrame, groups: int, places: int, features: Sequence[str], c: float, steps: int) -> list[tuple[np.ndarray, ...]]:
+    """(fill, flagged, centre, spread, weights of the state alone and with items) of each group. All groups have as many columns: those of items and indicators that a group lacks are zero, and so are their weights."""
+    d = len(features)
+    counts = {r["model"]: np.array(r[1:], float) for r in data.groupBy("model").agg(F.count("*"), *[F.count(f) for f in features]).collect()}
+    missing = [f for i, f in enumerate(features) if any(v[1 + i] < v[0] for v in counts.values())]
+    medians = exact_quantiles(data, ["model"], missing, (0.5,)) if missing else {}
+    fill = np.array([[medians.get((g,), {}).get((f, 0.5), 0.0) for f in features] for g in range(groups)])
+    fills = data.sparkSession.createDataFrame([(g, *map(float, fill[g])) for g in range(groups)], "model int, " + ", ".join(f"m{i} double" for i in range(d)))
+    filled = [F.coalesce(F.col(f), F.col(f"m{i}")) for i, f in enumerate(features)]
+    centre, spread = np.zeros((groups, 2 * d)), np.zeros((groups, 2 * d))
+    for r in data.join(F.broadcast(fills), "model").groupBy("model").agg(*map(F.avg, filled), *map(F.stddev_pop, filled)).collect():
+        centre[r["model"], :d], spread[r["model"], :d] = r[1 : 1 + d], r[1 + d :]
+    share = np.array([1 - counts[g][1:] / counts[g][0] for g in range(groups)])
+    centre[:, d:], spread[:, d:] = share, np.sqrt(share * (1 - share))
+    spread[spread == 0] = 1.0
+    width = places + 2 * d + 1
+    upper = np.triu_indices(width)
+
+    def sums(weights: dict[int, np.ndarray], todo: set[int]) -> dict[int, np.ndarray]:
+        """Model 2 g is a group's state alone, 2 g + 1 the one with items."""
+        going = sorted({k // 2 for k in todo})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                group, place, target = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("model", "place", "target"))
+                values = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features]).astype(float)
+                for g in np.unique(group).tolist():
+                    at = np.flatnonzero(group == g)
+                    x, y, unknown = values[at], target[at], np.isnan(values[at])
+                    state = (np.column_stack([np.where(unknown, fill[g], x), unknown]) - centre[g]) / spread[g]
+                    hot = (place[at][:, None] == np.arange(places)).astype(float)
+                    for k, own in ((2 * g, np.zeros_like(hot)), (2 * g + 1, hot)):
+                        if k in todo:
+                            design = np.column_stack([own, state, np.ones(len(y))])
+                            z = design @ weights[k]
+                            p = 1 / (1 + np.exp(-np.clip(z, -LIMIT, LIMIT)))
+                            v = np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], design.T @ (p - y), ((design.T * (p * (1 - p))) @ design)[upper]])
+                            total[k] = total[k] + v if k in total else v
+            if total:
+                size = 1 + width + len(upper[0])
+                numbers = np.repeat(np.array(list(total), np.int32), size), np.tile(np.arange(size, dtype=np.int32), len(total)), np.concatenate(list(total.values()))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, numbers)], ["model", "number", "value"])
+
+        partial = data.where(F.col("model").isin(*going)).mapInArrow(run, "model int, number int, value double")
+        out: dict[int, np.ndarray] = {}
+        for r in partial.groupBy("model", "number").agg(F.sum("value")).collect():
+            out.setdefault(r[0], np.zeros(1 + width + len(upper[0])))[r[1]] = r[2]
+        return out
+
+    ridge = np.append(np.ones(width - 1), 0.0)
+    weights = descend({k: np.zeros(width) for k in range(2 * groups)}, ridge, c, steps, sums)
+    return [(fill[g], np.flatnonzero(share[g] > 0), centre[g], spread[g], weights[2 * g], weights[2 * g + 1]) for g in range(groups)]

@@ -1,8 +1,8 @@
 """Model-based analyses: shrinkage, adjusted models, contrasts, item bundles and build paths.
 
 Each needs an algorithm that SQL can't express. Spark prepares, groups and bounds the rows; a numpy kernel of :mod:`skirmish.functions.models` handles one small group
-at a time. Groups of catalogue items are bounded by the catalogue. Contrasts (:mod:`skirmish.plans.contrasts`) and item sets work on all rows, as sums that tasks hand on. Two groups of matches are
-bounded by ``ROWS``, of larger ones a share of the matches is taken by hash: ``ridge_holdout`` fits on a sample and tests on all rows; ``build_paths`` works on the sample alone.
+at a time. Groups of catalogue items are bounded by the catalogue. Contrasts (:mod:`skirmish.plans.contrasts`), ridge models and item sets work on all rows, as sums that tasks hand on. A hero's players are
+bounded by ``ROWS`` in ``build_paths`` alone: of more a share of the matches is taken by hash.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.functions import models
+from skirmish.functions import models, newton
 from skirmish.operators import itemsets, ranking
 from skirmish.operators.paths import state_counts, supported_path
 from skirmish.operators.replay import final_inventories, incremental_cost, schedule
@@ -112,8 +112,7 @@ def _decisions(t: Tables) -> DataFrame:
 def ridge_holdout(t: Tables) -> DataFrame:
     """Brier score and log loss on test decisions of a ridge logistic model of state alone and one with items, by hero and tier.
 
-    Only groups of at least 200 decisions, both outcomes, two items, 100 training and 20 test rows are modelled. The models are fitted on
-    about ``ROWS`` training rows of a group at most; counts cover all rows, and all test rows are scored.
+    Only groups of at least 200 decisions, both outcomes, two items, 100 training and 20 test rows are modelled, on all their training rows (:func:`newton.fit_with_items`); all test rows are scored.
     """
     rows = _decisions(t)
     train = F.col("fold") == "train"
@@ -122,20 +121,13 @@ def ridge_holdout(t: Tables) -> DataFrame:
         F.count_if(train).alias("train_rows"), F.count_if(F.col("fold") == "test").alias("test_rows"), F.count_distinct(F.when(train, F.col("y"))).alias("train_outcomes"),
     )
     usable = counts.where("n >= 200 AND outcomes = 2 AND items >= 2 AND train_rows >= 100 AND test_rows >= 20 AND train_outcomes = 2").select(*GROUP, "train_rows", "test_rows")
-    learned = bounded(rows.where(train).join(F.broadcast(usable.select(*GROUP)), GROUP), GROUP)  # a row a hero and tier, as all that is broadcast here
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(APPEARANCE)
-        y, x = group["y"].to_numpy(float), group[FEATURES].to_numpy(float)
-        scale = models.Scaler(x, indicators=True)
-        known = np.sort(group["item_id"].unique())
-        out = []
-        for name, items in (("state", known[:0]), ("state_and_item", known)):
-            weights = models.logistic_fit(np.hstack([(group["item_id"].to_numpy()[:, None] == items).astype(float), scale(x)]), y, 0.5)
-            out.append((*group[GROUP].iloc[0], name, items, weights, scale.fill, scale.flagged, scale.centre, scale.spread))
-        return pd.DataFrame(out, columns=["hero_id", "tier", "model", "items", "weights", "fill", "flagged", "centre", "spread"])
-
-    fitted = learned.groupBy(*GROUP).applyInPandas(fit, "hero_id int, tier int, model string, items array<long>, weights array<double>, fill array<double>, flagged array<long>, centre array<double>, spread array<double>")
+    groups = usable.persist()  # a row a hero and tier, as all that is broadcast here
+    learned = newton.fit_with_items(rows.where(train).join(F.broadcast(groups.select(*GROUP)), GROUP), GROUP, "item_id", FEATURES, "y", 0.5)
+    fields = [rows.schema[c] for c in GROUP]
+    arrays = {"items": T.LongType(), "weights": T.DoubleType(), "fill": T.DoubleType(), "flagged": T.LongType(), "centre": T.DoubleType(), "spread": T.DoubleType()}
+    schema = T.StructType([*fields, T.StructField("model", T.StringType()), *[T.StructField(n, T.ArrayType(x)) for n, x in arrays.items()]])
+    both = [(k, m, name, items, weights) for k, m in learned.items() for name, items, weights in (("state", [], m.state), ("state_and_item", m.items, m.state_and_item))]
+    fitted = rows.sparkSession.createDataFrame([(*k, name, items, *(v.tolist() for v in (weights, m.fill, m.flagged, m.centre, m.spread))) for k, m, name, items, weights in both], schema)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,7 +141,7 @@ def ridge_holdout(t: Tables) -> DataFrame:
 
     tested = rows.where("fold = 'test'").join(F.broadcast(fitted), GROUP)
     scored = tested.mapInPandas(predict, "hero_id int, tier int, model string, square double, loss double")
-    return scored.groupBy(*GROUP, "model").agg(F.avg("square").alias("brier"), F.avg("loss").alias("log_loss")).join(F.broadcast(usable), GROUP).select(*GROUP, "model", "train_rows", "test_rows", "brier", "log_loss")
+    return scored.groupBy(*GROUP, "model").agg(F.avg("square").alias("brier"), F.avg("loss").alias("log_loss")).join(F.broadcast(groups), GROUP).select(*GROUP, "model", "train_rows", "test_rows", "brier", "log_loss")
 
 
 def dr_contrasts(t: Tables) -> DataFrame:
